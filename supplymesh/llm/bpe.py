@@ -11,6 +11,8 @@ pre-token of n bytes is O(n log n) at worst, where rescanning it for each merge
 from __future__ import annotations
 
 import base64
+import struct
+from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -20,8 +22,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supplymesh.llm.common import prepare
-from supplymesh.llm.pretokens import ChunkMemory
+from supplymesh.llm.common import prepare, schema_with
+from supplymesh.llm.pretokens import CHARS, ChunkMemory, Generations
+
+#: Packing of so many ids.
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(CHARS)]
 
 
 class RankQueue:
@@ -80,6 +85,7 @@ class BytePairEncoder:
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.queue = RankQueue(max(ranks.values()) + 1)
+        self.memory: Generations[str, bytes] = Generations()
         self.tokens: list[bytes | None] = [None] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
@@ -100,13 +106,13 @@ class BytePairEncoder:
             return []
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         waits = [-1] * n  # the rank that the pair starting here waits for; -1: none
-        queue, get = self.queue, ranks.get
+        push, pop, get = self.queue.push, self.queue.pop, ranks.get
         for i in range(n - 1):
             r = get(piece[i : i + 2])
             if r is not None:
                 waits[i] = r
-                queue.push(r, i)
-        while (head := queue.pop()) is not None:
+                push(r, i)
+        while (head := pop()) is not None:
             r, i = head
             if waits[i] != r:
                 continue  # stale
@@ -121,7 +127,7 @@ class BytePairEncoder:
                     waits[i] = -1
                 else:
                     waits[i] = s
-                    queue.push(s, i)
+                    push(s, i)
             else:
                 waits[i] = -1
             h = before[i]
@@ -131,7 +137,7 @@ class BytePairEncoder:
                     waits[h] = -1
                 elif s != waits[h]:
                     waits[h] = s
-                    queue.push(s, h)
+                    push(s, h)
         ids, i = [], 0
         while i < n:
             ids.append(ranks[piece[i : after[i]]])
@@ -139,14 +145,17 @@ class BytePairEncoder:
         return ids
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for piece in self.split(text):
-            out += self.merge(piece.encode())
-        return out
+        return np.frombuffer(self.encode_many([text])[0], "<u4").tolist()
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        return [np.array(self.encode(t), "<u4").tobytes() for t in texts]
+        """The ids of each text as little-endian unsigned 32-bit integers; pre-tokens are merged once while remembered."""
+        pieces = [self.split(t) for t in texts]
+        missing = self.memory.recall(p for own in pieces for p in own if len(p) <= CHARS)
+        known, merge = self.memory.young, self.merge
+        for p in missing:
+            ids = merge(p.encode("utf-8", "surrogatepass"))
+            known[p] = _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else array("I", ids).tobytes()
+        return [b"".join([known[p] if len(p) <= CHARS else array("I", merge(p.encode("utf-8", "surrogatepass"))).tobytes() for p in own]) for own in pieces]
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that ids stand for; an id outside the vocabulary is an error."""
@@ -187,10 +196,7 @@ def encode_column(df: DataFrame, text: str, path: str, pattern: str, ids: str =
                 columns.append(pa.array([encoder.decode(x) for x in found], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, names=[n for i, n in enumerate(batch.schema.names) if i != at] + new)
 
-    schema = kept.drop(source).schema
-    for name in new:
-        schema = schema.add(name, "binary", False)
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema_with(kept.drop(source), *((name, "binary") for name in new)))
 
 
 def decode_column(df: DataFrame, ids: str, path: str, pattern: str, decoded: str = "decoded") -> DataFrame:
@@ -204,4 +210,4 @@ def decode_column(df: DataFrame, ids: str, path: str, pattern: str, decoded: str
             found = [encoder.decode(x or b"") for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, decoded])
 
-    return kept.mapInArrow(run, kept.schema.add(decoded, "binary", False))
+    return kept.mapInArrow(run, schema_with(kept, (decoded, "binary")))

@@ -6,8 +6,9 @@ import os
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Arrow batches sent to Python hold at most so many rows and bytes, so that a run of very long texts can't fill a worker.
 BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
@@ -55,6 +56,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def schema_with(df: DataFrame, *added: tuple[str, str]) -> T.StructType:
+    """df's schema and further nullable columns (name, type), as a new schema."""
+    return T.StructType([*df.schema.fields, *(T.StructField(n, T._parse_datatype_string(k)) for n, k in added)])
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed and written once to the shared folder; its lineage ends there."""
     shared_dir(df.sparkSession)
@@ -71,3 +77,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def crc_remainder(column: str, modulus: int):
+    """crc32 of the column as text, modulo a number; null counts as the empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
+
+
+def sampled(column: str, share, seed: int):
+    """Whether a row is in a sample of about this share (a number or column), by a hash of the column: the same rows every time."""
+    bits = 1 << 30
+    return F.pmod(F.xxhash64(F.col(f"`{column}`"), F.lit(seed)), F.lit(bits)) < (share if isinstance(share, Column) else F.lit(float(share))) * bits

@@ -8,10 +8,34 @@ word and of " " + word for the others. Texts that have such runs are encoded as
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from typing import Generic, TypeVar
 
-#: Entries that a worker remembers at most; longer chunks aren't remembered. When the memory is full it starts anew.
-MEMORY_ENTRIES, MEMORY_CHARS = 500_000, 64
+K, V = TypeVar("K"), TypeVar("V")
+#: Entries of a memory's generation; chunks of more characters aren't remembered.
+GENERATION, CHARS = 400_000, 64
+
+
+class Generations(Generic[K, V]):
+    """A memory of two generations: when the younger is full it becomes the older, and what the older held and nobody asked for since goes."""
+
+    def __init__(self, entries: int = GENERATION):
+        self.entries, self.young, self.old = entries, {}, {}
+
+    def recall(self, keys: Iterable[K]) -> set[K]:
+        """Moves to the younger generation what is known of the keys, and returns the others. All fit into it together."""
+        unknown = set(keys).difference(self.young)
+        if len(self.young) + len(unknown) > self.entries:
+            self.young, self.old, unknown = {}, self.young, set(keys)
+        old, young = self.old, self.young
+        missing = set()
+        for k in unknown:
+            v = old.get(k)
+            if v is None:
+                missing.add(k)
+            else:
+                young[k] = v
+        return missing
 
 
 class ChunkMemory:
@@ -20,9 +44,9 @@ class ChunkMemory:
     The bytes of a text are the concatenation of those of its chunks; ids are fixed-width there.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], entries: int = MEMORY_ENTRIES):
-        self.encode_many, self.entries = encode_many, entries
-        self.inner: dict[str, bytes | None] = {}
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], entries: int = GENERATION):
+        self.encode_many = encode_many
+        self.memory: Generations[str, bytes] = Generations(entries)
 
     @staticmethod
     def separable(word: str) -> bool:
@@ -31,36 +55,24 @@ class ChunkMemory:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
-        unknown = {w for words in split for w in words[1:]}.difference(self.inner)
-        if len(self.inner) + len(unknown) > self.entries:
-            self.inner = {}
-            unknown = {w for words in split for w in words[1:]}
-        long = {w for w in unknown if len(w) > MEMORY_CHARS}
-        if long:
-            unknown -= long
-        good = [w for w in unknown if self.separable(w)]
-        self.inner.update(zip(good, self.encode_many([" " + w for w in good])))
-        self.inner.update((w, None) for w in unknown if not self.separable(w))
+        missing = self.memory.recall(w for words in split for w in words)
+        good = [w for w in missing if len(w) <= CHARS and self.separable(w)]
+        known = self.memory.young
+        known.update(zip(good, self.encode_many([" " + w for w in good])))
         firsts = self.encode_many([words[0] for words in split])
         out: list[bytes] = []
-        get = self.inner.__getitem__
+        get = known.__getitem__
         for text, words, first in zip(texts, split, firsts):
-            if words[0] and not self.separable(words[0]) and len(words) > 1 or not words[0]:
-                out.append(self.encode_many([text])[0] if text else b"")
-                continue
             try:
+                if len(words) > 1 and not self.separable(words[0]):
+                    raise KeyError
                 out.append(first + b"".join(map(get, words[1:])))
-            except TypeError:  # a chunk that can't be told apart from what follows it
-                out.append(self.encode_many([text])[0])
-            except KeyError:  # a chunk too long to remember
-                out.append(self._with_long(text, words, first))
+            except KeyError:  # a chunk that isn't remembered
+                out.append(self._unusual(text, words, first))
         return out
 
-    def _with_long(self, text: str, words: list[str], first: bytes) -> bytes:
+    def _unusual(self, text: str, words: list[str], first: bytes) -> bytes:
         if not all(map(self.separable, words)):
             return self.encode_many([text])[0]
-        parts = [first]
-        for w in words[1:]:
-            known = self.inner.get(w)
-            parts.append(self.encode_many([" " + w])[0] if known is None else known)
-        return b"".join(parts)
+        known = self.memory.young
+        return first + b"".join(known[w] if w in known else self.encode_many([" " + w])[0] for w in words[1:])

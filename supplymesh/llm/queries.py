@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supplymesh.llm import bpe, ogg
+from supplymesh.llm import bpe, chunks, ecoc, ogg, packing, zipwarc
 from supplymesh.llm.common import table
 
 
@@ -19,12 +19,30 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.compare_neighbours(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     read = ogg.read_column(ogg.store_column(docs).drop("text"), with_payload=False)
     return read.select("doc_id", "n_bytes", F.greatest(F.lit(64), F.ceil(F.col("n_bytes") / 64) * 64).cast("long").alias("payload_bytes"), "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op6_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zipwarc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("byte_bpe_50k.json"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = ecoc.learn(docs, ~ecoc.held_out())
+    return ecoc.identify(docs.select("doc_id", ecoc.held_out().alias("held_out"), "text"), model).drop("text")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -33,5 +51,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op4_ogg": op4_ogg, "op10_bpe": op10_bpe}
+QUERIES = {
+    "op2_chunk_fingerprints": op2_chunk_fingerprints,
+    "op4_ogg": op4_ogg,
+    "op6_zip_warc": op6_zip_warc,
+    "op7_packing": op7_packing,
+    "op8_language_id": op8_language_id,
+    "op10_bpe": op10_bpe,
+}
 ORACLES: dict[str, str] = {}

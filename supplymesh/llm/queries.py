@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supplymesh.llm import bpe, chunks, ecoc, ogg, packing, zipwarc
+from supplymesh.llm import bpe, chunks, domtree, ecoc, ogg, packing, toxicity, zipwarc
 from supplymesh.llm.common import table
 
 
@@ -23,12 +23,24 @@ def op2_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.compare_neighbours(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = domtree.extract_column(table(spark, sf_dir, "pages").select("page_id", "url", "html"), domtree.trained())
+    return read.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op4_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     read = ogg.read_column(ogg.store_column(docs).drop("text"), with_payload=False)
     return read.select("doc_id", "n_bytes", F.greatest(F.lit(64), F.ceil(F.col("n_bytes") / 64) * 64).cast("long").alias("payload_bytes"), "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    judged = toxicity.detect(docs.withColumn("held_out", toxicity.held_out()), model)
+    return judged.select("doc_id", "held_out", "score", "predicted", "evidence", F.size("passages").alias("n_passages"))
+
+
 def op6_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zipwarc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -53,7 +65,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_chunk_fingerprints": op2_chunk_fingerprints,
+    "op3_html_tree": op3_html_tree,
     "op4_ogg": op4_ogg,
+    "op5_toxicity": op5_toxicity,
     "op6_zip_warc": op6_zip_warc,
     "op7_packing": op7_packing,
     "op8_language_id": op8_language_id,

@@ -13,7 +13,7 @@ from typing import Generic, TypeVar
 
 K, V = TypeVar("K"), TypeVar("V")
 #: Entries of a memory's generation; chunks of more characters aren't remembered.
-GENERATION, CHARS = 400_000, 64
+GENERATION, CHARS = 500_000, 64
 
 
 class Generations(Generic[K, V]):
@@ -24,9 +24,10 @@ class Generations(Generic[K, V]):
 
     def recall(self, keys: Iterable[K]) -> set[K]:
         """Moves to the younger generation what is known of the keys, and returns the others. All fit into it together."""
-        unknown = set(keys).difference(self.young)
+        keys = keys if isinstance(keys, set) else set(keys)
+        unknown = keys.difference(self.young)
         if len(self.young) + len(unknown) > self.entries:
-            self.young, self.old, unknown = {}, self.young, set(keys)
+            self.young, self.old, unknown = {}, self.young, keys
         old, young = self.old, self.young
         missing = set()
         for k in unknown:
@@ -55,19 +56,21 @@ class ChunkMemory:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
-        missing = self.memory.recall(w for words in split for w in words)
+        wanted = set().union(*split)
+        missing = self.memory.recall(wanted)
         good = [w for w in missing if len(w) <= CHARS and self.separable(w)]
         known = self.memory.young
         known.update(zip(good, self.encode_many([" " + w for w in good])))
+        own = {w: known[w] for w in wanted if w in known}  # a small table stays in the processor's caches
         firsts = self.encode_many([words[0] for words in split])
         out: list[bytes] = []
-        get = known.__getitem__
+        get = own.__getitem__
         for text, words, first in zip(texts, split, firsts):
             try:
                 if len(words) > 1 and not self.separable(words[0]):
-                    raise KeyError
+                    raise KeyError  # as for a chunk that isn't remembered
                 out.append(first + b"".join(map(get, words[1:])))
-            except KeyError:  # a chunk that isn't remembered
+            except KeyError:
                 out.append(self._unusual(text, words, first))
         return out
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supplymesh.llm import bpe, chunks, domtree, ecoc, ogg, packing, toxicity, zipwarc
+from supplymesh.llm import bpe, chunks, domtree, ecoc, ogg, packing, toxicity, urlrank, zipwarc
 from supplymesh.llm.common import table
 
 
@@ -19,6 +19,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_host_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrank.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op2_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.compare_neighbours(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -64,6 +68,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_host_rank": op1_host_rank,
     "op2_chunk_fingerprints": op2_chunk_fingerprints,
     "op3_html_tree": op3_html_tree,
     "op4_ogg": op4_ogg,

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supplymesh.llm import bpe, chunks, domtree, ecoc, ogg, packing, toxicity, urlrank, zipwarc
+from supplymesh.llm import bpe, chunks, domtree, ecoc, jaccard, ogg, packing, toxicity, urlrank, zipwarc
 from supplymesh.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ecoc.identify(docs.select("doc_id", ecoc.held_out().alias("held_out"), "text"), model).drop("text")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -76,6 +80,7 @@ QUERIES = {
     "op6_zip_warc": op6_zip_warc,
     "op7_packing": op7_packing,
     "op8_language_id": op8_language_id,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {}

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from supplymesh.llm.common import prepare, schema_with
 from supplymesh.llm.pretokens import CHARS, ChunkMemory, Generations
 
-#: Packing of so many ids.
+#: Pre-tokens that a worker remembers in a generation; packing of so many ids.
+PIECES = 300_000
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(CHARS)]
 
 
@@ -85,7 +86,7 @@ class BytePairEncoder:
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.queue = RankQueue(max(ranks.values()) + 1)
-        self.memory: Generations[str, bytes] = Generations()
+        self.memory: Generations[str, bytes] = Generations(PIECES)
         self.tokens: list[bytes | None] = [None] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token

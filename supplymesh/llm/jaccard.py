@@ -32,8 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from supplymesh.llm.bytehash import mix
 from supplymesh.llm.common import checkpointed, prepare, stored
-from supplymesh.llm.shingles import mix, shingle_sets
+from supplymesh.llm.shingles import shingle_sets
 
 #: Cells of the counting sketch (a power of two), and the parts it is passed on in.
 CELLS, CHUNKS = 1 << 20, 64

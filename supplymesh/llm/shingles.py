@@ -1,59 +1,29 @@
 """Sets of word shingles as 64-bit hashes, computed for many texts at once in arrays.
 
 Words are runs of bytes other than white space (space and tab to carriage return), A-Z lower-cased.
-A word's hash is a polynomial over a random number for each byte, taken from running sums, so that
-no word is looked at alone; a shingle's hash mixes those of its words in order. Two different shingles
-of a corpus of n have equal hashes with a chance of about n^2 / 2^64.
+A shingle's hash mixes those of its words in order; two different shingles of a corpus of n have
+equal hashes with a chance of about n^2 / 2^64.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+from supplymesh.llm.bytehash import FOLDED, U, mix, run_hashes
+
 #: Words in a shingle.
 WORDS = 5
 #: Bytes of text hashed in one go, about.
 GROUP = 1 << 19
-_U = np.uint64
-_DRAW = np.random.default_rng(20240229)
-_BYTE = _DRAW.integers(1, 1 << 64, 256, dtype="u8")
-_BYTE[65:91] = _BYTE[97:123]
-_BASE = int(_DRAW.integers(1, 1 << 62)) * 4 + 3
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_PLACE = _DRAW.integers(1, 1 << 63, WORDS, dtype="u8") * _U(2) + _U(1)
+_PLACE = np.random.default_rng(5).integers(1, 1 << 63, WORDS, dtype="u8") * U(2) + U(1)
 _SPACE = np.zeros(256, "?")
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_POWERS = [np.ones(1, "u8"), np.ones(1, "u8")]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, at least n of each."""
-    if len(_POWERS[0]) < n:
-        for k, x in enumerate((_BASE, _INVERSE)):
-            out = np.full(max(n, 2 * GROUP), x, "u8")
-            out[0] = 1
-            _POWERS[k] = np.cumprod(out)
-    return _POWERS[0], _POWERS[1]
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit."""
-    h = h ^ (h >> _U(33))
-    h = h * _U(0xFF51AFD7ED558CCD)
-    h = h ^ (h >> _U(33))
-    h = h * _U(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> _U(33))
 
 
 def _group_sets(datas: list[bytes]) -> list[np.ndarray]:
     whole = b" ".join(datas) + b" "
     b = np.frombuffer(whole, "u1")
-    up, down = _powers(len(b))
     space = _SPACE[b]
-    value = _BYTE[b]
-    value *= up[: len(b)]
-    sums = np.zeros(len(b) + 1, "u8")
-    np.cumsum(value, out=sums[1:])
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     first = not space[0]
     begins = edge[1::2] if first else edge[0::2]
@@ -61,7 +31,7 @@ def _group_sets(datas: list[bytes]) -> list[np.ndarray]:
     if first:
         begins = np.concatenate([np.zeros(1, begins.dtype), begins])
     begins = begins[: len(ends)]
-    word = mix((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype("u8"))
+    word = run_hashes(b, begins, ends, FOLDED)
     stops = np.cumsum([len(d) + 1 for d in datas])
     last = np.searchsorted(begins, stops, "left")  # words up to each text's end
     n = len(word)
@@ -80,7 +50,7 @@ def _group_sets(datas: list[bytes]) -> list[np.ndarray]:
             np.not_equal(own[1:], own[:-1], out=keep[1:])
             out.append(own[keep])
         elif count:
-            out.append(mix((word[at:end] * _PLACE[:count]).sum(keepdims=True) + _U(count)))
+            out.append(mix((word[at:end] * _PLACE[:count]).sum(keepdims=True) + U(count)))
         else:
             out.append(np.zeros(0, "u8"))
         at = end

@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 SUFFIXES = (r"\bInc\.?\b", r"\bLtd\.?\b", r"\bCorp\.?\b", r"\bGroup\b", r"\bCo\.?\b", r"\bPLC\b", r"\bCorporation\b", r"\bLimited\b", r"\bS\.A\.?\b", r"\bA\.G\.?\b", r"\bN\.V\.?\b", r"\bB\.V\.?\b")
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once: an expression that uses its argument often would grow with each nesting."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def compact_key(name: Column) -> Column:
     """Lower case, other than letters and digits one space, trimmed; empty for null."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9]+", " "))
@@ -25,7 +30,10 @@ def _bare(word: Column) -> Column:
 
 def collapse_repeats(name: Column) -> Column:
     """Takes off a beginning of up to four words that is said twice; failing that, words that repeat their predecessor."""
-    words = F.filter(F.split(name, r"\s+"), lambda w: w != "")
+    return let(F.filter(F.split(name, r"\s+"), lambda w: w != ""), _collapsed)
+
+
+def _collapsed(words: Column) -> Column:
     n = F.size(words)
 
     def said_twice(k: int) -> Column:
@@ -34,7 +42,7 @@ def collapse_repeats(name: Column) -> Column:
         return (n >= 2 * k) & (bare(first) != "") & (bare(first) == bare(second))
 
     deduped = F.array_join(F.filter(words, lambda w, i: (i == 0) | (_bare(w) != _bare(F.get(words, i - 1)))), " ")
-    out = F.when(n < 2, name)
+    out = F.when(n < 2, F.array_join(words, " "))
     for k in (4, 3, 2, 1):
         out = out.when(said_twice(k), F.array_join(F.slice(words, k + 1, n), " "))
     return out.otherwise(deduped)

@@ -74,10 +74,14 @@ def merge_groups(df: DataFrame, key: str, order: str, *, unions: Sequence[str] =
     for c, gap in (joined or {}).items():
         parts.append(F.array_join(F.array_distinct(F.filter(rows(c), lambda x: x.isNotNull() & (x != ""))), gap).alias(c))
     for c, unknown in (firsts or {}).items():
-        parts.append(F.coalesce(F.get(F.filter(rows(c), lambda x, u=unknown: x.isNotNull() & (x != "") & (x != u)), F.lit(0)), F.get(rows(c), F.lit(0))).alias(c))
+        parts.append(F.coalesce(F.get(_other_than(rows(c), unknown), F.lit(0)), F.get(rows(c), F.lit(0))).alias(c))
     return df.groupBy(key).agg(*parts)
 
 
+def _other_than(values: Column, unknown: str) -> Column:
+    return F.filter(values, lambda x: x.isNotNull() & (x != "") & (x != unknown))
+
+
 def first_items_per_field(rows: DataFrame, key: str, items: str, field: str, order: str, out: str) -> DataFrame:
     """For each key the items of its arrays of structs, in order, the first one for each value of a field; null is one value."""
     each = rows.select(key, order, F.posexplode(items).alias("__at", "__item")).withColumn("__f", F.col(f"__item.{field}"))

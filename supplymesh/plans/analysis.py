@@ -14,6 +14,7 @@ from supplymesh.functions.text import display_label
 from supplymesh.operators import graph, relational, suppliers
 from supplymesh.operators.resolve import Identities
 from supplymesh.sources import reference_data as R
+from supplymesh.sources.scratch import settled
 
 
 @dataclass(frozen=True)
@@ -44,30 +45,30 @@ def analyse(spark: SparkSession, company: str, edges: DataFrame | None = None, n
 
     ``edges``: relationships with evidence (default: the curated ones). ``news``: items (NEWS). ``expected``: canonical names of tier-1 suppliers."""
     ids = identities or Identities(spark)
-    known = gated_edges(edges if edges is not None else R.curated_edges(spark), ids).cache()
+    known = settled(gated_edges(edges if edges is not None else R.curated_edges(spark), ids))
     target = ids.resolve(spark.createDataFrame([(company,)], "name string"), "name").first().canonical
     walk = graph.expand_tiers(known.select(F.col("source_canonical").alias("source"), F.col("canonical").alias("name"), "confidence", "seq"), target, config.limits)
     detail = known.select(F.col("source_canonical").alias("parent"), F.col("canonical").alias("name"), F.col("name").alias("raw"), "location", "products", "criticality", "evidence")
     found = walk.join(detail, ["parent", "name"]).select("seq", F.col("raw").alias("name"), F.col("name").alias("canonical"), "location", "products", "tier", "criticality", F.col("confidence").alias("discovery_confidence"), F.col("propagated").alias("propagated_confidence"), "parent", "path", "evidence")
-    found = relational.first_per_key(found, ["canonical", "parent"], ["seq"])
+    found = settled(relational.first_per_key(found, ["canonical", "parent"], ["seq"]))
     text = F.col("said")
     rivals = F.broadcast(spark.createDataFrame(R.competitors(), "parent string, canonical string")).withColumn("competes", F.lit(True))  # a fixed list
     rel = found.withColumn("said", E.snippets(F.col("evidence"))).join(rivals, ["parent", "canonical"], "left")
     rel = rel.withColumn("r", E.classify(F.col("parent"), F.col("canonical"), text, F.coalesce("competes", F.lit(False)))).withColumn("r", E.enforce(F.col("r"), text, F.col("tier")))
-    relationships = rel.select("canonical", "seq", F.col("parent").alias("target_company"), "r.*", F.left("said", F.lit(500)).alias("evidence_text")).cache()
-    kept = suppliers.retained(suppliers.merged(found, ids), relationships).cache()
+    relationships = settled(rel.select("canonical", "seq", F.col("parent").alias("target_company"), "r.*", F.left("said", F.lit(500)).alias("evidence_text")))
+    kept = settled(suppliers.retained(suppliers.merged(found, ids), relationships))
     best = suppliers.best_relationships(relationships).select("canonical", "relationship_type", F.col("confidence_score").alias("rel"))
     v = kept.join(best, "canonical", "left").withColumn("known", ids.is_known(F.col("name"), F.col("canonical"))).withColumn("q", E.evidence_quality(F.col("evidence"))).withColumn("s", E.source_quality(F.col("evidence")))
     exists = S.existence(F.col("known"), F.lit(False), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("evidence"))
     v = v.withColumn("v", S.verification(exists, F.col("known"), F.col("relationship_type"), F.coalesce("rel", F.lit(0.0)), F.col("q"), F.col("s")))
-    verifications = v.select("canonical", "seq", "relationship_type", F.col("q").alias("evidence_quality"), F.col("s").alias("source_quality"), "v.*").cache()
-    risks = _risks(spark, kept, verifications, news, ids, config).cache()
+    verifications = settled(v.select("canonical", "seq", "relationship_type", F.col("q").alias("evidence_quality"), F.col("s").alias("source_quality"), "v.*"))
+    risks = settled(_risks(spark, kept, verifications, news, ids, config))
     quality = suppliers.verification_quality(kept, verifications)
     coverage = suppliers.discovery_coverage(kept, expected, quality)
     c = coverage.first()
     ratio = c.verification_adjusted_ratio if c else 0.0
     cap = 1.0 if ratio >= 0.8 else 0.78 if ratio >= 0.5 else 0.6 if ratio >= 0.3 else 0.45 if ratio > 0 else 0.25
-    scores = suppliers.scored(kept, relationships, verifications, risks, ratio, cap).cache()
+    scores = settled(suppliers.scored(kept, relationships, verifications, risks, ratio, cap))
     health = suppliers.health(scores, ratio, cap)
     nodes, star = graph.star_graph(scores.select("name", F.col("relationship_type").alias("relationship")), company)
     return {"suppliers": kept, "relationships": relationships, "verifications": verifications, "risks": risks, "coverage": coverage, "quality": quality, "scores": scores, "health": health, "nodes": nodes, "edges": star, "tiers": graph.tier_edges(walk), "report": report(scores, risks, health, coverage)}

@@ -22,11 +22,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supplymesh.llm.common import prepare, schema_with
+from supplymesh.llm.common import lean, prepare, schema_with
 from supplymesh.llm.pretokens import CHARS, ChunkMemory, Generations
 
 #: Pre-tokens that a worker remembers in a generation; packing of so many ids.
-PIECES = 300_000
+PIECES = 200_000
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(CHARS)]
 
 
@@ -197,7 +197,7 @@ def encode_column(df: DataFrame, text: str, path: str, pattern: str, ids: str =
                 columns.append(pa.array([encoder.decode(x) for x in found], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, names=[n for i, n in enumerate(batch.schema.names) if i != at] + new)
 
-    return kept.mapInArrow(run, schema_with(kept.drop(source), *((name, "binary") for name in new)))
+    return kept.mapInArrow(lean(run), schema_with(kept.drop(source), *((name, "binary") for name in new)))
 
 
 def decode_column(df: DataFrame, ids: str, path: str, pattern: str, decoded: str = "decoded") -> DataFrame:
@@ -211,4 +211,4 @@ def decode_column(df: DataFrame, ids: str, path: str, pattern: str, decoded: str
             found = [encoder.decode(x or b"") for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, decoded])
 
-    return kept.mapInArrow(run, schema_with(kept, (decoded, "binary")))
+    return kept.mapInArrow(lean(run), schema_with(kept, (decoded, "binary")))

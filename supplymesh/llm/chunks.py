@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supplymesh.llm.common import prepare, schema_with
+from supplymesh.llm.common import lean, prepare, schema_with
 
 #: Least, usual and greatest bytes in a chunk; zero bits asked for before the usual size and after it.
 LEAST, USUAL, GREATEST, BITS_BEFORE, BITS_AFTER = 24, 64, 256, 7, 4
@@ -118,7 +118,7 @@ def fingerprint_column(df: DataFrame, text: str = "text", out: str = "fingerprin
             found = [fingerprint(chunk_set(utf8(t or ""))) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([c for i, c in enumerate(batch.columns) if i != at] + [pa.array(found, pa.string())], names=[n for i, n in enumerate(batch.schema.names) if i != at] + [out])
 
-    return kept.mapInArrow(run, schema_with(kept.drop("__text"), (out, "string")))
+    return kept.mapInArrow(lean(run), schema_with(kept.drop("__text"), (out, "string")))
 
 
 def spliced(text: str, following: str) -> str:
@@ -204,4 +204,4 @@ def compare_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 waiting = now if kind == OWN else None
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=names)
 
-    return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInArrow(lean(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

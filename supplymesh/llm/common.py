@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Arrow batches sent to Python hold at most so many rows and bytes, so that a run of very long texts can't fill a worker.
-BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 #: The folder that holds the package.
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -56,6 +60,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow; when its input ends, the worker gives back what memory it holds but doesn't use, as it lives on for other tasks."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return wrapped
+
+
 def schema_with(df: DataFrame, *added: tuple[str, str]) -> T.StructType:
     """df's schema and further nullable columns (name, type), as a new schema."""
     return T.StructType([*df.schema.fields, *(T.StructField(n, T._parse_datatype_string(k)) for n, k in added)])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supplymesh.llm.common import prepare, schema_with
+from supplymesh.llm.common import lean, prepare, schema_with
 
 # --- pages as trees ------------------------------------------------------------------------------
 
@@ -424,4 +424,4 @@ def extract_column(pages: DataFrame, model: Model, page: str = "html", out: str
             found = [extract(x, shared.value)[0] for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([c for i, c in enumerate(batch.columns) if i != at] + [pa.array(found, pa.string())], names=[c for i, c in enumerate(batch.schema.names) if i != at] + [out])
 
-    return kept.mapInArrow(run, schema_with(kept.drop("__page"), (out, "string")))
+    return kept.mapInArrow(lean(run), schema_with(kept.drop("__page"), (out, "string")))

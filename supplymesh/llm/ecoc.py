@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supplymesh.llm.common import crc_remainder, prepare, sampled, schema_with, stored
+from supplymesh.llm.common import crc_remainder, lean, prepare, sampled, schema_with, stored
 
 #: Hash buckets of n-grams, the orders of n-grams, documents sampled for each language, languages learned at most (the commonest).
 BUCKETS, ORDERS, SAMPLE, LANGUAGES = 1 << 15, (2, 3, 4), 800, 256
@@ -114,7 +114,7 @@ def fit(sample: DataFrame, languages: list[str], key: str = "lang", text: str =
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, "i4")), pa.array(at.astype("i4")), pa.array(own[at])], names=["l", "h", "n"])
 
     shares = np.zeros((len(languages), BUCKETS))
-    for r in base.mapInArrow(count, "l int, h int, n double").groupBy("l", "h").agg(F.sum("n").alias("n")).toArrow().to_batches():
+    for r in base.mapInArrow(lean(count), "l int, h int, n double").groupBy("l", "h").agg(F.sum("n").alias("n")).toArrow().to_batches():
         np.add.at(shares, (r.column(0).to_numpy(), r.column(1).to_numpy()), r.column(2).to_numpy())
     shares = (shares + 1e-4) / (shares + 1e-4).sum(axis=1, keepdims=True)
     weights = np.empty((BUCKETS, code.shape[1]), "f4")
@@ -132,7 +132,7 @@ def fit(sample: DataFrame, languages: list[str], key: str = "lang", text: str =
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.list_(pa.float64()))], names=["l", "v"])
 
     bits = code.shape[1]
-    judged = base.mapInArrow(judge, "l int, v array<double>").groupBy("l").agg(F.count("*").alias("n"), *(F.sum(F.col("v")[i]).alias(f"s{i}") for i in range(2 * bits))).collect()
+    judged = base.mapInArrow(lean(judge), "l int, v array<double>").groupBy("l").agg(F.count("*").alias("n"), *(F.sum(F.col("v")[i]).alias(f"s{i}") for i in range(2 * bits))).collect()
     right, size, n = np.zeros(code.shape), np.zeros(bits), 0
     for r in judged:
         right[r.l] = [r[f"s{i}"] / r.n for i in range(bits)]
@@ -172,7 +172,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             columns = list(zip(*rows)) if rows else [[], [], []]
             yield pa.RecordBatch.from_arrays([c for i, c in enumerate(batch.columns) if i != at] + [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.bool_()))], names=[n for i, n in enumerate(batch.schema.names) if i != at] + new)
 
-    return kept.mapInArrow(run, schema_with(kept.drop("__text"), ("lang_pred", "string"), ("score", "double"), ("ambiguous", "boolean")))
+    return kept.mapInArrow(lean(run), schema_with(kept.drop("__text"), ("lang_pred", "string"), ("score", "double"), ("ambiguous", "boolean")))
 
 
 #: Documents whose crc32(doc_id) has this remainder are held out.

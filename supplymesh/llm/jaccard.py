@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from supplymesh.llm.bytehash import mix
-from supplymesh.llm.common import checkpointed, prepare, stored
+from supplymesh.llm.common import checkpointed, lean, prepare, stored
 from supplymesh.llm.shingles import shingle_sets
 
 #: Cells of the counting sketch (a power of two), and the parts it is passed on in.
@@ -108,7 +108,7 @@ def measured(docs: DataFrame) -> DataFrame:
             parts = [zlib.compress(x.tobytes(), 1) for x in counts.reshape(CHUNKS, -1)]
             yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, pa.int64())] * 3 + [pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, node long, size long, chunk int, counts binary")
+    return docs.mapInArrow(lean(run), "doc_id long, node long, size long, chunk int, counts binary")
 
 
 def sketch(parts: DataFrame) -> np.ndarray:
@@ -123,7 +123,7 @@ def sketch(parts: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(np.minimum(x, 0xFFFFFFFF).astype("<u4").tobytes(), 1) for x in sums.values()], pa.binary())], names=["chunk", "counts"])
 
     out = np.zeros((CHUNKS, CELLS // CHUNKS), "u4")
-    for r in parts.repartition(CHUNKS, "chunk").mapInArrow(run, "chunk int, counts binary").toLocalIterator():
+    for r in parts.repartition(CHUNKS, "chunk").mapInArrow(lean(run), "chunk int, counts binary").toLocalIterator():
         out[r.chunk] = np.frombuffer(zlib.decompress(r.counts), "<u4")
     return out.reshape(-1)
 
@@ -143,7 +143,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, small: int) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=["doc_id", "node", "size", "prefix", "whole"])
 
-    return docs.mapInArrow(run, "doc_id long, node long, size long, prefix array<long>, whole array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, node long, size long, prefix array<long>, whole array<long>")
 
 
 def needed_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def needed_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             sets = shingle_sets(kept.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([kept.column(0), pa.array([_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "node", "own"])
 
-    found = docs.select("doc_id", "text", bit.alias("bit")).mapInArrow(run, "doc_id long, node long, own binary")
+    found = docs.select("doc_id", "text", bit.alias("bit")).mapInArrow(lean(run), "doc_id long, node long, own binary")
     return found.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "node"])
 
 
@@ -188,7 +188,7 @@ def small_links(nodes: DataFrame, small: int) -> DataFrame:
                     lesser += [size == a] * len(h)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(lesser, pa.bool_())], names=["key", "doc_id", "lesser"])
 
-    rows = nodes.filter(F.col("whole").isNotNull()).select("doc_id", "size", "whole").mapInArrow(run, "key long, doc_id long, lesser boolean")
+    rows = nodes.filter(F.col("whole").isNotNull()).select("doc_id", "size", "whole").mapInArrow(lean(run), "key long, doc_id long, lesser boolean")
     # sets that share a subset link with the lesser ones among them, and so with the first of these
     first = rows.groupBy("key").agg(F.min(F.when(F.col("lesser"), F.col("doc_id"))).alias("v"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("v is not null and a < b").select("key", "v")
     return rows.join(first, "key").filter("doc_id != v").select(F.col("doc_id").alias("u"), "v").distinct()
@@ -257,7 +257,7 @@ def scanned(nodes: DataFrame) -> DataFrame:
         end()
         yield out()
 
-    return postings.mapInArrow(run, "token long, u long, su long, v long, sv long")
+    return postings.mapInArrow(lean(run), "token long, u long, su long, v long, sv long")
 
 
 def light_candidates(found: DataFrame) -> DataFrame:
@@ -283,7 +283,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 good.append(len(np.intersect1d(a, b, assume_unique=True)) >= overlap_needed(len(a), len(b)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    return whole.mapInArrow(run, "u long, v long").distinct()
+    return whole.mapInArrow(lean(run), "u long, v long").distinct()
 
 
 def families(found: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supplymesh.llm.common import prepare, schema_with
+from supplymesh.llm.common import lean, prepare, schema_with
 
 #: Fixed by the format: capture pattern, header layout, flags, the granule position of a page on which no packet ends.
 CAPTURE, HEADER, NO_GRANULE = b"OggS", struct.Struct("<4sBBqIIIB"), -1
@@ -226,7 +226,7 @@ def store_column(df: DataFrame, text: str = "text", media: str = "media", n_byte
             columns += [pa.array([write(p) for p, _ in payloads], pa.binary()), pa.array([n for _, n in payloads], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[n for i, n in enumerate(batch.schema.names) if i != at] + [media, n_bytes])
 
-    return kept.mapInArrow(run, schema_with(kept.drop("__text"), (media, "binary"), (n_bytes, "long")))
+    return kept.mapInArrow(lean(run), schema_with(kept.drop("__text"), (media, "binary"), (n_bytes, "long")))
 
 
 #: What reading a stored column adds: its payload, and the features of its samples.
@@ -254,4 +254,4 @@ def read_column(df: DataFrame, media: str = "media", with_payload: bool = True)
             kinds = {"binary": pa.binary(), "string": pa.string(), "long": pa.int64()}
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, kinds[k]) for c, (_, k) in zip(columns, added))], names=[*batch.schema.names, *(n for n, _ in added)])
 
-    return kept.mapInArrow(run, schema_with(kept, *added))
+    return kept.mapInArrow(lean(run), schema_with(kept, *added))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from supplymesh.llm.common import prepare, stored
+from supplymesh.llm.common import lean, prepare, stored
 from supplymesh.llm.pretokens import ChunkMemory
 
 CAPACITY = 2048
@@ -259,7 +259,7 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
             columns = zip(*rows) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return base.mapInArrow(run, PIECES)
+    return base.mapInArrow(lean(run), PIECES)
 
 
 def place(found: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, large: float = LARGE) -> DataFrame:
@@ -289,7 +289,7 @@ def place(found: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, larg
             sequence, offset = shared.value.places(batch.column(3).to_numpy(), batch.column(5).to_numpy())
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    return whole.mapInArrow(run, PIECES + ", sequence_id long, offset long")
+    return whole.mapInArrow(lean(run), PIECES + ", sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:

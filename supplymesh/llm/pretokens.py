@@ -17,9 +17,9 @@ from supplymesh.llm.bytehash import run_hashes
 
 K, V = TypeVar("K"), TypeVar("V")
 #: Entries of a memory's generation; chunks of more characters aren't remembered.
-GENERATION, CHARS = 1_200_000, 64
+GENERATION, CHARS = 400_000, 64
 #: Bytes of text whose chunks are looked up in one go, about.
-GROUP = 2 << 20
+GROUP = 1 << 20
 
 
 class Generations(Generic[K, V]):

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supplymesh.llm.common import prepare, stored
+from supplymesh.llm.common import lean, prepare, stored
 
 #: Fixed by the ZIP format: signatures and layouts of the local header, central entry, end record, ZIP64 end record and locator.
 LOCAL, ENTRY, END = struct.Struct("<4s5H3L2H"), struct.Struct("<4s6H3L5H2L"), struct.Struct("<4s4H2LH")
@@ -288,7 +288,7 @@ def archives(pages: DataFrame, least: int = REVISIT_LEAST, archive_bytes: int =
         if held:
             yield closed()
 
-    return originals(base, least).mapInArrow(run, "name string, content binary")
+    return originals(base, least).mapInArrow(lean(run), "name string, content binary")
 
 
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -310,7 +310,7 @@ def records(found: DataFrame, content: str = "content", with_payload: bool = Fal
                 rows = [(r.page_id, r.payload_bytes, r.digest, r.kind, r.refers_to, r.payload)[: 5 + with_payload] for r in read_archive(lambda at, n: bytes(read[at : at + n]), len(data))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=names)
 
-    return found.select(F.col(f"`{content}`").cast("binary").alias("content")).mapInArrow(run, RECORDS + ", payload binary" * with_payload)
+    return found.select(F.col(f"`{content}`").cast("binary").alias("content")).mapInArrow(lean(run), RECORDS + ", payload binary" * with_payload)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

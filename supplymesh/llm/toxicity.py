@@ -2,7 +2,7 @@
 
 Terms (words and word beginnings) get log-odds of toxic against other documents, with an
 informative Dirichlet prior: the share that a term has of all sampled documents. Only what stays
-positive after two standard errors counts; every other word costs a little. One scan over a text's
+positive after one and a half standard errors counts; every other word costs a little. One scan over a text's
 words then finds all maximal-scoring segments, in linear time. Scores of the best segment in
 non-toxic text follow an extreme-value law, whose rate is the root of E[exp(rate * score)] = 1 and
 whose size is fitted to sampled documents; a segment is significant if fewer than one as good is
@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supplymesh.llm.common import crc_remainder, prepare, sampled, schema_with, stored
+from supplymesh.llm.common import crc_remainder, lean, prepare, sampled, schema_with, stored
 
 #: Labelled documents used of each kind at most, about; terms weighed at most; folds.
 TOXIC_SAMPLE, OTHER_SAMPLE, TERMS, FOLDS = 4000, 6000, 100_000, 4
-#: Lengths of word beginnings; documents' worth of prior; standard errors taken off; cost of a word that tells nothing.
-PREFIXES, PRIOR, ERRORS, COST = (4, 5, 6, 7), 300.0, 2.0, 0.3
+#: Lengths of word beginnings; weight of the prior, as a part of the sampled documents; standard errors taken off; cost of a word that tells nothing.
+PREFIXES, PRIOR, ERRORS, COST = (4, 5, 6, 7), 0.03, 1.5, 0.3
 #: Words that a worker remembers.
-MEMORY = 300_000
+MEMORY = 100_000
 _WORD = re.compile(r"\w+")
 
 
@@ -123,10 +123,10 @@ class Model:
 
 def weigh(toxic: np.ndarray, other: np.ndarray, n_toxic: float, n_other: float) -> np.ndarray:
     """Log-odds of terms found in so many toxic and other documents, less their standard errors; 0 if not positive."""
-    share = (toxic + other + 0.5) / (n_toxic + n_other + 1)
-    prior = PRIOR * share
+    weight = PRIOR * (n_toxic + n_other)
+    prior = weight * (toxic + other + 0.5) / (n_toxic + n_other + 1)
     a, b = toxic + prior, other + prior
-    odds = np.log(a / np.maximum(n_toxic + PRIOR - a, 0.5)) - np.log(b / np.maximum(n_other + PRIOR - b, 0.5))
+    odds = np.log(a / np.maximum(n_toxic + weight - a, 0.5)) - np.log(b / np.maximum(n_other + weight - b, 0.5))
     return np.maximum(0.0, odds - ERRORS * np.sqrt(1 / a + 1 / b))
 
 
@@ -150,17 +150,25 @@ def _rate(scores: Counter, total: float) -> float:
     return low
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Intercept and slope of a regression with a slight ridge, by Newton's method."""
-    a = np.stack([np.ones_like(x), x], axis=1)
-    w = np.zeros(2)
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (weight * p * (1 - p))[:, None]).T @ a + np.diag([1e-3, 1e-2])
-        step = np.linalg.solve(h, a.T @ (weight * (y - p)) - np.array([1e-3, 1e-2]) * w)
-        w += step
-        if np.abs(step).max() < 1e-8:
-            break
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, usual: float = 1.5, least: float = 0.5) -> tuple[float, float]:
+    """Intercept and slope of a regression by Newton's method, the slope drawn slightly to the usual one: more evidence never tells for less, however few documents there are."""
+
+    def solve(slope: float | None) -> np.ndarray:
+        w = np.array([0.0, usual if slope is None else slope])
+        free = np.array([1.0, float(slope is None)])
+        a = np.stack([np.ones_like(x), x], axis=1)
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            h = (a * (weight * p * (1 - p))[:, None]).T @ a + np.diag([1e-3, 0.5])
+            g = (a.T @ (weight * (y - p)) - np.array([1e-3, 0.5]) * (w - np.array([0.0, usual]))) * free
+            step = np.clip(np.linalg.solve(h, g), -2, 2) if slope is None else np.array([np.clip(g[0] / h[0, 0], -2, 2), 0.0])
+            w = w + step
+            if np.abs(step).max() < 1e-8:
+                break
+        return w
+
+    w = solve(None)
+    w = w if w[1] >= least else solve(least)
     return float(w[0]), float(w[1])
 
 
@@ -190,14 +198,14 @@ def fit(sample: DataFrame, kinds: tuple[float, float]) -> Model:
 
     kind = "term string, fold int, c long"
     by_fold = [F.sum(F.when(F.col("fold") == f, F.col("c")).otherwise(0)).alias(f"f{f}") for f in range(FOLDS)]
-    toxic = sample.filter("toxic = 1").select("text", "fold").mapInArrow(count(None), kind).groupBy("term").agg(F.sum("c").alias("c"), *by_fold)
+    toxic = sample.filter("toxic = 1").select("text", "fold").mapInArrow(lean(count(None)), kind).groupBy("term").agg(F.sum("c").alias("c"), *by_fold)
     rows = toxic.filter(F.col("c") >= 2).orderBy(F.desc("c"), "term").limit(TERMS).collect()
     names = [r.term for r in rows]
     at = {t: i for i, t in enumerate(names)}
     counts = np.zeros((2, FOLDS, len(names)))
     for i, r in enumerate(rows):
         counts[1, :, i] = r[2:]
-    for r in sample.filter("toxic = 0").select("text", "fold").mapInArrow(count(set(names)), kind).groupBy("term").agg(*by_fold).collect():
+    for r in sample.filter("toxic = 0").select("text", "fold").mapInArrow(lean(count(set(names))), kind).groupBy("term").agg(*by_fold).collect():
         counts[0, :, at[r.term]] = r[1:]
 
     def model(fold: int | None) -> Model:
@@ -221,7 +229,7 @@ def fit(sample: DataFrame, kinds: tuple[float, float]) -> Model:
             kinds = (pa.int32(), pa.int64(), *[pa.list_(pa.float64())] * 3)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=["toxic", "words", "found", "score", "times"])
 
-    judged = sample.select("text", "fold", "toxic").mapInArrow(judge, "toxic int, words long, found array<double>, score array<double>, times array<double>").collect()
+    judged = sample.select("text", "fold", "toxic").mapInArrow(lean(judge), "toxic int, words long, found array<double>, score array<double>, times array<double>").collect()
     made = model(None)
     others = [r for r in judged if not r.toxic and r.words]
     positive: Counter = Counter()
@@ -280,4 +288,4 @@ def detect(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             columns = [pa.array([s for s, *_ in judged], pa.float64()), pa.array([int(s >= 0.5) for s, *_ in judged], pa.int32()), pa.array([e for _, e, _ in judged], pa.float64()), pa.array(passages, inner)]
             yield pa.RecordBatch.from_arrays([c for i, c in enumerate(batch.columns) if i != at] + columns, names=[c for i, c in enumerate(batch.schema.names) if i != at] + new)
 
-    return kept.mapInArrow(run, schema_with(kept.drop("__text"), ("score", "double"), ("predicted", "int"), ("evidence", "double"), ("passages", "array<struct<begin:int,end:int,score:double,expected:double>>")))
+    return kept.mapInArrow(lean(run), schema_with(kept.drop("__text"), ("score", "double"), ("predicted", "int"), ("evidence", "double"), ("passages", "array<struct<begin:int,end:int,score:double,expected:double>>")))

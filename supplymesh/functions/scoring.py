@@ -73,8 +73,9 @@ def discovery_confidence(count: Column, name: Column, known: Column, relation: C
     return py_round(F.greatest(F.lit(0.01), F.least(total, F.lit(0.98))), 2, exact)
 
 
-def product_tags(snippet: Column) -> Column:
-    tags = F.array_compact(F.array(*(F.when(has_any(snippet, words), label) for label, words in TAGS)))
+def product_tags(snippet: Column, table=TAGS) -> Column:
+    """The labels of which a text has a word, in the order of the table."""
+    tags = F.array_compact(F.array(*(F.when(has_any(snippet, words), label) for label, words in table)))
     return F.when(F.size(tags) > 0, tags).otherwise(F.array(F.lit("General Components")))
 
 

@@ -415,3 +415,137 @@ from embeddings q join embeddings v on q.vec_id <> v.vec_id where q.vec_id % 100
 def topk_similar(spark, sf_dir):
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return vector.top_similar(vectors.filter("vec_id % 100 = 0"), vectors, 5).drop("similarity")
+
+
+@bound("select doc_id, case when length(text) > 240 then rtrim(substr(text, 1, 237), ' ') || '...' else text end \"label\" from documents")
+def truncated_labels(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", text.truncated(F.col("text"), 240).alias("label"))
+
+
+@bound("select p_partkey, regexp_replace(regexp_replace(lower(p_name || ' & ' || p_brand), '[^\\w\\s]', '', 'g'), '\\s+', '_', 'g') slug from part")
+def slug_names(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select("p_partkey", names.slug(F.concat("p_name", F.lit(" & "), "p_brand")).alias("slug"))
+
+
+@bound("select n_name || ' ' || q query, n_nationkey, cast(row_number() over (partition by n_nationkey order by q) as int) n from nation, (values ('suppliers'), ('supply chain'), ('vendors')) t(q)")
+def query_templates(spark, sf_dir):
+    """Every nation with every query template."""
+    templates = F.broadcast(spark.createDataFrame([("suppliers",), ("supply chain",), ("vendors",)], "q string"))  # a fixed list
+    both = _table(spark, sf_dir, "nation").select("n_name", "n_nationkey").join(templates)
+    return relational.numbered(both, ["n_nationkey"], ["q"], "n").select(F.concat("n_name", F.lit(" "), "q").alias("query"), "n_nationkey", "n")
+
+
+@bound("""
+select o_custkey, o_orderkey, coalesce(lag(o_orderkey) over w, -1) previous, coalesce(date_diff('day', lag(o_orderdate) over w, o_orderdate), 0) "days" from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)
+""")
+def previous_order(spark, sf_dir):
+    """Each order with the customer's order before it."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    days = F.datediff("o_orderdate", F.lag("o_orderdate").over(w)).cast("long")
+    return _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.coalesce(F.lag("o_orderkey").over(w), F.lit(-1)).alias("previous"), F.coalesce(days, F.lit(0)).alias("days"))
+
+
+@bound("select s_suppkey, s_name, s_acctbal from supplier order by s_acctbal desc, s_suppkey limit 5")
+def key_suppliers(spark, sf_dir):
+    return _table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal").orderBy(F.desc("s_acctbal"), "s_suppkey").limit(5)
+
+
+@bound("""
+with judged as (select source, doc_id, case when quality is null then 'Missing' when quality = 0 then 'Failed' when toxic = 1 then 'Low confidence' end problem from documents left join labels using (doc_id))
+select source, problem, doc_id, cast(n as int) n from (select *, row_number() over (partition by source, problem order by doc_id) n from judged where problem is not null) where n <= 5
+""")
+def data_quality_warnings(spark, sf_dir):
+    """The first warnings of each kind and source, numbered."""
+    from supplymesh.functions import scoring
+
+    both = _table(spark, sf_dir, "documents").select("doc_id", "source").join(_table(spark, sf_dir, "labels"), "doc_id", "left")
+    problem = scoring.data_quality(F.col("quality") == 1, F.when(F.col("toxic") == 1, 0.5).otherwise(0.9))
+    return relational.topk_per_key(both.select("source", problem.alias("problem"), "doc_id").filter("problem is not null"), ["source", "problem"], ["doc_id"], 5, rank="n")
+
+
+@bound("""
+with d as (select event_id, date_trunc('second', ts) t, max(ts) over () as_of from events)
+select event_id, t published, t >= as_of - interval 10 day recent from d where event_id % 7 <> 0
+""")
+def feed_dates(spark, sf_dir):
+    """RFC 2822 dates written and read back, and whether they are recent; what is no date goes."""
+    from supplymesh.functions import risk
+
+    events = _table(spark, sf_dir, "events").select("event_id", "ts")
+    as_of = F.broadcast(events.agg(F.max("ts").alias("as_of")))  # one row
+    raw = F.when(F.col("event_id") % 7 == 0, "no date").otherwise(F.concat(F.date_format("ts", "EEE, d MMM yyyy HH:mm:ss"), F.lit(" GMT")))
+    read = events.join(as_of).select("event_id", "as_of", raw.alias("raw")).withColumn("published", risk.published(F.col("raw")))
+    return read.filter("published is not null").select("event_id", "published", risk.recent(F.col("raw"), F.col("as_of"), 10).alias("recent"))
+
+
+@bound("""
+(select l_suppkey, 'both' kind from lineitem where l_returnflag = 'R' and l_discount >= 0.1 intersect select l_suppkey, 'both' from lineitem where l_returnflag = 'A' and l_discount >= 0.1)
+union all (select l_suppkey, 'only R' from lineitem where l_returnflag = 'R' and l_discount >= 0.1 except select l_suppkey, 'only R' from lineitem where l_returnflag = 'A' and l_discount >= 0.1)
+""")
+def set_operations(spark, sf_dir):
+    lines = _table(spark, sf_dir, "lineitem").filter("l_discount >= 0.1").select("l_suppkey", "l_returnflag")
+    r, a = (lines.filter(F.col("l_returnflag") == f).select("l_suppkey") for f in "RA")
+    return r.intersect(a).withColumn("kind", F.lit("both")).unionByName(r.subtract(a).withColumn("kind", F.lit("only R")))
+
+
+_TAGS = (("Licensed", ["license", "apache"]), ("Contact", ["@mail", "+1 ("]), ("Table", [" | "]), ("Shouting", ["!!"]))
+
+
+@bound("""
+select doc_id, string_agg(tag, ';' order by i) tags from (select doc_id, 1 i, 'Licensed' tag from documents where regexp_matches(lower(text), 'license|apache') union all select doc_id, 2, 'Contact' from documents where contains(lower(text), '@mail') or contains(text, '+1 (')
+union all select doc_id, 3, 'Table' from documents where contains(text, ' | ') union all select doc_id, 4, 'Shouting' from documents where contains(text, '!!')) group by doc_id
+""")
+def product_tags(spark, sf_dir):
+    """Labels of texts by words, in the order of the labels; texts with none go."""
+    from supplymesh.functions import scoring
+
+    tagged = _table(spark, sf_dir, "documents").select("doc_id", F.array_join(scoring.product_tags(F.col("text"), _TAGS), ";").alias("tags"))
+    return tagged.filter("tags <> 'General Components'")
+
+
+@bound("select event_type, cast(ts as date) \"day\", count(*) events, sum(cast(value as decimal(12, 2)))::decimal(18, 2) total, max(value) most from events group by event_type, cast(ts as date)")
+def stage_timings(spark, sf_dir):
+    """Sums by stage and day, exact."""
+    return _table(spark, sf_dir, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("events"), F.sum(F.col("value").cast("decimal(12,2)")).cast("decimal(18,2)").alias("total"), F.max("value").alias("most"))
+
+
+@bound("""
+with f as (select l_suppkey, l_partkey, row_number() over (partition by l_suppkey order by min(l_shipdate), l_partkey) n from lineitem where l_quantity >= 48 group by l_suppkey, l_partkey)
+select l_suppkey, string_agg(cast(l_partkey as varchar), ' -> ' order by n) path from f where n <= 4 group by l_suppkey
+""")
+def path_display(spark, sf_dir):
+    """The first parts of each supplier in order of their shipping, as a path."""
+    lines = _table(spark, sf_dir, "lineitem").filter("l_quantity >= 48").groupBy("l_suppkey", "l_partkey").agg(F.min("l_shipdate").alias("d"))
+    first = relational.topk_per_key(lines, ["l_suppkey"], ["d", "l_partkey"], 4, rank="n")
+    ordered = first.groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("n", F.col("l_partkey").cast("string").alias("p")))).alias("x"))
+    return ordered.select("l_suppkey", F.array_join(F.transform("x", lambda r: r["p"]), " -> ").alias("path"))
+
+
+@bound()
+def fuzzy_residue(spark, sf_dir):
+    """Misspelt aliases of known companies resolved by closeness, part names left as they are."""
+    from supplymesh.operators.resolve import Identities
+    from supplymesh.sources import reference_data
+
+    ids = Identities(spark)
+    typos = spark.createDataFrame([(a[:-2] + a[-1:] + a[-2:-1],) for a, _ in reference_data.identities() if len(a) > 12], "name string")
+    parts = _table(spark, sf_dir, "part").select(F.concat("p_name", F.lit(" works")).alias("name")).distinct()
+    return ids.resolve(typos.unionByName(parts), "name")
+
+
+@bound()
+def infobox_parse(spark, sf_dir):
+    from supplymesh.sources import tables
+
+    return tables.profiles_of_pages(_table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "profile.*")
+
+
+@bound()
+def network_report(spark, sf_dir):
+    """The report of a whole analysis over the curated relationships."""
+    from supplymesh.operators.graph import Limits
+    from supplymesh.plans import analysis
+
+    return analysis.analyse(spark, "Tesla", config=analysis.Config(limits=Limits(max_depth=2, per_parent=7)))["report"]

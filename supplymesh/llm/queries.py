@@ -83,4 +83,21 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {}
+#: DuckDB SQL of the queries that it can express; learned, iterative and encoded results can't be.
+ORACLES: dict[str, str] = {
+    "op6_zip_warc": """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) n, sha256(coalesce(html, '')) d from pages),
+f as (select *, case when n >= 100 then min(page_id) over (partition by d) end first from p)
+select page_id, n payload_bytes, d payload_digest, case when first is distinct from page_id and first is not null then 'revisit' else 'response' end record_type, case when first <> page_id then first end refers_to from f
+""",
+    "op9_jaccard_join": """
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x09-\\x0D\\x20]+'), lambda x: x <> '') w from documents),
+s as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ') || ' ' || len(w)] else [] end) s from w),
+n as (select doc_id, count(s.s) n from w left join s using (doc_id) group by doc_id),
+shared as (select a.doc_id a, b.doc_id b, count(*) i from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+links as (select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 80 * (x.n + y.n - i)),
+linked as materialized (select a, b from links union select b, a from links),
+reach as (select doc_id, doc_id r from n union select reach.doc_id, b from reach join linked on linked.a = reach.r)
+select doc_id, min(n) n_shingles, min(r) component_id from reach join n using (doc_id) group by doc_id
+""",
+}

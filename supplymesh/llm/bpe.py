@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from supplymesh.llm.common import lean, prepare, schema_with
 from supplymesh.llm.pretokens import CHARS, ChunkMemory, Generations
 
-#: Pre-tokens that a worker remembers in a generation; packing of so many ids.
-PIECES = 200_000
+#: Pre-tokens and chunks that a worker remembers in a generation; packing of so many ids.
+PIECES, CHUNKS = 300_000, 1_200_000
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(CHARS)]
 
 
@@ -170,7 +170,7 @@ _LOADED: dict[tuple[str, str], tuple[BytePairEncoder, ChunkMemory]] = {}
 def loaded(path: str, pattern: str) -> tuple[BytePairEncoder, ChunkMemory]:
     if (path, pattern) not in _LOADED:
         own = BytePairEncoder.load(path, pattern)
-        _LOADED[path, pattern] = own, ChunkMemory(own.encode_many)
+        _LOADED[path, pattern] = own, ChunkMemory(own.encode_many, CHUNKS)
     return _LOADED[path, pattern]
 
 

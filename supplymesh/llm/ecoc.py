@@ -23,7 +23,7 @@ from supplymesh.llm.common import crc_remainder, lean, prepare, sampled, schema_
 #: Hash buckets of n-grams, the orders of n-grams, documents sampled for each language, languages learned at most (the commonest).
 BUCKETS, ORDERS, SAMPLE, LANGUAGES = 1 << 15, (2, 3, 4), 800, 256
 #: Score under which a text is ambiguous; what a language is called that can't be told.
-AMBIGUOUS, UNKNOWN = 0.6, "und"
+AMBIGUOUS, UNKNOWN = 0.52, "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _SPACED = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 _RUNS = re.compile(rb" {2,}")

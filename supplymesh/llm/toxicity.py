@@ -107,7 +107,12 @@ class Model:
         of = {w: self.word(w) for w in set(words)}
         if not any(s > 0 for s in of.values()):
             return len(words), []
-        return len(words), segments([of[w] for w in words])
+        scores, seen = [of[w] for w in words], Counter()
+        for i, x in enumerate(scores):
+            if x > 0:  # a word tells less each time that it is said again
+                seen[words[i]] += 1
+                scores[i] = x / seen[words[i]]
+        return len(words), segments(scores)
 
     def expected(self, words: int, score: float) -> float:
         return self.size * words * math.exp(-self.rate * score)

@@ -14,7 +14,7 @@ from supplymesh.functions.text import contains_phrase, hits, strip_markup
 from supplymesh.sources import reference_data as R
 
 _ANYWHERE = lambda patterns: [f"(?iU){p}" for p in patterns]
-#: Weights of signals, least scores by tier, least scores and confidences elsewhere.
+# Weights of signals, least scores by tier, least scores and confidences elsewhere; words that say who supplies whom.
 WEIGHTS, LEAST_BY_TIER, LEAST_SCORE, LEAST_CONFIDENCE, LEAST_DISCOVERY = (5, 3, 1), {2: 3, 3: 5}, 5, 0.65, 0.75
 _VERBS = r"(?:suppl(?:y|ies|ied)|provid(?:e|es|ed)|manufactur(?:e|es|ed)|fabricat(?:e|es|ed)|assembl(?:e|es|ed)|packag(?:e|es|ed)|sells?)"
 _BY = r"(?:supplied by|sourced from|sources from|procures from|manufactured by|fabricated by|assembled by|packaged by|outsourced to)"

@@ -230,7 +230,7 @@ def store_column(df: DataFrame, text: str = "text", media: str = "media", n_byte
 
 
 #: What reading a stored column adds: its payload, and the features of its samples.
-READ = "payload binary, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+READ = "payload binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def read_column(df: DataFrame, media: str = "media", with_payload: bool = True) -> DataFrame:
@@ -244,7 +244,7 @@ def read_column(df: DataFrame, media: str = "media", with_payload: bool = True)
             return (None,) * len(added)
         audio = read(data)
         p = audio.samples
-        found = (hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(audio))
+        found = (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(audio))
         return (p, *found) if with_payload else found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,7 +35,7 @@ def op3_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     read = ogg.read_column(ogg.store_column(docs).drop("text"), with_payload=False)
-    return read.select("doc_id", "n_bytes", F.greatest(F.lit(64), F.ceil(F.col("n_bytes") / 64) * 64).cast("long").alias("payload_bytes"), "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,6 +51,6 @@ def test_columns(spark):
         raw = (text or "").encode()
         payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         g = got[k]
-        assert (g.n_bytes, bytes(g.payload), g.payload_sha256, g.tail_crc32, g.media_bytes) == (len(raw), payload, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(g.media))
+        assert (g.n_bytes, g.payload_bytes, bytes(g.payload), g.payload_sha256, g.tail_crc32, g.media_bytes) == (len(raw), len(payload), payload, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(g.media))
     assert got[1].media_sha256 == got[6].media_sha256 and got[1].feature == got[6].feature
     assert ogg.read_column(ogg.store_column(spark.createDataFrame([], "doc_id long, text string"))).count() == 0

@@ -54,7 +54,7 @@ def analyse(spark: SparkSession, company: str, edges: DataFrame | None = None, n
     text = F.col("said")
     rivals = F.broadcast(spark.createDataFrame(R.competitors(), "parent string, canonical string")).withColumn("competes", F.lit(True))  # a fixed list
     rel = found.withColumn("said", E.snippets(F.col("evidence"))).join(rivals, ["parent", "canonical"], "left")
-    rel = rel.withColumn("r", E.classify(F.col("parent"), F.col("canonical"), text, F.coalesce("competes", F.lit(False)))).withColumn("r", E.enforce(F.col("r"), text, F.col("tier")))
+    rel = rel.withColumn("r", E.classify(F.col("parent"), F.col("name"), text, F.coalesce("competes", F.lit(False)))).withColumn("r", E.enforce(F.col("r"), text, F.col("tier")))
     relationships = settled(rel.select("canonical", "seq", F.col("parent").alias("target_company"), "r.*", F.left("said", F.lit(500)).alias("evidence_text")))
     kept = settled(suppliers.retained(suppliers.merged(found, ids), relationships))
     best = suppliers.best_relationships(relationships).select("canonical", "relationship_type", F.col("confidence_score").alias("rel"))

@@ -106,6 +106,18 @@ def test_similarity(spark):
         vector.top_similar(v, v, 1, most_queries=2)
 
 
+def test_similarity_of_many_queries(spark, monkeypatch):
+    v = spark.createDataFrame([(-1, [1.0, 0.0]), (-2, [0.6, 0.8]), (-3, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    many = spark.range(10_050).select(F.col("id").alias("vec_id"), F.when(F.col("id") % 2 == 0, F.array(F.lit(1.0), F.lit(0.1))).otherwise(F.array(F.lit(0.1), F.lit(1.0))).cast("array<float>").alias("embedding"))
+    got = {(r.query_id, r["rank"]): r.id for r in vector.top_similar(many, v, 2).collect()}
+    assert got == {(i, k): (-k if i % 2 == 0 else k - 4) for i in range(10_050) for k in (1, 2)}
+    few = many.limit(9).unionByName(many.limit(3)).unionByName(v)
+    rows = lambda: sorted(tuple(r) for r in vector.top_similar(few, v, 3).collect())
+    whole = rows()
+    monkeypatch.setattr(vector, "BLOCK_QUERIES", 2)
+    assert rows() == whole
+
+
 def test_sole_sources(spark):
     got = {r.s: (r.products, r.sole_products) for r in relational.sole_sources(spark.createDataFrame([("a", "p"), ("b", "p"), ("b", "q")], "s string, p string"), "s", "p").collect()}
     assert got == {"a": (1, 0), "b": (2, 1)}

@@ -1,6 +1,6 @@
 """Exact Jaccard join of documents on word shingles, by set size and list length, and its components.
 
-Documents with equal shingle sets are one node. Two nodes of a and b shingles link when they share at
+Documents with equal shingle sets are one node, known by a 64-bit hash of the set, whatever their ids. Two nodes of a and b shingles link when they share at
 least 4 (a + b) / 9 of them, which is a Jaccard similarity of 0.8. Nodes are joined by their size:
 
 * small sets are enumerated: for each size that a partner may have, all subsets of exactly as many
@@ -29,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from supplymesh.llm.bytehash import mix
@@ -44,8 +44,9 @@ LIGHT, BLOCK_SETS, BLOCK_SHINGLES = 32, 256, 400_000
 SMALL_MOST, LIST_COST = 14, 8
 #: Bits of the filter that tells which documents' sets are needed again. It only lets too many pass, never too few.
 FILTER_BITS = 1 << 26
-#: A class of equal sets is hot with more than this part of all documents.
+#: A class of equal sets is hot with more than this part of all documents, and a component with more than this part of all linked classes.
 HOT = 1000
+#: Stands for a null id where rows of a class are found by their ids.
 _LAST = (1 << 63) - 1
 
 
@@ -93,22 +94,22 @@ def _cells(shingles: np.ndarray) -> np.ndarray:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """First pass, of docs (doc_id, text): (doc_id, node, size) of each row; and, with null node, parts (chunk, counts) of the sketch."""
+    """First pass, of docs (doc_id, text, digest): (doc_id, digest, node, size) of each row; and, with null node, parts (chunk, counts) of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "node", "size", "chunk", "counts"]
+        names = ["doc_id", "digest", "node", "size", "chunk", "counts"]
         counts = np.zeros(CELLS, "u4")
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist())
             if any(len(s) for s in sets):
                 counts += np.bincount(_cells(np.concatenate(sets)), minlength=CELLS).astype("u4")
             n = len(sets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         if counts.any():
             parts = [zlib.compress(x.tobytes(), 1) for x in counts.reshape(CHUNKS, -1)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, pa.int64())] * 3 + [pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, pa.int64())] * 4 + [pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
-    return docs.mapInArrow(lean(run), "doc_id long, node long, size long, chunk int, counts binary")
+    return docs.mapInArrow(lean(run), "doc_id long, digest long, node long, size long, chunk int, counts binary")
 
 
 def sketch(parts: DataFrame) -> np.ndarray:
@@ -147,7 +148,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, small: int) -> DataFrame:
 
 
 def needed_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Third pass: (doc_id, node, own: set as binary) of the documents whose doc_id is in wanted (doc_id)."""
+    """Third pass: (node, own: set as binary) of the documents that are in wanted (doc_id, node)."""
     spark = docs.sparkSession
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     words = wanted.select(bit.alias("b")).groupBy(F.floor(F.col("b") / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("b", F.lit(64)).cast("int"))).alias("m")).toArrow()
@@ -164,19 +165,19 @@ def needed_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([kept.column(0), pa.array([_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "node", "own"])
 
     found = docs.select("doc_id", "text", bit.alias("bit")).mapInArrow(lean(run), "doc_id long, node long, own binary")
-    return found.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "node"])
+    return found.join(wanted, ["doc_id", "node"], "left_semi").select("node", "own").dropDuplicates(["node"])
 
 
 # --- joins ---------------------------------------------------------------------------------------
 
 
 def small_links(nodes: DataFrame, small: int) -> DataFrame:
-    """Links (u, v) between sets (doc_id, size, whole) of at most ``small`` shingles, by common subsets of the needed size."""
+    """Links (u, v) between sets (node, size, whole) of at most ``small`` shingles, by common subsets of the needed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, docs, lesser = [], [], []
-            for doc_id, size, whole in zip(*(c.to_pylist() for c in batch.columns)):
+            keys, own, lesser = [], [], []
+            for node, size, whole in zip(*(c.to_pylist() for c in batch.columns)):
                 for other in partner_sizes(size):
                     if other > small:
                         continue
@@ -184,20 +185,20 @@ def small_links(nodes: DataFrame, small: int) -> DataFrame:
                     picked = np.array(list(combinations(whole, overlap_needed(a, b))), "i8").view("u8")
                     h = mix(mix(picked).sum(axis=1) + np.uint64(1009 * a + b))
                     keys += h.astype("i8").tolist()
-                    docs += [doc_id] * len(h)
+                    own += [node] * len(h)
                     lesser += [size == a] * len(h)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(lesser, pa.bool_())], names=["key", "doc_id", "lesser"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(own, pa.int64()), pa.array(lesser, pa.bool_())], names=["key", "node", "lesser"])
 
-    rows = nodes.filter(F.col("whole").isNotNull()).select("doc_id", "size", "whole").mapInArrow(lean(run), "key long, doc_id long, lesser boolean")
+    rows = nodes.filter(F.col("whole").isNotNull()).select("node", "size", "whole").mapInArrow(lean(run), "key long, node long, lesser boolean")
     # sets that share a subset link with the lesser ones among them, and so with the first of these
-    first = rows.groupBy("key").agg(F.min(F.when(F.col("lesser"), F.col("doc_id"))).alias("v"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("v is not null and a < b").select("key", "v")
-    return rows.join(first, "key").filter("doc_id != v").select(F.col("doc_id").alias("u"), "v").distinct()
+    first = rows.groupBy("key").agg(F.min(F.when(F.col("lesser"), F.col("node"))).alias("v"), F.min("node").alias("a"), F.max("node").alias("b")).filter("v is not null and a < b").select("key", "v")
+    return rows.join(first, "key").filter("node != v").select(F.col("node").alias("u"), "v").distinct()
 
 
 def scanned(nodes: DataFrame) -> DataFrame:
-    """The lists of the prefixes of nodes (doc_id, size, prefix), scanned: pairs (u, su, v, sv) of light lists, one for each list that both are in; and, with
+    """The lists of the prefixes of nodes (node, size, prefix), scanned: pairs (u, su, v, sv) of light lists, one for each list that both are in; and, with
     null v, the (token, u, su) of heavy ones. Lists of one set give nothing. Lists are streamed in order; what is held is a light list at most."""
-    postings = nodes.select(F.explode("prefix").alias("token"), "doc_id", "size").repartition("token").sortWithinPartitions("token", "size", "doc_id")
+    postings = nodes.select(F.explode("prefix").alias("token"), "node", "size").repartition("token").sortWithinPartitions("token", "size", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int]] = []
@@ -272,8 +273,8 @@ def light_candidates(found: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets (doc_id, own) share enough."""
-    whole = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("own").alias("x")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("own").alias("y")), "v").select("u", "v", "x", "y")
+    """The pairs (u, v) whose sets (node, own) share enough."""
+    whole = pairs.join(sets.select(F.col("node").alias("u"), F.col("own").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("own").alias("y")), "v").select("u", "v", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,22 +288,22 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def families(found: DataFrame) -> DataFrame:
-    """The sets (doc_id, size, family) that meet in heavy lists, directly or through others."""
+    """The sets (node, size, family) that meet in heavy lists, directly or through others."""
     heavy = found.filter("v is null").select("token", "u", "su")
     first = heavy.groupBy("token").agg(F.min("u").alias("v"))
     roots = components(heavy.join(first, "token").filter("u != v").select("u", "v").distinct())
-    return heavy.select(F.col("u").alias("doc_id"), F.col("su").alias("size")).distinct().join(roots.select(F.col("u").alias("doc_id"), F.col("component").alias("family")), "doc_id", "left").select("doc_id", "size", F.coalesce("family", "doc_id").alias("family"))
+    return heavy.select(F.col("u").alias("node"), F.col("su").alias("size")).distinct().join(roots.select(F.col("u").alias("node"), F.col("component").alias("family")), "node", "left").select("node", "size", F.coalesce("family", "node").alias("family"))
 
 
 def family_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """A forest of the links (u, v) within each family (doc_id, size, family) of sets (doc_id, own).
+    """A forest of the links (u, v) within each family (node, size, family) of sets (node, own).
 
     Sets that may link are at most one class of sizes apart, classes growing by a quarter. Each class is dealt into blocks by hash."""
     sized = members.withColumn("c", F.floor(F.log(F.col("size").cast("double")) / math.log(1.25) + 1e-9).cast("int"))
     blocks = checkpointed(sized.groupBy("family", "c").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("n")))
     at = lambda shift, name: blocks.select("family", (F.col("c") + shift).alias("c"), F.col("n").alias(name))
     placed = sized.join(at(0, "n"), ["family", "c"]).join(at(-1, "above"), ["family", "c"], "left").join(at(1, "below"), ["family", "c"], "left")
-    h = F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int")
+    h = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     key = lambda c1, h1, c2, h2: F.struct(c1.alias("c1"), h1.alias("h1"), c2.alias("c2"), h2.alias("h2"))
     c = F.col("c")
@@ -311,10 +312,10 @@ def family_links(members: DataFrame, sets: DataFrame) -> DataFrame:
         F.transform(upto(F.coalesce("above", F.lit(0))), lambda x: key(c, h, c + 1, x)),
         F.transform(upto(F.coalesce("below", F.lit(0))), lambda x: key(c - 1, x, c, h)),
     )
-    dealt = placed.select("doc_id", "family", F.explode(tasks).alias("t")).select("doc_id", "family", "t.*").join(sets.select("doc_id", "own"), "doc_id")
+    dealt = placed.select("node", "family", F.explode(tasks).alias("t")).select("node", "family", "t.*").join(sets.select("node", "own"), "node")
 
     def compare(table: pa.Table) -> pa.Table:
-        ids = table.column("doc_id").to_numpy()
+        ids = table.column("node").to_numpy()
         owns = [np.frombuffer(x, "u8") for x in table.column("own").to_pylist()]
         n, size = len(ids), np.array([len(x) for x in owns], "i8")
         every, inverse, times = np.unique(np.concatenate(owns), return_inverse=True, return_counts=True)
@@ -374,36 +375,51 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return ends.unionByName(ends.select(F.col("component").alias("u"), "component").distinct())
 
 
-def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each row's doc_id, n_shingles and component_id: the least doc_id of what it reaches by links, itself included.
+def looked_up(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with what is found (keys, n: how many rows have them, other columns) for their keys; those over a part in HOT of all rows are broadcast."""
+    total = found.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(found.filter(F.col("n") > total / HOT).drop("n"))  # at most HOT rows
+    cold = found.filter(F.col("n") <= total / HOT).drop("n")
+    return rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(cold, keys))
 
-    Null and blank texts have no shingles and no links. Rows with a null key take part as if it came last; their component is
-    null if nothing else is in it. Repeated rows are copies of each other. An empty table gives none; other columns aren't used.
-    """
+
+def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest of the text, node, size) of each row, and (node, size, n: rows, rep: least doc_id, component: its least node) of each class of equal sets with shingles."""
     spark: SparkSession = docs.sparkSession
     prepare(spark)
-    base = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_LAST)).alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    first = stored(measured(base), "shingles")
-    rows = first.filter("node is not null").select("doc_id", "node", "size")
+    base = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    first = stored(measured(base.withColumn("digest", digest("text"))), "shingles")
+    rows = first.filter("node is not null").select("doc_id", "digest", "node", "size")
     classes = checkpointed(rows.filter("size > 0").groupBy("node", "size").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     small = boundary({r.size: r.n for r in classes.filter(F.col("size") <= SMALL_MOST).groupBy("size").agg(F.count("*").alias("n")).collect()})
     counts = sketch(first.filter("node is null").select("chunk", "counts"))
-    reps = classes.select(F.col("rep").alias("doc_id"), "node")
-    nodes = stored(prefixes(base, counts, small).join(reps, ["doc_id", "node"], "left_semi").dropDuplicates(["doc_id", "node"]), "prefixes")
+    base = base.withColumn("doc_id", F.coalesce("doc_id", F.lit(_LAST)))
+    reps = classes.select(F.coalesce("rep", F.lit(_LAST)).alias("doc_id"), "node")
+    nodes = stored(prefixes(base, counts, small).join(reps, ["doc_id", "node"], "left_semi").drop("doc_id").dropDuplicates(["node"]), "prefixes")
     in_lists = nodes.filter(F.col("size") >= (4 * (small + 1) + 4) // 5)
     found = stored(scanned(in_lists), "lists")
     pairs = checkpointed(light_candidates(found))
     members = checkpointed(families(found))
-    wanted = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).unionByName(members.select("doc_id")).distinct()
-    sets = stored(needed_sets(base, checkpointed(wanted)), "sets")
+    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).unionByName(members.select("node")).distinct()
+    sets = stored(needed_sets(base, checkpointed(reps.join(wanted, "node", "left_semi").select("doc_id", "node"))), "sets")
     links = small_links(nodes, small).unionByName(verified(pairs, sets)).unionByName(family_links(members, sets))
-    found_in = components(links).withColumnRenamed("u", "rep")
-    of_class = checkpointed(classes.join(found_in, "rep", "left").select("node", "size", "n", F.coalesce("component", "rep").alias("component_id")))
-    total = of_class.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(of_class.filter(F.col("n") > total / HOT).drop("n"))  # at most HOT rows
-    cold = of_class.filter(F.col("n") <= total / HOT).drop("n")
-    some = rows.filter("size > 0")
-    out = some.join(hot, ["node", "size"]).unionByName(some.join(hot, ["node", "size"], "left_anti").join(cold, ["node", "size"]))
-    out = out.select("doc_id", F.col("size").alias("n_shingles"), "component_id").unionByName(rows.filter("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
-    known = lambda c: F.when(F.col(c) != _LAST, F.col(c)).alias(c)
-    return out.select(known("doc_id"), "n_shingles", known("component_id"))
+    found_in = components(links).withColumnRenamed("u", "node")
+    return rows, checkpointed(classes.join(found_in, "node", "left").select("node", "size", "n", "rep", F.coalesce("component", "node").alias("component")))
+
+
+def digest(text: str) -> Column:
+    """A number of a text, 64 bits, by which texts are told apart."""
+    return F.xxhash64(F.col(f"`{text}`").cast("string"))
+
+
+def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Each row's doc_id, n_shingles and component_id: the least doc_id of what it reaches by links, itself included.
+
+    Null and blank texts have no shingles and no links. Rows are linked by their texts alone, also where their key is null or
+    repeated; a component is null if only rows with a null key are in it. An empty table gives none; other columns aren't used.
+    """
+    rows, classes = linked(docs, key, text)
+    least = checkpointed(classes.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")))
+    of_class = checkpointed(looked_up(classes, least, ["component"]).select("node", "size", "n", "component_id"))
+    out = looked_up(rows.filter("size > 0").drop("digest"), of_class, ["node", "size"]).select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+    return out.unionByName(rows.filter("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))

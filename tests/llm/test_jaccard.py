@@ -92,6 +92,18 @@ def test_repeated_and_null_ids(spark):
     assert sorted((str(g.doc_id), g.n_shingles, str(g.component_id)) for g in got) == [("3", 4, "3"), ("3", 4, "3"), ("7", 1, "7"), ("None", 0, "None"), ("None", 4, "3")]
 
 
+@pytest.mark.parametrize("length,light", [(9, 32), (120, 32), (120, 1)])
+@pytest.mark.parametrize("shared", [None, 50, 0])
+def test_different_texts_with_one_id(spark, monkeypatch, shared, length, light):
+    monkeypatch.setattr(jaccard, "LIGHT", light)
+    a, b, c = (" ".join(f"{x}{i}" for i in range(length)) for x in "abc")
+    rows = [(1, a + " tail"), (shared, a), (2, b + " tail"), (shared, b), (shared, c), ((1 << 63) - 1, "alone")]
+    got = jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    ids = [x for x in (1, shared) if x is not None], [x for x in (2, shared) if x is not None]
+    want = [(1, min(ids[0])), (shared, min(ids[0])), (2, min(ids[1])), (shared, min(ids[1])), (shared, shared), ((1 << 63) - 1, (1 << 63) - 1)]
+    assert sorted(map(str, ((g.doc_id, g.component_id) for g in got))) == sorted(map(str, want))
+
+
 def test_empty(spark):
     assert jaccard.joined(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -55,6 +55,16 @@ def test_stages(spark, tables):
     assert {g.doc_id for g in packed} == want | {None} and max(g.offset + g.length for g in packed) <= 2048
 
 
+def test_near_copies_with_repeated_and_null_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(5, a), (5, b), (5, b), (5, b + " tail"), (6, a + " tail"), (7, c), (None, c), (None, c + " tail"), (None, d), (None, d), (None, d + " tail"), (None, None), (None, None), (None, " "), (8, ""), (8, ""), (8, None)]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()]
+    named = sorted((i, (t or "")[:40]) for i, t in got if i is not None)
+    assert named == sorted([(5, a[:40]), (5, b[:40]), (7, c[:40]), (8, ""), (8, "")])
+    assert sorted(str(t)[:40] for i, t in got if i is None) == sorted([c[:40], d[:40], "None", "None", " "])
+
+
 def test_run(spark, tables):
     folder, _, _ = tables
     assert corpus_pipeline.run(spark, folder).count() > 100

@@ -19,7 +19,7 @@ from supplymesh.llm.common import checkpointed
 
 #: (verdict, host and path) of the production rules.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-DAMPING, ROUNDS, CHANGE, SHARE = 0.85, 40, 1e-6, 0.5
+DAMPING, ROUNDS, CHANGE, SHARE = 0.85, 1000, 1e-6, 0.5
 #: A host is hot with more than this part of all rows; salts of a hub's edges.
 HOT, SALTS = 1000, 64
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -76,7 +76,8 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
 
     Each round adds what hosts hand on along their edges, trust to those they link to and distrust to those that link to
     them, in equal parts. What a host without edges holds would go back to the seeds, which only scales all hosts alike, so it
-    is left out. Ends when a round changes less than ``change`` of all that the seeds hold, or after ``rounds``.
+    is left out. Ends when a round changes less than ``change`` of all that the seeds hold, which damping
+    brings about; it is an error if ``rounds`` don't do.
     """
     both = edges.select(F.col("source").alias("a"), F.col("target").alias("b"), F.lit("t").alias("kind")).unionByName(edges.select(F.col("target").alias("a"), F.col("source").alias("b"), F.lit("d").alias("kind")))
     both = checkpointed(both)
@@ -98,6 +99,8 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
             state = state.drop("was")
             if moved_by <= change * max(mass, 1e-300):
                 break
+        else:
+            raise RuntimeError("trust and distrust haven't settled")
     amount = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0))
     return state.groupBy("host").agg(amount("t").alias("trust"), amount("d").alias("distrust"))
 

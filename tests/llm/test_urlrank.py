@@ -83,5 +83,15 @@ def test_propagation_with_hubs(spark):
         assert got.get(h, (0, 0)) == pytest.approx((t.get(h, 0), d.get(h, 0)), abs=0.02)
 
 
+def test_long_chain(spark):
+    edges = [(f"h{i}", f"h{i + 1}") for i in range(50)]
+    found = urlrank.propagate(spark.createDataFrame([("h0", 1, 0), ("h50", 0, 1)], "host string, trust long, distrust long"), spark.createDataFrame(edges, "source string, target string"))
+    got = {x.host: (x.trust, x.distrust) for x in found.collect()}
+    for i in range(51):
+        assert got[f"h{i}"] == pytest.approx((0.85**i, 0.85 ** (50 - i)), abs=1e-4) and min(got[f"h{i}"]) > 0
+    with pytest.raises(RuntimeError):
+        urlrank.propagate(spark.createDataFrame([("h0", 1, 0)], "host string, trust long, distrust long"), spark.createDataFrame(edges, "source string, target string"), rounds=3)
+
+
 def test_empty(spark):
     assert urlrank.judge(spark.createDataFrame([], PAGES)).count() == 0

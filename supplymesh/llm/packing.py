@@ -181,6 +181,8 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS,
 # --- over tables ---------------------------------------------------------------------------------
 
 _TOKENIZERS: dict[str, ChunkMemory] = {}
+#: The tokenizer as loaded, and its added tokens' contents.
+_WHOLE: dict[str, tuple] = {}
 
 
 def token_memory(path: str) -> ChunkMemory:
@@ -192,7 +194,9 @@ def token_memory(path: str) -> ChunkMemory:
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_file(path)
-        own.encode_special_tokens = True
+        own.encode_special_tokens = True  # chunks have no added token
+        whole = Tokenizer.from_file(path)
+        _WHOLE[path] = whole, [t.content for t in whole.get_added_tokens_decoder().values()]
         _TOKENIZERS[path] = ChunkMemory(lambda texts: encode_many(own, texts))
     return _TOKENIZERS[path]
 
@@ -239,6 +243,17 @@ def encode_many(tokenizer, texts: list[str]) -> list[bytes]:
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def encoded(path: str, texts: list[str]) -> list[bytes]:
+    """The ids of each text, as the tokenizer's file says: texts with an added token's content are encoded as a whole, which gives that token."""
+    memory = token_memory(path)
+    own, added = _WHOLE[path]
+    out = memory.encode(texts)
+    for i, t in enumerate(texts):
+        if any(a in t for a in added):
+            out[i] = np.array(own.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    return out
+
+
 def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of each document: its ids and the end id, cut if over the capacity into whole pieces, the first one shorter if need be."""
     prepare(docs.sparkSession)
@@ -248,7 +263,7 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         tail = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), token_memory(path).encode(batch.column(1).to_pylist())):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(path, batch.column(1).to_pylist())):
                 ids += tail
                 n = len(ids) // 4
                 start, piece = 0, 0

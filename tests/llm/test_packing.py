@@ -83,6 +83,15 @@ def test_documents(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
 
 
+def test_added_tokens():
+    from tokenizers import Tokenizer
+
+    texts = ["end <|endoftext|> begin", "<|endoftext|>", "plain text", "", "a <|endoftext b"]
+    own = Tokenizer.from_file(PATH)
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.encoded(PATH, texts)] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in np.frombuffer(packing.encoded(PATH, texts[:1])[0], "<u4")
+
+
 def test_hot_lengths_are_split(spark, monkeypatch):
     monkeypatch.setattr(packing, "PART_ROWS", 7)
     rows = [(i, 0, 0, 10 if i % 3 else 20, i) for i in range(400)] + [(1, 0, 0, 10, 1)] * 5

@@ -34,11 +34,18 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Elements whose text is never shown as text of the page.
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I | re.A) for t in RAW}
 UNSEEN = frozenset("head script style template noscript svg math iframe object canvas audio video select option optgroup datalist button textarea title map".split())
 #: Start tags that end an open paragraph, and open elements that a start tag of the same group ends, up to an enclosing one.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul li dd dt tr td th tbody thead tfoot".split())
 SIBLINGS = {t: (frozenset(g.split()), frozenset(s.split())) for g, s in (("li", "ul ol menu"), ("dd dt", "dl"), ("td th", "tr table"), ("tr", "table tbody thead tfoot"), ("tbody thead tfoot", "table")) for t in g.split()}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>", re.S)
+#: Elements that a document's head may hold; any other start tag ends it.
+HEAD = frozenset("head base link meta title style script noscript template".split())
+_MARKUP = re.compile(r"<(?=[A-Za-z!?/])")
+_NAME = re.compile(r"/?([A-Za-z][^\s/>]*+)")
+#: The rest of a tag with its end, which no quoted value holds. It fails only where the page ends first.
+_REST = re.compile(r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+>""")
+_LONG_REFERENCE = re.compile(r"&#0*[0-9]{8,};?")
 _NAMES = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}")
 _HIDDEN = re.compile(r"display\s*:\s*none|\bhidden\b", re.I)
@@ -46,115 +53,176 @@ _HIDDEN = re.compile(r"display\s*:\s*none|\bhidden\b", re.I)
 
 @dataclass
 class Tree:
-    """Elements in page order; the first one is the page. ``parts``: (element, raw text) in page order, a new one at each block's edge."""
+    """Elements in page order; the first one is the page. Inline elements are among them if they are named or hidden. ``parts``: (element,
+    raw text, whether a block's edge lies before it) in page order, a new one at each element's edge."""
 
     tag: list[str] = field(default_factory=lambda: ["#page"])
     attributes: list[str] = field(default_factory=lambda: [""])
     parent: list[int] = field(default_factory=lambda: [-1])
-    parts: list[tuple[int, str]] = field(default_factory=list)
+    parts: list[tuple[int, str, bool]] = field(default_factory=list)
     linked: dict[int, int] = field(default_factory=lambda: defaultdict(int))
     controls: dict[int, int] = field(default_factory=lambda: defaultdict(int))
 
 
+class _Builder:
+    """Puts a tree together from text and tags. All that is looked up is kept at hand, so that each call takes constant time but for what it closes."""
+
+    def __init__(self) -> None:
+        self.tree, self.stack, self.texts = Tree(), [0], []
+        self.edge, self.unseen = True, 0
+        #: Depths in the stack of the block elements, and of the open elements of each tag.
+        self.blocks, self.opened = [0], defaultdict(list)
+        #: Open inline elements (tag, depth that they are in, whether they are in the tree), and where those of each tag are in the list.
+        self.inline: list[tuple[str, int, bool]] = []
+        self.inline_at: dict[str, list[int]] = defaultdict(list)
+
+    def flush(self, block: bool) -> None:
+        if self.texts:
+            self.tree.parts.append((self.stack[-1], "".join(self.texts), self.edge))
+            self.texts, self.edge = [], False
+        self.edge |= block
+
+    def take(self, raw: str) -> None:
+        if raw and not self.unseen:
+            self.texts.append(unescaped(raw) if "&" in raw else raw)
+            if self.inline_at["a"]:
+                self.tree.linked[self.stack[-1]] += len(raw.strip())
+
+    def push(self, name: str, attributes: str) -> None:
+        tree = self.tree
+        self.opened[name].append(len(self.stack))
+        tree.tag.append(name)
+        tree.attributes.append(attributes)
+        tree.parent.append(self.stack[-1])
+        self.stack.append(len(tree.tag) - 1)
+        self.unseen += name in UNSEEN
+
+    def leave(self, depth: int) -> None:
+        """Closes what is open at this depth and deeper."""
+        self.flush(self.blocks[-1] >= depth)
+        while len(self.stack) > depth:
+            tag = self.tree.tag[self.stack.pop()]
+            self.opened[tag].pop()
+            self.unseen -= tag in UNSEEN
+        while self.blocks[-1] >= depth:
+            self.blocks.pop()
+        while self.inline and self.inline[-1][1] > depth:
+            self.inline_at[self.inline.pop()[0]].pop()
+
+    def open_inline(self, name: str, attributes: str) -> None:
+        if name == "a" and self.inline_at["a"]:
+            self.close_inline("a")
+        known = bool(attributes) and bool(_HIDDEN.search(attributes) or names(attributes))
+        self.inline_at[name].append(len(self.inline))
+        self.inline.append((name, len(self.stack), known))
+        if known:
+            self.flush(False)
+            self.push(name, attributes)
+
+    def close_inline(self, name: str) -> None:
+        """Closes the innermost one within the current block, and inline elements in it; nothing if there is none."""
+        at = self.inline_at[name]
+        if not at or self.inline[at[-1]][1] <= self.blocks[-1]:
+            return
+        least, cut = at[-1], None
+        while len(self.inline) > least:
+            tag, depth, known = self.inline.pop()
+            self.inline_at[tag].pop()
+            cut = depth if known else cut
+        if cut is not None:
+            self.leave(cut)
+
+    def close_block(self, name: str) -> None:
+        if at := self.opened[name]:
+            self.leave(at[-1])
+
+    def open_block(self, name: str, attributes: str) -> None:
+        if self.opened["head"] and name not in HEAD:
+            self.close_block("head")
+        if name in ENDS_P and self.tree.tag[self.stack[self.blocks[-1]]] == "p":
+            self.leave(self.blocks[-1])
+        if name in SIBLINGS:
+            ended, within = (max((self.opened[t][-1] for t in tags if self.opened[t]), default=0) for tags in SIBLINGS[name])
+            if ended > within:
+                self.leave(ended)
+        self.flush(True)
+        self.blocks.append(len(self.stack))
+        self.push(name, attributes)
+
+
+def unescaped(raw: str) -> str:
+    """Character references decoded; numbers beyond any character are the replacement character."""
+    return entities.unescape(_LONG_REFERENCE.sub("\ufffd", raw) if "&#" in raw else raw)
+
+
 def parse(page: str) -> Tree:
-    """The tree of a page, however broken: what isn't closed ends with what encloses it, and closing what isn't open does nothing."""
-    tree, stack, texts = Tree(), [0], []
-    opened: dict[str, int] = defaultdict(int)
-    at = links = unseen = 0
-    lower = None
-
-    def close() -> None:
-        if texts:
-            tree.parts.append((stack[-1], "".join(texts)))
-            texts.clear()
-
-    def take(raw: str) -> None:
-        if raw and not unseen:
-            raw = entities.unescape(raw) if "&" in raw else raw
-            texts.append(raw)
-            if links:
-                tree.linked[stack[-1]] += len(raw.strip())
-
-    def leave(depth: int) -> None:
-        nonlocal unseen, links
-        close()
-        while len(stack) > depth:
-            tag = tree.tag[stack.pop()]
-            opened[tag] -= 1
-            unseen -= tag in UNSEEN
-        links = 0
-
-    size = len(page)
+    """The tree of a page, however broken, in time linear in its length: what isn't closed ends with what encloses it, and closing what isn't open does nothing.
+
+    A tag whose quotes would swallow the rest of the page ends at the next ``>``, and from there on quotes aren't looked at; ``<`` without a later ``>`` is text.
+    """
+    made, at, size = _Builder(), 0, len(page)
+    last = page.rfind(">")
+    quoted = True
     while at < size:
-        m = _TAG.search(page, at)
+        m = _MARKUP.search(page, at, last + 1)
         if m is None:
-            take(page[at:])
+            made.take(page[at:])
             break
-        take(page[at : m.start()])
+        made.take(page[at : m.start()])
         at = m.end()
-        slash, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not name:
-            continue
-        name = name.lower()
-        if slash:
-            if name == "a":
-                links = max(0, links - 1)
-            elif name not in INLINE and opened[name]:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if tree.tag[stack[depth]] == name:
-                        leave(depth)
-                        break
-            continue
-        if name in INLINE:
-            if name == "a":
-                links = 1
-            continue
-        if name == "br":
-            take("\n")
+        tag = _NAME.match(page, at)
+        if tag is None:
+            if page.startswith("!--", at):
+                end = page.find("-->", at + 1)
+                at = size if end < 0 else end + 3
+            elif page[at] == "/" and page[at + 1] in " \t\n\r\f":
+                made.take(page[m.start() : at])
+            else:
+                at = page.find(">", at) + 1
             continue
-        if name in VOID:
+        name, begin = tag[1].lower(), tag.end()
+        rest = _REST.match(page, begin) if quoted else None
+        if rest is None:
+            quoted = False
+        at = rest.end() if rest else page.find(">", begin) + 1
+        if not at:  # the name reaches the last ">"
+            made.take(page[m.start() :])
+            break
+        attributes = page[begin : at - 1]
+        if page[m.end()] == "/":
+            if name in INLINE:
+                made.close_inline(name)
+            else:
+                made.close_block(name)
+        elif name == "br":
+            made.take("\n")
+        elif name in VOID:
             if name == "input":
-                tree.controls[stack[-1]] += 1
+                made.tree.controls[made.stack[-1]] += 1
             elif name == "hr":
-                close()
-            continue
-        if name in ENDS_P and tree.tag[stack[-1]] == "p":
-            leave(len(stack) - 1)
-        if name in SIBLINGS and any(opened[t] for t in SIBLINGS[name][0]):
-            ended, within = SIBLINGS[name]
-            for depth in range(len(stack) - 1, 0, -1):
-                if tree.tag[stack[depth]] in ended:
-                    leave(depth)
-                    break
-                if tree.tag[stack[depth]] in within:
-                    break
-        close()
-        if name in RAW:
-            if lower is None:
-                lower = page.lower() if len(page.lower()) == size else page
-            end = lower.find(f"</{name}", at)
-            at = size if end < 0 else (page.find(">", end) + 1 or size)
+                made.flush(True)
+        elif name in INLINE:
+            made.open_inline(name, attributes)
+        elif name in RAW:
+            made.flush(True)
             if name == "textarea":
-                tree.controls[stack[-1]] += 1
-            continue
-        if name in ("select", "button"):
-            tree.controls[stack[-1]] += 1
-        if attributes.endswith("/") and name == "svg":
-            continue
-        tree.tag.append(name)
-        tree.attributes.append(attributes)
-        tree.parent.append(stack[-1])
-        stack.append(len(tree.tag) - 1)
-        opened[name] += 1
-        unseen += name in UNSEEN
-    close()
-    return tree
+                made.tree.controls[made.stack[-1]] += 1
+            end = _RAW_END[name].search(page, at)
+            at = size if end is None else (page.find(">", end.start()) + 1 or size)
+        elif attributes.endswith("/") and name == "svg":
+            made.flush(True)
+        else:
+            if name in ("select", "button"):
+                made.tree.controls[made.stack[-1]] += 1
+            made.open_block(name, attributes)
+    made.flush(True)
+    return made.tree
 
 
 # --- potentials ----------------------------------------------------------------------------------
 
 #: What an edge's potential depends on.
-KINDS = {**dict.fromkeys(("p", "blockquote", "pre", "figure", "figcaption", "dd", "dt"), "text"), **dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), "heading"), **dict.fromkeys(("li", "ul", "ol", "dl", "menu"), "list"), **dict.fromkeys(("table", "tr", "td", "th", "tbody", "thead"), "table"), **dict.fromkeys(("div", "section", "body", "html", "main", "article", "center"), "box")}
+KINDS = {**dict.fromkeys(("p", "blockquote", "pre", "figure", "figcaption", "dd", "dt"), "text"), **dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), "heading"), **dict.fromkeys(("li", "ul", "ol", "dl", "menu"), "list"), **dict.fromkeys(("table", "tr", "td", "th", "tbody", "thead"), "table"), **dict.fromkeys(("div", "section", "body", "html", "main", "article", "center"), "box"), **dict.fromkeys(INLINE, "inline")}
 
 
 def names(attributes: str) -> list[str]:
@@ -162,9 +230,14 @@ def names(attributes: str) -> list[str]:
 
 
 def features(tree: Tree) -> list[list[str]]:
-    """What each element is like."""
+    """What each element is like, and whether it is in an article, or no element of the page is one."""
+    main = [tag in ("article", "main") for tag in tree.tag]
+    inside = main.copy()
+    for i, parent in enumerate(tree.parent[1:], 1):
+        inside[i] |= inside[parent]
+    none = not any(main)
     texts: dict[int, list[str]] = defaultdict(list)
-    for node, raw in tree.parts:
+    for node, raw, _ in tree.parts:
         texts[node].append(raw)
     children: dict[int, int] = defaultdict(int)
     for p in tree.parent:
@@ -174,6 +247,8 @@ def features(tree: Tree) -> list[list[str]]:
         raw = " ".join(texts[i]).strip() if i in texts else ""
         n = len(raw)
         own = ["1", f"tag {tag}", f"under {tree.tag[parent]}" if parent >= 0 else "root", f"chars {0 if not n else min(5, 1 + int(math.log2(1 + n / 16)))}"]
+        place = "none" if none else "in" if inside[i] else "out"
+        own += [place, f"{place} {KINDS.get(tag, 'other')}"]
         own += [f"name {w}" for w in names(attributes)]
         if n:
             own.append(f"links {min(3, int(4 * tree.linked.get(i, 0) / n))}")
@@ -279,7 +354,13 @@ def extract(page: str | None, model: Model) -> tuple[str, list[float]]:
     tree = parse(page or "")
     own, edge = model.potentials(tree)
     p, _ = marginals(tree.parent, own, edge)
-    kept = (" ".join(raw.split()) for node, raw in tree.parts if p[node] >= 0.5)
+    blocks: list[list[str]] = [[]]
+    for node, raw, edge in tree.parts:
+        if edge:
+            blocks.append([])
+        if p[node] >= 0.5:
+            blocks[-1].append(raw)
+    kept = (" ".join("".join(x).split()) for x in blocks)
     return " ".join(x for x in kept if x), p
 
 
@@ -302,6 +383,12 @@ def _generate(r: random.Random) -> str:
             text = f'{text} <a href="/{r.choice(vocabulary)}">{words(1, 3, False)}</a> {words(1, 8)}'
         if r.random() < 0.15:
             text = f"<b>{text}<br>"
+        if r.random() < 0.15:
+            tag = r.choice(("span", "span", "em", "a", "strong", "mark", "time"))
+            text = f'{text} <{tag} y {r.choice(("class", "class", "id"))}="{r.choice(("highlight", "name", "term", "date", "link", "external", "reference", "lead", "dropcap", "nowrap", "quote", "text"))}">{words(1, 12, r.random() < 0.5)}</{tag}> {words(1, 8)}'
+        if r.random() < 0.08:
+            tag = r.choice(("span", "span", "a", "small", "ins"))
+            text = f'{text} <{tag} class="{r.choice(("ad", "ads", "advert", "advertisement", "sponsored", "promo", "sponsor", "ad-slot"))}">{words(1, 12, r.random() < 0.7)}</{tag}> {words(1, 8)}'
         return text
 
     def named(*choices: str) -> str:
@@ -376,13 +463,31 @@ def _generate(r: random.Random) -> str:
             if r.random() < 0.1:
                 parts.insert(r.randint(0, len(parts)), make())
         inner = "".join(parts)
+        if r.random() < 0.1:
+            return r.choice((f"<div y>{inner}</div>", f"<section y>{inner}</section>", f"<main y>{inner}</main>", inner))
         if r.random() < 0.55:
             return f"<article y{named('post', 'entry', 'story', 'article') if r.random() < 0.4 else ''}>{inner}</article>"
         tag = r.choice(("div", "div", "section", "main"))
         names_ = "content article article-body post post-content entry-content main-content story story-body text body-text main page-content"
         return f'<{tag} y {r.choice(("class", "class", "id"))}="{r.choice(names_.split())}">{inner}</{tag}>'
 
-    body = article()
+    def bare() -> str:
+        """Content with hardly any markup."""
+        paragraphs = "".join(f"<p y>{words(1, 14)}</p>" for _ in range(r.choice((1, 1, 1, 2, 3))))
+        items = "<ul y>" + "".join(f"<li y>{words(1, 6, r.random() < 0.4)}</li>" for _ in range(r.randint(1, 5))) + "</ul>"
+        inner = r.choice((paragraphs, paragraphs, paragraphs + items, prose(), f"<h1 y>{words(1, 6, False)}</h1>{prose()}"))
+        tag = r.choice(("article", "article", "div", "section", "main", "p" if "<" not in inner else "div"))
+        return f"<{tag} y>{inner}</{tag}>" if inner != paragraphs or r.random() < 0.7 else inner
+
+    kind = r.random()
+    if kind < 0.05:  # no markup at all
+        return "\n".join(words(1, 20, r.random() < 0.8) for _ in range(r.choice((1, 2, 6))))
+    if kind < 0.1:  # text right in the body
+        text = r.choice(("<br>", "<br><br>", "\n", "<hr>")).join(prose() for _ in range(r.choice((1, 2, 5))))
+        return f"<html><body y>{some(0.3, head)}{some(0.3, menu)}{text}{some(0.3, foot)}</body></html>"
+    body = bare() if kind < 0.27 else article()
+    if kind < 0.18:  # nothing around
+        return r.choice((f"<body>{body}</body>", f"<!DOCTYPE html><html><head><title>{words(1, 8, False)}</title><body>{body}", body))
     if r.random() < 0.3:
         body = f'<{(t := r.choice(("main", "div")))} y class="{r.choice(("main", "content", "container", "wrapper"))}">{body}{some(0.3, comments)}</{t}>'
     before = "".join(some(s, m) for s, m in ((0.35, notice), (0.5, head), (0.6, menu), (0.4, advert), (0.2, form), (0.2, side)))
@@ -397,11 +502,11 @@ def labelled(count: int, seed: int) -> list[tuple[Tree, list[int]]]:
     """Generated pages with a label for each element."""
     r = random.Random(seed)
     trees = [parse(_generate(r)) for _ in range(count)]
-    return [(t, [int(a.startswith(" y")) for a in t.attributes]) for t in trees]
+    return [(t, [int(len(t.tag) == 1), *(int(a.startswith(" y")) for a in t.attributes[1:])]) for t in trees]
 
 
 #: Generated pages to learn from.
-PAGES, SEED = 400, 3
+PAGES, SEED = 600, 3
 _TRAINED: dict[tuple[int, int], Model] = {}
 
 

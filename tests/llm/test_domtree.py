@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import pytest
 
@@ -34,7 +35,7 @@ def test_held_out_pages():
     model, right, count = domtree.trained(), 0, 0
     for tree, labels in domtree.labelled(150, 77):
         p, _ = domtree.marginals(tree.parent, *model.potentials(tree))
-        for node in {n for n, _ in tree.parts}:
+        for node in {n for n, *_ in tree.parts}:
             right += (p[node] >= 0.5) == bool(labels[node])
             count += 1
     assert right / count > 0.98
@@ -60,3 +61,40 @@ def test_column(spark):
     got = domtree.extract_column(spark.createDataFrame(rows, "page_id long, html string, text string"), domtree.trained()).collect()
     assert sorted(len(g.text) for g in got)[0] == 0 and got[0].text == got[2].text
     assert domtree.extract_column(spark.createDataFrame([], "page_id long, html string"), domtree.trained()).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<body><article><p>Alpha beta gamma delta text.</p></article></body>", "Alpha beta gamma delta text."),
+        ("<div><p>One two three.</p><p>Four five six.</p></div>", "One two three. Four five six."),
+        ("<article><p>Short one.</p><ul><li>First</li><li>Second item</li></ul></article>", "Short one. First Second item"),
+        ("Just plain text without markup.", "Just plain text without markup."),
+        ("<p>Only one paragraph here.</p>", "Only one paragraph here."),
+        ("<body>Some text<br>with lines.</body>", "Some text with lines."),
+        ("<head><title>T</title><body><p>The head has no end tag.</p>", "The head has no end tag."),
+        ("<article>\n<p>One.</p>\n</article>\n", "One."),
+        ('<article><p>He said <span class="ad">Buy now!</span> foo<span class="name">bar</span>baz.</p></article>', "He said foobarbaz."),
+        ("<article><p>Number &#99999999999999999999;.</p></article>", "Number �."),
+        ("<article><p>a < b and </ c.</p></article>", "a < b and </ c."),
+        ("<article><p title = 'x>y'>Quoted.</p></article>", "Quoted."),
+    ],
+)
+def test_shapes(page, text):
+    assert domtree.extract(page, domtree.trained())[0] == text
+
+
+@pytest.mark.parametrize("unit", ['<a "', "<div ", "<", "<!", "<a x=\"", '<a x=">"', "a<b ", "<!--", "&#", "&amp", "<script", "</p", "<b class=x>", "<li>"])
+@pytest.mark.parametrize("end", ["", ">"])
+def test_linear_time(unit, end):
+    page = unit * (1_000_000 // len(unit)) + end
+    began = time.perf_counter()
+    domtree.parse(page)
+    assert time.perf_counter() - began < 10
+
+
+def test_siblings_far_below_take_no_walk():
+    began = time.perf_counter()
+    domtree.parse("<dt><dl>" + "<div>" * 50_000 + "<dd></dd>" * 50_000)
+    domtree.parse("<i><div>" + "<b>" * 100_000 + "</i>" * 100_000)
+    assert time.perf_counter() - began < 10

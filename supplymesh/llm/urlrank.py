@@ -1,7 +1,7 @@
 """URL filters: rules by host and path, and trust and distrust propagated over links between hosts.
 
 Rules judge the urls they fit. Hosts whose urls are allowed by rules are seeds of trust, hosts whose urls
-are blocked are seeds of distrust, each as strong as it has such urls. Trust follows links
+are blocked are seeds of distrust, each as strong as its part of all such urls. Trust follows links
 (personalised PageRank); distrust follows them backwards, to those who link to distrusted hosts.
 A host is blocked if distrust has more than the given share of what it got of both.
 
@@ -75,21 +75,23 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     """Trust and distrust of hosts, from seeds (host, trust, distrust) and edges (source, target): host, trust, distrust.
 
     Each round adds what hosts hand on along their edges, trust to those they link to and distrust to those that link to
-    them, in equal parts. What a host without edges holds would go back to the seeds, which only scales all hosts alike, so it
-    is left out. Ends when a round changes less than ``change`` of all that the seeds hold, which damping
+    them, in equal parts. Trust and distrust each add up to one, as of the seeds and so of all hosts: what a host without edges holds of
+    one kind goes back to that kind's seeds. That is the same as leaving it out and scaling the kind to one in the end, since
+    both give multiples of the same sum over walks from the seeds. Ends when a round changes less than ``change``, which damping
     brings about; it is an error if ``rounds`` don't do.
     """
     both = edges.select(F.col("source").alias("a"), F.col("target").alias("b"), F.lit("t").alias("kind")).unionByName(edges.select(F.col("target").alias("a"), F.col("source").alias("b"), F.lit("d").alias("kind")))
     both = checkpointed(both)
     total = both.count()
     held = checkpointed(seeds.select("host", F.explode(F.array(F.struct(F.lit("t").alias("kind"), F.col("trust").cast("double").alias("own")), F.struct(F.lit("d").alias("kind"), F.col("distrust").cast("double").alias("own")))).alias("x")).select("host", "x.*").filter("own > 0"))
+    sums = {r.kind: r.s for r in held.groupBy("kind").agg(F.sum("own").alias("s")).collect()}
+    held = held.withColumn("own", F.col("own") / F.when(F.col("kind") == "t", sums.get("t", 1.0)).otherwise(sums.get("d", 1.0)))
     state = held.select("host", "kind", F.col("own").alias("score"))
     if total:
         degree = both.groupBy("a", "kind").agg(F.count("*").alias("degree"))
         hubs = checkpointed(degree.filter(F.col("degree") > total / HOT).select("a", "kind", F.lit(SALTS).alias("salts")))  # at most HOT rows
         salted = checkpointed(both.join(F.broadcast(hubs), ["a", "kind"], "left").select("a", "b", "kind", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt")))
         degree = checkpointed(degree.join(F.broadcast(hubs), ["a", "kind"], "left").select("a", "kind", "degree", F.coalesce("salts", F.lit(1)).alias("salts")))
-        mass = held.agg(F.sum("own")).first()[0] or 0.0
         for _ in range(rounds):
             gives = state.join(degree.withColumnRenamed("a", "host"), ["host", "kind"]).select(F.col("host").alias("a"), "kind", (F.col("score") * damping / F.col("degree")).alias("part"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
             moved = salted.join(gives, ["a", "kind", "salt"]).select(F.col("b").alias("host"), "kind", F.col("part").alias("score"), F.lit(0.0).alias("was"))
@@ -97,11 +99,12 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
             state = checkpointed(parts.groupBy("host", "kind").agg(F.sum("score").alias("score"), F.sum("was").alias("was")))
             moved_by = state.agg(F.sum(F.abs(F.col("score") - F.col("was")))).first()[0] or 0.0
             state = state.drop("was")
-            if moved_by <= change * max(mass, 1e-300):
+            if moved_by <= change:
                 break
         else:
             raise RuntimeError("trust and distrust haven't settled")
-    amount = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0))
+    reached = {r.kind: r.s for r in state.groupBy("kind").agg(F.sum("score").alias("s")).collect()}
+    amount = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score") / reached.get(kind, 1.0)).otherwise(0.0))
     return state.groupBy("host").agg(amount("t").alias("trust"), amount("d").alias("distrust"))
 
 

@@ -25,12 +25,14 @@ def rule_of(host, path):
 
 
 def ranks(seed, edges):
-    score = dict(seed)
+    """Personalised PageRank by power iteration: seeds add up to one, and hosts without links give all they hold back to the seeds."""
+    total, out = sum(seed.values()), {}
+    for a, _ in edges:
+        out[a] = out.get(a, 0) + 1
+    score = {h: x / total for h, x in seed.items()}
     for _ in range(300):
-        out = {}
-        for a, _ in edges:
-            out[a] = out.get(a, 0) + 1
-        new = dict(seed)
+        lost = sum(x for h, x in score.items() if h not in out)
+        new = {h: (1 - urlrank.DAMPING + urlrank.DAMPING * lost) * x / total for h, x in seed.items()}
         for a, b in edges:
             if a in score:
                 new[b] = new.get(b, 0) + urlrank.DAMPING * score[a] / out[a]
@@ -80,15 +82,30 @@ def test_propagation_with_hubs(spark):
     t = ranks({h: n for h, n, _ in seeds if n}, edges)
     d = ranks({h: n for h, _, n in seeds if n}, {(b, a) for a, b in edges})
     for h in set(t) | set(d):
-        assert got.get(h, (0, 0)) == pytest.approx((t.get(h, 0), d.get(h, 0)), abs=0.02)
+        assert got.get(h, (0, 0)) == pytest.approx((t.get(h, 0), d.get(h, 0)), abs=1e-5)
+    assert sum(x for x, _ in got.values()) == pytest.approx(1) == sum(x for _, x in got.values())
+
+
+def test_what_dangling_hosts_hold_goes_back(spark):
+    """Trust dangles at C's end of nowhere, distrust at A: left out, X would have less distrust than trust."""
+    edges = [("A", "X"), ("X", "B"), ("B", "C"), ("C", "B")]
+    found = urlrank.propagate(spark.createDataFrame([("A", 1, 0), ("B", 0, 1)], "host string, trust long, distrust long"), spark.createDataFrame(edges, "source string, target string"))
+    got = {x.host: x.distrust / (x.trust + x.distrust) for x in found.collect()}
+    t, d = ranks({"A": 1}, edges), ranks({"B": 1}, [(b, a) for a, b in edges])
+    assert got["X"] == pytest.approx(d["X"] / (d["X"] + t["X"]), abs=1e-4) and got["X"] > 0.5
+    pages = [(1, "http://A/x", '<a href="http://X/">', ""), (2, "http://X/x", '<a href="http://B/">', ""), (3, "http://B/x", '<a href="http://C/">', ""), (4, "http://C/x", '<a href="http://B/">', "")]
+    rules = (("allow", "a/"), ("block", "b/"))
+    judged = {x.host: x.verdict for x in urlrank.judge(spark.createDataFrame(pages, PAGES), rules).collect()}
+    assert judged == {"a": "allow", "x": "block", "b": "block", "c": "block" if d["C"] > t["C"] else "allow"}
 
 
 def test_long_chain(spark):
     edges = [(f"h{i}", f"h{i + 1}") for i in range(50)]
     found = urlrank.propagate(spark.createDataFrame([("h0", 1, 0), ("h50", 0, 1)], "host string, trust long, distrust long"), spark.createDataFrame(edges, "source string, target string"))
     got = {x.host: (x.trust, x.distrust) for x in found.collect()}
+    whole = sum(0.85**i for i in range(51))
     for i in range(51):
-        assert got[f"h{i}"] == pytest.approx((0.85**i, 0.85 ** (50 - i)), abs=1e-4) and min(got[f"h{i}"]) > 0
+        assert got[f"h{i}"] == pytest.approx((0.85**i / whole, 0.85 ** (50 - i) / whole), abs=1e-4) and min(got[f"h{i}"]) > 0
     with pytest.raises(RuntimeError):
         urlrank.propagate(spark.createDataFrame([("h0", 1, 0)], "host string, trust long, distrust long"), spark.createDataFrame(edges, "source string, target string"), rounds=3)
 

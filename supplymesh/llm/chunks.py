@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supplymesh.llm.common import lean, prepare, schema_with
+from supplymesh.llm.common import checkpointed, lean, prepare, schema_with
 
 #: Least, usual and greatest bytes in a chunk; zero bits asked for before the usual size and after it.
 LEAST, USUAL, GREATEST, BITS_BEFORE, BITS_AFTER = 24, 64, 256, 7, 4
@@ -129,14 +130,20 @@ def spliced(text: str, following: str) -> str:
 
 # --- every document with the one that follows it -------------------------------------------------
 
-#: Characters of text in a bucket of neighbouring documents, about.
-BUCKET_CHARS = 8 << 20
-OWN, NEIGHBOUR, WRAP = 0, 1, 2
+#: Characters of text in a bucket of neighbouring documents, about; buckets at most, however large the table is.
+BUCKET_CHARS, BUCKETS = 4 << 20, 1 << 16
+#: A text is hot under its key with more than this part of all rows. Copies of a hot row made in one task.
+HOT, COPIES = 1000, 4096
+#: Characters by which texts of one key are dealt.
+BEGIN = 32
+OWN, NEIGHBOUR = 0, 1
+
+
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 @dataclass
 class _Seen:
-    bucket: int
     key: int | None
     text: str
     chunks: dict[bytes, int]
@@ -148,60 +155,83 @@ def compare_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Returns the key as ``doc_id``, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Null texts
     are empty; null keys come first; rows with equal keys follow each other in order of their texts. An empty table gives none.
 
-    Keys, without texts, are range-partitioned first; the least key of each range bounds a bucket. Each row then
-    goes to its bucket, and the first rows of a bucket also to the bucket before it, so that the texts are shuffled
-    once, every bucket holds all it needs, and buckets are streamed in order through memory that holds two texts.
-    The driver gets one key for each bucket.
+    Pairs of key and beginning of the text are range-partitioned; the least pair of each range bounds a bucket, and the driver gets these
+    bounds, BUCKETS at most. Each row then goes to its bucket, and the first rows of a bucket also to the bucket before it, so that the texts are
+    shuffled once, every bucket holds all it needs and is a task of its own, and is streamed in order through memory that holds two texts.
+    A row (a key and a 64-bit hash of the text) that is repeated over a thousandth of all rows, of which there can't be more than a thousand, goes
+    once: all its copies but the last are followed by a copy.
     """
     spark = docs.sparkSession
     prepare(spark)
-    least = -(1 << 63)
-    base = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(least)).alias("k"), F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    size = base.agg(F.sum(F.length("text").cast("long"))).first()[0]
-    buckets = max(1, -(-(size or 0) // bucket_chars))
-    ranges = base.select("k").repartitionByRange(buckets, "k").groupBy(F.spark_partition_id()).agg(F.min("k").alias("k"))
-    bounds = sorted({r.k for r in ranges.select("k").collect()})
-    if not bounds:
-        bounds = [least]
-
-    @F.pandas_udf("array<struct<bucket:int,kind:byte>>")
-    def placed(k):
-        edges = np.array(bounds, "i8")
-        at = np.searchsorted(edges, k.to_numpy(), "right") - 1
-        out = []
-        for b, x in zip(at.tolist(), k.tolist()):
-            rows = [(b, OWN)]
-            if x == bounds[b] and b:
-                rows.append((b - 1, NEIGHBOUR))
-            if x == bounds[0]:
-                rows.append((len(bounds) - 1, WRAP))
-            out.append(rows)
+    base = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(1 << 63))).alias("k"), F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    begin = F.substring("text", 1, BEGIN)
+    groups = checkpointed(base.groupBy("k", "h").agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("chars"), F.min(begin).alias("b")))
+    rows, size = groups.agg(F.sum("n"), F.sum("chars")).first()
+    if not rows:
+        return spark.createDataFrame([], RESULT)
+    hot = checkpointed(groups.filter((F.col("n") > 1) & (F.col("n") > rows / HOT)).select("k", "h", "n"))  # at most HOT rows
+    buckets = min(BUCKETS, max(1, -(-size // bucket_chars)))
+    ranges = groups.select("k", "b").repartitionByRange(buckets, "k", "b").groupBy(F.spark_partition_id()).agg(F.min(F.struct("k", "b")).alias("least"))
+    bounds = sorted({(r.k, r.b) for r in ranges.select("least.*").collect()})
+    buckets, shared = len(bounds), spark.sparkContext.broadcast(bounds)
+
+    @F.pandas_udf("bucket int, first boolean")
+    def placed(k, b):
         import pandas as pd
 
-        return pd.Series(out)
-
-    dealt = base.select(F.explode(placed("k")).alias("p"), "k", "doc_id", "text").select("p.bucket", "p.kind", "k", "doc_id", "text")
-    parts = max(1, min(len(bounds), max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(bounds) // 4)))
-    dealt = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind", "k", "text").select("bucket", "kind", "doc_id", "text")
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        keys, k = np.array([x for x, _ in shared.value], "i8"), k.to_numpy()
+        low, high = np.searchsorted(keys, k, "left"), np.searchsorted(keys, k, "right")
+        at, first = low - 1, np.zeros(len(k), "?")
+        for i in np.flatnonzero(low < high).tolist():  # rows whose key a bound has
+            own = int(k[i]), b.iat[i]
+            at[i] = bisect_right(shared.value, own) - 1
+            first[i] = shared.value[at[i]] == own
+        return pd.DataFrame({"bucket": at.astype("i4"), "first": first})
+
+    if several := hot.count():
+        once = base.join(F.broadcast(hot), ["k", "h"]).groupBy("k", "h", "n").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+        base = base.join(F.broadcast(hot), ["k", "h"], "left_anti").unionByName(once.drop("n"))
+    before = F.pmod(F.col("p.bucket") - 1, F.lit(buckets)).alias("bucket")
+    kinds = F.when(F.col("p.first"), F.array(F.struct(F.col("p.bucket").alias("bucket"), F.lit(OWN).alias("kind")), F.struct(before, F.lit(NEIGHBOUR).alias("kind")))).otherwise(F.array(F.struct(F.col("p.bucket").alias("bucket"), F.lit(OWN).alias("kind"))))
+    dealt = base.withColumn("p", placed("k", begin)).select(F.explode(kinds).alias("to"), "k", "doc_id", "text").select("to.bucket", "to.kind", "k", "doc_id", "text")
+    dealt = dealt.repartitionById(buckets, "bucket").sortWithinPartitions("kind", "k", "text").select("doc_id", "text", "kind")
 
     def result(own: _Seen, following: _Seen) -> tuple:
         edited = utf8(spliced(own.text, following.text))
         chunks = chunk_set(edited)
         return (own.key, len(own.text), hashlib.sha256(edited).hexdigest(), fingerprint(own.chunks), fingerprint(chunks), containment(own.chunks, chunks), containment(own.chunks, following.chunks))
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=[x.split()[0] for x in RESULT.split(", ")])
+
+    def seen(batch: pa.RecordBatch) -> Iterator[_Seen]:
+        for doc_id, body in zip(*(c.to_pylist() for c in batch.columns[:2])):
+            yield _Seen(doc_id, body, chunk_set(utf8(body)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: _Seen | None = None
         for batch in batches:
             rows: list[tuple] = []
-            for bucket, kind, doc_id, body in zip(*(c.to_pylist() for c in batch.columns)):
-                if kind != OWN and (waiting is None or waiting.bucket != bucket):
-                    continue  # the bucket's last document has its neighbour already
-                now = _Seen(bucket, doc_id, body, chunk_set(utf8(body)))
-                if waiting is not None and waiting.bucket == bucket:
+            for kind, now in zip(batch.column(2).to_pylist(), seen(batch)):
+                if waiting is not None:
                     rows.append(result(waiting, now))
+                elif kind == NEIGHBOUR:
+                    break  # the bucket's last document has its neighbour already
                 waiting = now if kind == OWN else None
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=names)
+            yield batch_of(rows)
+
+    out = dealt.mapInArrow(lean(run), RESULT)
+    if not several:
+        return out
+
+    names = [x.split()[0] for x in RESULT.split(", ")]
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = batch_of([result(x, x) for x in seen(batch)])
+            yield pa.RecordBatch.from_arrays([*made.columns, batch.column(2)], names=[*names, "n"])
 
-    return dealt.mapInArrow(lean(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    made = once.select("doc_id", "text", "n").mapInArrow(lean(again), f"{RESULT}, n long")
+    parts = made.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 2) / COPIES))).alias("part")).repartition("part", "edited_sha256")
+    return out.unionByName(parts.select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(COPIES).cast("long"), F.col("n") - 1 - F.col("part") * COPIES))).alias("copy")).drop("copy"))

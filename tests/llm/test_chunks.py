@@ -64,3 +64,19 @@ def test_one_row_and_none(spark):
     assert g.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and g.near_next == 1.0
     assert chunks.compare_neighbours(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert chunks.fingerprint_column(spark.createDataFrame([(1, None, "c")], "doc_id long, text string, fingerprint string")).first().fingerprint == ""
+
+
+def test_a_row_that_is_a_third_of_the_table(spark, monkeypatch):
+    monkeypatch.setattr(chunks, "COPIES", 7)
+    r = random.Random(2)
+    words = lambda n: " ".join("".join(r.choices("abcdef", k=5)) for _ in range(n))
+    rows = [(None, "the same text in very many rows")] * 60 + [(None, words(20)) for _ in range(30)] + [(i, words(30)) for i in range(60)] + [(5, words(9))] * 3
+    got = [tuple(g) for g in chunks.compare_neighbours(spark.createDataFrame(rows, "doc_id long, text string"), bucket_chars=900).collect()]
+    assert len(got) == len(rows)
+    same = [g for g in got if g[0] is None and g[1] == len(rows[0][1])]
+    assert len(same) == 60 and sum(g[6] == 1.0 for g in same) >= 59
+    plain = {t: chunks.fingerprint(chunks.chunk_set(t.encode())) for _, t in rows}
+    assert sorted(g[3] for g in got) == sorted(plain[t] for _, t in rows)
+    texts = {chunks.fingerprint(chunks.chunk_set(t.encode())): t for _, t in rows}
+    followed = [hashlib.sha256(chunks.spliced(a, b).encode()).hexdigest() for a in set(texts.values()) for b in set(texts.values())]
+    assert {g[2] for g in got} <= set(followed)

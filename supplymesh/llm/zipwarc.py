@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supplymesh.llm.common import lean, prepare, stored
+from supplymesh.llm.common import checkpointed, lean, prepare, stored
 
 #: Fixed by the ZIP format: signatures and layouts of the local header, central entry, end record, ZIP64 end record and locator.
 LOCAL, ENTRY, END = struct.Struct("<4s5H3L2H"), struct.Struct("<4s6H3L5H2L"), struct.Struct("<4s4H2LH")
@@ -34,6 +34,8 @@ DATA, INDEX, PACKAGE = "archive/data.warc.gz", "indexes/index.cdxj", "datapackag
 ARCHIVE_BYTES = 4 << 20
 #: Payloads of fewer bytes are never stored as revisits.
 REVISIT_LEAST = 100
+#: A payload is hot with more than this part of all copies.
+HOT = 1000
 
 
 class Damaged(ValueError):
@@ -252,14 +254,20 @@ def originals(pages: DataFrame, least: int = REVISIT_LEAST) -> DataFrame:
     """``pages`` (page_id, url, payload binary) with digest (binary SHA-256), first, and revisit: whether another page has the payload.
 
     ``first`` is the least page_id with the same payload, for payloads of at least ``least`` bytes that several
-    page_ids have. Digests and ids are matched without payloads; the payloads then meet their decisions by page id, which no
-    group of copies makes uneven.
+    page_ids have. Payloads with over a thousandth of all copies, which can't be more than a thousand, get it by broadcast. For the others, digests
+    and ids are matched without payloads; the payloads then meet their decisions by page id and digest, which no group of copies makes uneven.
     """
     keyed = pages.withColumn("digest", F.unhex(F.sha2("payload", 256)))
     light = keyed.filter(F.octet_length("payload") >= least).select("page_id", "digest")
-    several = light.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").drop("n")
-    later = light.join(several, "digest").filter(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first").distinct()
-    return keyed.join(later, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left").select("page_id", "url", "payload", "digest", "first", F.col("first").isNotNull().alias("revisit"))
+    several = checkpointed(light.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null"))
+    total = several.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(several.filter(F.col("n") > total / HOT).select(F.col("digest").alias("d"), F.col("first").alias("f")))  # at most HOT rows
+    cold = several.filter(F.col("n") <= total / HOT).select("digest", "first")
+    later = light.join(cold, "digest").filter(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first").distinct()
+    known = keyed.join(hot, F.col("digest") == F.col("d"), "left").drop("d")
+    at_once = known.filter("f is not null").withColumn("first", F.when(~F.col("page_id").eqNullSafe(F.col("f")), F.col("f")))
+    apart = known.filter("f is null").join(later, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left").drop("p", "d")
+    return apart.unionByName(at_once).select("page_id", "url", "payload", "digest", "first", F.col("first").isNotNull().alias("revisit"))
 
 
 def archives(pages: DataFrame, least: int = REVISIT_LEAST, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:

@@ -69,3 +69,12 @@ def test_round_trip(spark):
     key = lambda x: tuple(str(v) for v in x)
     assert sorted((tuple(g) for g in got), key=key) == sorted(want, key=key)
     assert zipwarc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_hot_payload(spark, monkeypatch):
+    rows = [(None if i % 2 else i, "u", "z" * 500 if i % 3 else f"own {i} " * 40, "") for i in range(300)] + [(i, "u", "pair " * 60 * (1 + i // 2), "") for i in range(1000, 1008)]
+    seen = []
+    for hot in (1, 1000):
+        monkeypatch.setattr(zipwarc, "HOT", hot)
+        seen.append(sorted(zipwarc.round_trip(spark.createDataFrame(rows, PAGES)).collect(), key=str))
+    assert seen[0] == seen[1] and sum(g.record_type == "revisit" for g in seen[0]) == 199 + 4

@@ -20,11 +20,10 @@ from pyspark.sql import functions as F
 
 from supplymesh.llm.common import crc_remainder, lean, prepare, sampled, schema_with, stored
 
-#: Hash buckets of n-grams, the orders of n-grams, documents sampled for each language, languages learned at most (the commonest).
-BUCKETS, ORDERS, SAMPLE, LANGUAGES = 1 << 15, (2, 3, 4), 800, 256
+#: Hash buckets of n-grams, the orders of n-grams, documents sampled for each language, languages that can be told apart (more are an error).
+BUCKETS, ORDERS, SAMPLE, LANGUAGES = 1 << 15, (2, 3, 4), 800, 4096
 #: Score under which a text is ambiguous; what a language is called that can't be told.
 AMBIGUOUS, UNKNOWN = 0.52, "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _SPACED = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 _RUNS = re.compile(rb" {2,}")
 
@@ -52,12 +51,13 @@ def codewords(languages: int, seed: int = 11) -> np.ndarray:
         return np.array(splits, "i1").T
     bits, draw = int(np.ceil(12 * np.log2(languages))), np.random.default_rng(seed)
     best, most = None, -1
-    for _ in range(60):
+    for _ in range(60 if languages <= 256 else 4):
         code = draw.choice(np.array([-1, 1], "i1"), (languages, bits))
         flat = np.abs(code.sum(axis=0)) == languages
         code[0, flat] *= -1
-        apart = (bits - code.astype("i4") @ code.T.astype("i4")) // 2
-        least = int(apart[np.triu_indices(languages, 1)].min())
+        own, least = code.astype("f4"), bits
+        for i in range(1, languages):
+            least = min(least, int(bits - (own[:i] @ own[i]).max()) // 2)
         if least > most:
             best, most = code, least
     return best
@@ -81,7 +81,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """The language, a score from 0 to 1, and whether it is ambiguous. No text or no letter: UNKNOWN, 0, ambiguous."""
-        if not text or not self.languages or not _LETTER.search(text):
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, True
         if len(self.languages) == 1:
             return self.languages[0], 1.0, False
@@ -113,13 +113,24 @@ def fit(sample: DataFrame, languages: list[str], key: str = "lang", text: str =
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, "i4")), pa.array(at.astype("i4")), pa.array(own[at])], names=["l", "h", "n"])
 
-    shares = np.zeros((len(languages), BUCKETS))
-    for r in base.mapInArrow(lean(count), "l int, h int, n double").groupBy("l", "h").agg(F.sum("n").alias("n")).toArrow().to_batches():
-        np.add.at(shares, (r.column(0).to_numpy(), r.column(1).to_numpy()), r.column(2).to_numpy())
-    shares = (shares + 1e-4) / (shares + 1e-4).sum(axis=1, keepdims=True)
-    weights = np.empty((BUCKETS, code.shape[1]), "f4")
-    for b in range(code.shape[1]):
-        weights[:, b] = np.log(shares[code[:, b] > 0].mean(axis=0)) - np.log(shares[code[:, b] < 0].mean(axis=0))
+    def total(table: pa.Table) -> pa.Table:
+        own = np.zeros(BUCKETS)
+        np.add.at(own, table.column("h").to_numpy(), table.column("n").to_numpy())
+        return pa.table({"l": pa.array([table.column("l")[0].as_py()], pa.int32()), "own": pa.array([((own + 1e-4) / (own + 1e-4).sum()).astype("<f8").tobytes()], pa.binary())})
+
+    counted = base.mapInArrow(lean(count), "l int, h int, n double").groupBy("l", "h").agg(F.sum("n").alias("n"))
+    sums = np.zeros((2, code.shape[1], BUCKETS))  # shares added up over the languages on either side of each classifier, a language at a time
+    left = np.ones(len(languages), "?")
+    for r in counted.groupBy("l").applyInArrow(total, "l int, own binary").toLocalIterator():
+        sums[0, code[r.l] > 0] += np.frombuffer(r.own, "<f8")
+        sums[1, code[r.l] < 0] += np.frombuffer(r.own, "<f8")
+        left[r.l] = False
+    for i in np.flatnonzero(left):  # languages of empty texts alone
+        sums[0, code[i] > 0] += 1 / BUCKETS
+        sums[1, code[i] < 0] += 1 / BUCKETS
+    sides = np.stack([(code > 0).sum(axis=0), (code < 0).sum(axis=0)])[:, :, None]
+    sums /= sides
+    weights = np.ascontiguousarray((np.log(sums[0]) - np.log(sums[1])).T.astype("f4"))
     plain = Model(languages, code, weights, np.ones(code.shape[1]), np.ones(code.shape))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,11 +156,13 @@ def fit(sample: DataFrame, languages: list[str], key: str = "lang", text: str =
 def learn(docs: DataFrame, learned_from, key: str = "doc_id", lang: str = "lang", text: str = "text", sample: int = SAMPLE, languages: int = LANGUAGES) -> Model:
     """A model from documents for which ``learned_from`` (a boolean column) holds and whose language is known.
 
-    About ``sample`` documents of each of the commonest ``languages`` languages are used, by a hash of their key: a
-    documented bound, so that the driver's share stays the same for any corpus. Texts are used whole.
+    About ``sample`` documents of each language are used, by a hash of their key: a documented bound, so that the driver's
+    share stays the same for any corpus. Every language that occurs is learned; more than ``languages`` are an error. Texts are used whole.
     """
     known = docs.filter(learned_from & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = known.groupBy(lang).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang).limit(languages).collect()
+    counts = known.groupBy(lang).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang).limit(languages + 1).collect()
+    if len(counts) > languages:
+        raise ValueError(f"more than {languages} languages: are these labels?")
     if not counts:
         return Model([], np.zeros((0, 0), "i1"), np.zeros((BUCKETS, 0), "f4"), np.ones(0), np.ones((0, 0)))
     share = F.create_map(*(F.lit(x) for r in counts for x in (r[lang], min(1.0, sample / r.n))))

@@ -47,3 +47,39 @@ def test_odd_inputs(spark):
     assert {g.lang_pred for g in ecoc.identify(odd, none).collect()} == {"und"}
     one = ecoc.learn(spark.createDataFrame([(1, "some words", "zz"), (3, "more", "zz")], shape), ~ecoc.held_out())
     assert ecoc.identify(odd, one).collect()[3].lang_pred in ("zz", "und")
+
+
+def test_no_letters():
+    one = ecoc.Model(["zz"], ecoc.codewords(1), np.zeros((ecoc.BUCKETS, 0), "f4"), np.ones(0), np.ones((1, 0)))
+    assert all(one.predict(x) == (ecoc.UNKNOWN, 0.0, True) for x in ("² ½ ①", "12 _", "٣", None, ""))
+    assert one.predict("² a")[0] == one.predict("字")[0] == "zz"
+
+
+def test_decoding_against_a_plain_loop(spark):
+    rows = corpus(300)
+    model = ecoc.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string, score double"), ~ecoc.held_out())
+    for _, text, _, _ in rows[:60]:
+        grams = ecoc.ngrams(text).tolist()
+        losses = []
+        for i in range(len(model.languages)):
+            loss = 0.0
+            for b in range(model.code.shape[1]):
+                margin = sum(float(model.weights[g, b]) for g in grams) / len(grams)
+                loss += model.trust[i, b] * np.exp(-model.code[i, b] * min(20, max(-20, margin / model.scale[b])))
+            losses.append(loss)
+        best, following = sorted(range(len(losses)), key=lambda i: losses[i])[:2]
+        lang, score, ambiguous = model.predict(text)
+        assert lang == model.languages[best] and abs(score - losses[following] / (losses[best] + losses[following])) < 1e-5
+        assert ambiguous == (score < ecoc.AMBIGUOUS)
+
+
+def test_many_languages(spark):
+    code = ecoc.codewords(400)
+    assert len({tuple(c) for c in code.tolist()}) == 400 and (np.abs(code.sum(axis=0)) < 400).all()
+    docs = spark.createDataFrame([(i, f"word{i}", f"l{i}") for i in range(6)], "doc_id long, text string, lang string")
+    try:
+        ecoc.learn(docs, ecoc.F.lit(True), languages=5)
+    except ValueError as e:
+        assert "more than 5" in str(e)
+    else:
+        raise AssertionError

@@ -32,6 +32,8 @@ from supplymesh.llm.common import crc_remainder, lean, prepare, sampled, schema_
 TOXIC_SAMPLE, OTHER_SAMPLE, TERMS, FOLDS = 4000, 6000, 100_000, 4
 #: Lengths of word beginnings; weight of the prior, as a part of the sampled documents; standard errors taken off; cost of a word that tells nothing.
 PREFIXES, PRIOR, ERRORS, COST = (4, 5, 6, 7), 0.03, 1.5, 0.3
+#: Sampled toxic documents that a term needs to be weighed.
+SUPPORT = 2
 #: Words that a worker remembers.
 MEMORY = 100_000
 _WORD = re.compile(r"\w+")
@@ -180,7 +182,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, usual: float = 1
 def fit(sample: DataFrame, kinds: tuple[float, float]) -> Model:
     """A model from a bounded table (text, toxic 0 or 1, fold), read three times; kinds: how many labelled documents there are of each, other and toxic.
 
-    The driver gets counts of at most TERMS terms by fold, and a row for each sampled document.
+    The driver gets counts of at most TERMS terms by fold, and a row for each sampled document. Terms that fewer than
+    SUPPORT sampled toxic documents have aren't weighed: a documented least support, as a term that one document has tells nothing of others.
     """
     spark = sample.sparkSession
     prepare(spark)
@@ -204,7 +207,7 @@ def fit(sample: DataFrame, kinds: tuple[float, float]) -> Model:
     kind = "term string, fold int, c long"
     by_fold = [F.sum(F.when(F.col("fold") == f, F.col("c")).otherwise(0)).alias(f"f{f}") for f in range(FOLDS)]
     toxic = sample.filter("toxic = 1").select("text", "fold").mapInArrow(lean(count(None)), kind).groupBy("term").agg(F.sum("c").alias("c"), *by_fold)
-    rows = toxic.filter(F.col("c") >= 2).orderBy(F.desc("c"), "term").limit(TERMS).collect()
+    rows = toxic.filter(F.col("c") >= SUPPORT).orderBy(F.desc("c"), "term").limit(TERMS).collect()
     names = [r.term for r in rows]
     at = {t: i for i, t in enumerate(names)}
     counts = np.zeros((2, FOLDS, len(names)))

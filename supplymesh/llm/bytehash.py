@@ -1,32 +1,21 @@
-"""64-bit hashes of many runs of bytes at once, from running sums: no run is looked at alone.
+"""64-bit hashes of many runs of bytes at once, depending on a seed.
 
-A run's hash is a polynomial over a random number for each byte value, and its length, mixed. Two
-different ones of n runs have equal hashes with a chance of about n^2 / 2^64.
+A run of up to LONG bytes is read as numbers of eight bytes, and each is mixed with what came before
+it by a bijection of 64-bit numbers; longer runs are hashed one by one by XXH3. Both are functions of
+all bits of a run without algebraic structure, so that different ones of n runs have equal hashes with a chance of
+about n^2 / 2^65, however they repeat themselves. Whoever could write runs that collide would have to know the seed.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 U = np.uint64
-_DRAW = np.random.default_rng(20240229)
-EXACT = _DRAW.integers(1, 1 << 64, 256, dtype="u8")
-#: With A-Z as a-z.
-FOLDED = EXACT.copy()
-FOLDED[65:91] = FOLDED[97:123]
-_BASE = int(_DRAW.integers(1, 1 << 62)) * 4 + 3
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS = [np.ones(1, "u8"), np.ones(1, "u8")]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, at least n of each."""
-    if len(_POWERS[0]) < n:
-        for k, x in enumerate((_BASE, _INVERSE)):
-            out = np.full(max(n, 1 << 20), x, "u8")
-            out[0] = 1
-            _POWERS[k] = np.cumprod(out)
-    return _POWERS[0], _POWERS[1]
+#: Bytes of a run that are mixed in arrays, a multiple of eight.
+LONG = 32
+_KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], "u8")
+_STEP = U(0x9E3779B97F4A7C15)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -38,11 +27,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(33))
 
 
-def run_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, table: np.ndarray = EXACT) -> np.ndarray:
+def run_hashes(data: bytes, begins: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """The hash of each run data[begin:end] of bytes."""
-    up, down = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, "u8")
-    value = table[data]
-    value *= up[: len(data)]
-    np.cumsum(value, out=sums[1:])
-    return mix((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype("u8"))
+    whole = np.frombuffer(data + bytes(8), "u1")
+    at_byte = np.ndarray((len(data) + 1,), "<u8", whole, strides=(1,))
+    length = (ends - begins).astype("i8")
+    h = mix((length.astype("u8") + U(1)) * _STEP ^ U(seed & (1 << 64) - 1))
+    for j in range(0, LONG, 8):
+        own = np.flatnonzero(length > j) if j else slice(None)
+        left = np.minimum(length[own] - j, 8)
+        h[own] = mix(h[own] * _STEP ^ at_byte[begins[own] + j] & _KEPT[left])
+    for i in np.flatnonzero(length > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[begins[i] : ends[i]], seed & (1 << 64) - 1)
+    return h

@@ -11,9 +11,14 @@ least 4 (a + b) / 9 of them, which is a Jaccard similarity of 0.8. Nodes are joi
 The boundary is where enumerating all smaller sets would cost more than scanning lists for them.
 Lists are scanned by their length: the sets of a short (light) list are paired, a pair stays if the
 lists that it shares leave enough room for the overlap it needs, and is then verified on whole sets.
-Sets that meet in a long (heavy) list are a family; a family is cut into blocks by size and hash, and
+Sets that meet in a long (heavy) list are a family, and so are those that meet through others; where comparing
+its lists one by one costs less, each list is a family of its own. A family is cut into blocks by size and hash, and
 each pair of blocks of fitting sizes is compared in a task of its own, which returns a forest of links
-rather than pairs. So no list and no group of copies meets in one task or is expanded into its pairs.
+rather than pairs. So no group of copies meets in one task or is expanded into its pairs.
+
+Keys that hold over a thousandth of the rows (tokens, subsets, hubs of the graph, families), of which there can't be more than a
+thousand, never go to a task of their own: their lists are heavy ones, found by counts and left where they are, and what
+is looked up for them is broadcast.
 
 Rarity is an order and no filter: it comes from a sketch of counts over all documents, of a fixed
 size, so that results don't depend on its errors.
@@ -22,6 +27,7 @@ size, so that results don't depend on its errors.
 from __future__ import annotations
 
 import math
+import secrets
 import zlib
 from collections.abc import Iterator
 from itertools import combinations
@@ -44,8 +50,10 @@ LIGHT, BLOCK_SETS, BLOCK_SHINGLES = 32, 256, 400_000
 SMALL_MOST, LIST_COST = 14, 8
 #: Bits of the filter that tells which documents' sets are needed again. It only lets too many pass, never too few.
 FILTER_BITS = 1 << 26
-#: A class of equal sets is hot with more than this part of all documents, and a component with more than this part of all linked classes.
+#: A key is hot with more than this part of all rows that have one.
 HOT = 1000
+#: Rows that a task remembers, in order not to send the same one again.
+MEMORY = 100_000
 #: Stands for a null id where rows of a class are found by their ids.
 _LAST = (1 << 63) - 1
 
@@ -93,14 +101,26 @@ def _cells(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - CELLS.bit_length() + 1)).astype("i8")
 
 
-def measured(docs: DataFrame) -> DataFrame:
+def _fresh(keys: list[tuple], seen: set[tuple]) -> np.ndarray:
+    """Which keys aren't among those remembered; equal rows of a hot key are so dropped before they are shuffled."""
+    out = np.zeros(len(keys), "?")
+    for i, k in enumerate(keys):
+        if k not in seen:
+            if len(seen) >= MEMORY:
+                seen.clear()
+            seen.add(k)
+            out[i] = True
+    return out
+
+
+def measured(docs: DataFrame, seed: int) -> DataFrame:
     """First pass, of docs (doc_id, text, digest): (doc_id, digest, node, size) of each row; and, with null node, parts (chunk, counts) of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "digest", "node", "size", "chunk", "counts"]
         counts = np.zeros(CELLS, "u4")
         for batch in batches:
-            sets = shingle_sets(batch.column(1).to_pylist())
+            sets = shingle_sets(batch.column(1).to_pylist(), seed)
             if any(len(s) for s in sets):
                 counts += np.bincount(_cells(np.concatenate(sets)), minlength=CELLS).astype("u4")
             n = len(sets)
@@ -129,48 +149,61 @@ def sketch(parts: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def prefixes(docs: DataFrame, counts: np.ndarray, small: int) -> DataFrame:
-    """Second pass: (doc_id, node, size, prefix, whole) of each row with shingles; whole sets only of small ones."""
+def prefixes(docs: DataFrame, counts: np.ndarray, small: int, seed: int) -> DataFrame:
+    """Second pass, of docs (doc_id, text, digest): (doc_id, digest, node, size, prefix, whole) of rows with shingles; whole sets only of small ones. Of equal rows, a few."""
     shared = docs.sparkSession.sparkContext.broadcast(zlib.compress(counts.tobytes(), 1))  # CELLS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity = np.frombuffer(zlib.decompress(shared.value), "<u4")
+        rarity, seen = np.frombuffer(zlib.decompress(shared.value), "<u4"), set()
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         for batch in batches:
+            ids, texts, digests = (c.to_pylist() for c in batch.columns)
+            new = np.flatnonzero(_fresh(list(zip(ids, digests)), seen)).tolist()
             rows = []
-            for doc_id, own in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist())):
+            for i, own in zip(new, shingle_sets([texts[i] for i in new], seed)):
                 if n := len(own):
                     first = np.lexsort((own, rarity[_cells(own)]))[: prefix_length(n)]
-                    rows.append((doc_id, _key(own), n, own[first].astype("i8"), own.astype("i8") if n <= small else None))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=["doc_id", "node", "size", "prefix", "whole"])
+                    rows.append((ids[i], digests[i], _key(own), n, own[first].astype("i8"), own.astype("i8") if n <= small else None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=["doc_id", "digest", "node", "size", "prefix", "whole"])
 
-    return docs.mapInArrow(lean(run), "doc_id long, node long, size long, prefix array<long>, whole array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, digest long, node long, size long, prefix array<long>, whole array<long>")
 
 
-def needed_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Third pass: (node, own: set as binary) of the documents that are in wanted (doc_id, node)."""
+def needed_sets(docs: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
+    """Third pass, of docs (doc_id, text, digest): (node, own: set as binary) of the rows that are in wanted (doc_id, digest, node)."""
     spark = docs.sparkSession
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bit = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(FILTER_BITS))
     words = wanted.select(bit.alias("b")).groupBy(F.floor(F.col("b") / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("b", F.lit(64)).cast("int"))).alias("m")).toArrow()
     table = np.zeros(FILTER_BITS // 64, "i8")  # a row of it for each word that has a bit: their number is bounded
     table[words.column(0).to_numpy()] = words.column(1).to_numpy()
     shared = spark.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(zlib.decompress(shared.value), "u1")
+        bits, seen = np.frombuffer(zlib.decompress(shared.value), "u1"), set()
         for batch in batches:
-            b = batch.column(2).to_numpy()
+            b = batch.column(3).to_numpy()
             kept = batch.filter(pa.array((bits[b >> 3] >> (b & 7).astype("u1") & 1).astype("?")))
-            sets = shingle_sets(kept.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([kept.column(0), pa.array([_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "node", "own"])
+            kept = kept.filter(pa.array(_fresh(list(zip(kept.column(0).to_pylist(), kept.column(2).to_pylist())), seen)))
+            sets = shingle_sets(kept.column(1).to_pylist(), seed)
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(2), pa.array([_key(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "digest", "node", "own"])
 
-    found = docs.select("doc_id", "text", bit.alias("bit")).mapInArrow(lean(run), "doc_id long, node long, own binary")
-    return found.join(wanted, ["doc_id", "node"], "left_semi").select("node", "own").dropDuplicates(["node"])
+    found = docs.select("doc_id", "text", "digest", bit.alias("bit")).mapInArrow(lean(run), "doc_id long, digest long, node long, own binary")
+    return found.join(wanted, ["doc_id", "digest", "node"], "left_semi").select("node", "own").dropDuplicates(["node"])
 
 
 # --- joins ---------------------------------------------------------------------------------------
 
 
+def looked_up(rows: DataFrame, found: DataFrame, keys: list[str], total: int | None = None) -> DataFrame:
+    """rows with what is found (keys, n: how many rows have them, other columns) for their keys; those over a part in HOT of all rows
+    (``total``, by default the sum of n) are broadcast, so that no key's rows meet in one task."""
+    if total is None:
+        total = found.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(found.filter(F.col("n") > total / HOT).drop("n"))  # at most HOT rows
+    cold = found.filter(F.col("n") <= total / HOT).drop("n")
+    return rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(cold, keys))
+
+
 def small_links(nodes: DataFrame, small: int) -> DataFrame:
     """Links (u, v) between sets (node, size, whole) of at most ``small`` shingles, by common subsets of the needed size."""
 
@@ -189,16 +222,29 @@ def small_links(nodes: DataFrame, small: int) -> DataFrame:
                     lesser += [size == a] * len(h)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(own, pa.int64()), pa.array(lesser, pa.bool_())], names=["key", "node", "lesser"])
 
-    rows = nodes.filter(F.col("whole").isNotNull()).select("node", "size", "whole").mapInArrow(lean(run), "key long, node long, lesser boolean")
+    rows = stored(nodes.filter(F.col("whole").isNotNull()).select("node", "size", "whole").mapInArrow(lean(run), "key long, node long, lesser boolean"), "subsets")
     # sets that share a subset link with the lesser ones among them, and so with the first of these
-    first = rows.groupBy("key").agg(F.min(F.when(F.col("lesser"), F.col("node"))).alias("v"), F.min("node").alias("a"), F.max("node").alias("b")).filter("v is not null and a < b").select("key", "v")
-    return rows.join(first, "key").filter("node != v").select(F.col("node").alias("u"), "v").distinct()
+    first = rows.groupBy("key").agg(F.min(F.when(F.col("lesser"), F.col("node"))).alias("v"), F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n")).filter("v is not null and a < b").select("key", "v", "n")
+    return looked_up(rows, first, ["key"], rows.count()).filter("node != v").select(F.col("node").alias("u"), "v").distinct()
 
 
-def scanned(nodes: DataFrame) -> DataFrame:
+def scanned(nodes: DataFrame, counts: np.ndarray) -> DataFrame:
     """The lists of the prefixes of nodes (node, size, prefix), scanned: pairs (u, su, v, sv) of light lists, one for each list that both are in; and, with
-    null v, the (token, u, su) of heavy ones. Lists of one set give nothing. Lists are streamed in order; what is held is a light list at most."""
-    postings = nodes.select(F.explode("prefix").alias("token"), "node", "size").repartition("token").sortWithinPartitions("token", "size", "node")
+    null v, the (token, u, su) of heavy ones. Lists of one set give nothing. Lists are streamed in order; what is held is a light list at most.
+
+    Tokens of hot lists are found by counting the tokens of crowded cells of the sketch, which no token exceeds; their rows
+    are heavy as they are and aren't shuffled."""
+    spark = nodes.sparkSession
+    total = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    least = max(LIGHT, total // HOT)
+    exploded = nodes.select(F.explode("prefix").alias("token"), "node", "size")
+    crowded = F.broadcast(spark.createDataFrame(pa.table({"cell": pa.array(np.flatnonzero(counts > least), pa.int32())}), "cell int"))  # CELLS numbers at most
+    cell = F.call_function("shiftrightunsigned", F.col("token"), F.lit(64 - CELLS.bit_length() + 1)).cast("int")
+    suspects = exploded.select("token", cell.alias("cell")).join(crowded, "cell", "left_semi")
+    hot = F.broadcast(checkpointed(suspects.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") > least).select("token")))  # at most HOT tokens
+    none = F.lit(None).cast("long")
+    at_once = exploded.join(hot, "token", "left_semi").select("token", F.col("node").alias("u"), F.col("size").alias("su"), none.alias("v"), none.alias("sv"))
+    postings = exploded.join(hot, "token", "left_anti").repartition("token").sortWithinPartitions("token", "size", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int]] = []
@@ -258,7 +304,7 @@ def scanned(nodes: DataFrame) -> DataFrame:
         end()
         yield out()
 
-    return postings.mapInArrow(lean(run), "token long, u long, su long, v long, sv long")
+    return postings.mapInArrow(lean(run), "token long, u long, su long, v long, sv long").unionByName(at_once)
 
 
 def light_candidates(found: DataFrame) -> DataFrame:
@@ -288,11 +334,22 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def families(found: DataFrame) -> DataFrame:
-    """The sets (node, size, family) that meet in heavy lists, directly or through others."""
+    """The sets (node, size, family) that may link through heavy lists: those that meet in them, directly or through others; or, where the squares
+    of its lists add up to less than its own, each list of such a family alone."""
     heavy = found.filter("v is null").select("token", "u", "su")
-    first = heavy.groupBy("token").agg(F.min("u").alias("v"))
-    roots = components(heavy.join(first, "token").filter("u != v").select("u", "v").distinct())
-    return heavy.select(F.col("u").alias("node"), F.col("su").alias("size")).distinct().join(roots.select(F.col("u").alias("node"), F.col("component").alias("family")), "node", "left").select("node", "size", F.coalesce("family", "node").alias("family"))
+    lists = checkpointed(heavy.groupBy("token").agg(F.min("u").alias("v"), F.count("*").alias("n")))
+    roots = checkpointed(components(looked_up(heavy, lists, ["token"]).filter("u != v").select("u", "v").distinct()))
+    of_list = lists.join(roots.select(F.col("u").alias("v"), F.col("component").alias("family")), "v").select("token", "n", "family")
+    one_by_one = of_list.groupBy("family").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"))
+    whole = roots.groupBy(F.col("component").alias("family")).agg(F.count("*").alias("n"))
+    cut = checkpointed(whole.join(one_by_one, "family").filter(F.col("squares") < F.col("n").cast("double") * F.col("n")).select("family"))
+    lone = checkpointed(of_list.join(cut, "family", "left_semi").select("token", "n"))
+    alone = looked_up(heavy, lone, ["token"]).select(F.col("u").alias("node"), F.col("su").alias("size"), F.xxhash64(F.lit(1), "token").alias("family"))
+    sized = heavy.select(F.col("u").alias("node"), F.col("su").alias("size")).distinct()
+    rest = roots.withColumnRenamed("u", "node")
+    counted = whole.join(cut, "family", "left_anti").withColumnRenamed("family", "component")
+    together = sized.join(looked_up(rest, checkpointed(counted), ["component"]), "node").select("node", "size", F.xxhash64(F.lit(2), "component").alias("family"))
+    return together.unionByName(alone)
 
 
 def family_links(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -300,9 +357,10 @@ def family_links(members: DataFrame, sets: DataFrame) -> DataFrame:
 
     Sets that may link are at most one class of sizes apart, classes growing by a quarter. Each class is dealt into blocks by hash."""
     sized = members.withColumn("c", F.floor(F.log(F.col("size").cast("double")) / math.log(1.25) + 1e-9).cast("int"))
-    blocks = checkpointed(sized.groupBy("family", "c").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("n")))
-    at = lambda shift, name: blocks.select("family", (F.col("c") + shift).alias("c"), F.col("n").alias(name))
-    placed = sized.join(at(0, "n"), ["family", "c"]).join(at(-1, "above"), ["family", "c"], "left").join(at(1, "below"), ["family", "c"], "left")
+    blocks = checkpointed(sized.groupBy("family", "c").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("n")))
+    at = lambda shift, name: blocks.select("family", (F.col("c") + shift).alias("c"), F.col("blocks").alias(name))
+    around = checkpointed(blocks.join(at(-1, "above"), ["family", "c"], "left").join(at(1, "below"), ["family", "c"], "left"))
+    placed = looked_up(sized, around, ["family", "c"]).withColumnRenamed("blocks", "n")
     h = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     key = lambda c1, h1, c2, h2: F.struct(c1.alias("c1"), h1.alias("h1"), c2.alias("c2"), h2.alias("h2"))
@@ -355,53 +413,46 @@ def family_links(members: DataFrame, sets: DataFrame) -> DataFrame:
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(u, component) of every node in links (u, v): the least node that it reaches. By alternating large and small stars.
 
-    A node's neighbours never meet: least neighbours are aggregated before the shuffle, then joined to the links."""
+    The neighbours of a hub never meet: least neighbours are aggregated before the shuffle, and a hub's is broadcast to its links."""
     links = checkpointed(links.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    was = None
     for _ in range(rounds):
+        ends = F.count_distinct("u").alias("ends")
+        total, ends = links.agg(F.count("*"), ends).first()
+        if ends == total and links.join(links.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
+            break  # stars: each node has one link, to a node without one
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        links = both.join(least, "u").filter("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = links.groupBy("u").agg(F.min("v").alias("m"))
-        joined = links.join(least, "u")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        links = looked_up(both, least, ["u"], 2 * total).filter("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        joined = looked_up(links, least, ["u"], total)
         links = checkpointed(joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == was:
-            break
-        was = now
     else:
         raise RuntimeError("components haven't settled")
     ends = links.select("u", F.col("v").alias("component"))
     return ends.unionByName(ends.select(F.col("component").alias("u"), "component").distinct())
 
 
-def looked_up(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with what is found (keys, n: how many rows have them, other columns) for their keys; those over a part in HOT of all rows are broadcast."""
-    total = found.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(found.filter(F.col("n") > total / HOT).drop("n"))  # at most HOT rows
-    cold = found.filter(F.col("n") <= total / HOT).drop("n")
-    return rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(cold, keys))
-
-
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(doc_id, digest of the text, node, size) of each row, and (node, size, n: rows, rep: least doc_id, component: its least node) of each class of equal sets with shingles."""
     spark: SparkSession = docs.sparkSession
     prepare(spark)
-    base = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    first = stored(measured(base.withColumn("digest", digest("text"))), "shingles")
+    seed = secrets.randbits(64)  # of all shingle hashes of this run
+    base = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("digest", digest("text"))
+    first = stored(measured(base, seed), "shingles")
     rows = first.filter("node is not null").select("doc_id", "digest", "node", "size")
-    classes = checkpointed(rows.filter("size > 0").groupBy("node", "size").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    known = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "digest")
+    classes = checkpointed(rows.filter("size > 0").groupBy("node", "size").agg(F.min("doc_id").alias("rep"), F.min(known).alias("at"), F.count("*").alias("n")))
     small = boundary({r.size: r.n for r in classes.filter(F.col("size") <= SMALL_MOST).groupBy("size").agg(F.count("*").alias("n")).collect()})
     counts = sketch(first.filter("node is null").select("chunk", "counts"))
     base = base.withColumn("doc_id", F.coalesce("doc_id", F.lit(_LAST)))
-    reps = classes.select(F.coalesce("rep", F.lit(_LAST)).alias("doc_id"), "node")
-    nodes = stored(prefixes(base, counts, small).join(reps, ["doc_id", "node"], "left_semi").drop("doc_id").dropDuplicates(["node"]), "prefixes")
+    reps = classes.select("at.doc_id", "at.digest", "node")
+    nodes = stored(prefixes(base, counts, small, seed).join(reps, ["doc_id", "digest", "node"], "left_semi").drop("doc_id", "digest").dropDuplicates(["node"]), "prefixes")
     in_lists = nodes.filter(F.col("size") >= (4 * (small + 1) + 4) // 5)
-    found = stored(scanned(in_lists), "lists")
+    found = stored(scanned(in_lists, counts), "lists")
     pairs = checkpointed(light_candidates(found))
     members = checkpointed(families(found))
     wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).unionByName(members.select("node")).distinct()
-    sets = stored(needed_sets(base, checkpointed(reps.join(wanted, "node", "left_semi").select("doc_id", "node"))), "sets")
+    sets = stored(needed_sets(base, checkpointed(reps.join(wanted, "node", "left_semi")), seed), "sets")
     links = small_links(nodes, small).unionByName(verified(pairs, sets)).unionByName(family_links(members, sets))
     found_in = components(links).withColumnRenamed("u", "node")
     return rows, checkpointed(classes.join(found_in, "node", "left").select("node", "size", "n", "rep", F.coalesce("component", "node").alias("component")))
@@ -416,7 +467,7 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     """Each row's doc_id, n_shingles and component_id: the least doc_id of what it reaches by links, itself included.
 
     Null and blank texts have no shingles and no links. Rows are linked by their texts alone, also where their key is null or
-    repeated; a component is null if only rows with a null key are in it. An empty table gives none; other columns aren't used.
+    repeated: texts that share a key are judged apart, so that rows of one key may be in several components; a component is null if only rows with a null key are in it. An empty table gives none; other columns aren't used.
     """
     rows, classes = linked(docs, key, text)
     least = checkpointed(classes.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")))

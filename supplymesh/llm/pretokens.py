@@ -8,6 +8,7 @@ word and of " " + word for the others. Texts that have such runs are encoded as
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable, Iterable
 from typing import Generic, TypeVar
 
@@ -80,11 +81,11 @@ class ChunkMemory:
     """Encodes texts by ``encode_many(strings) -> list of bytes``, asking for each distinct chunk once while it is remembered.
 
     The bytes of a text are the concatenation of those of its chunks: little-endian unsigned 32-bit ids. Chunks
-    are told apart by 64-bit hashes of their bytes, all at once; what isn't separable or too long is remembered as having no ids.
+    are told apart by 64-bit hashes of their bytes under a seed that each memory draws, all at once; what isn't separable or too long is remembered as having no ids.
     """
 
     def __init__(self, encode_many: Callable[[list[str]], list[bytes]], entries: int = GENERATION):
-        self.encode_many, self.entries = encode_many, entries
+        self.encode_many, self.entries, self.seed = encode_many, entries, secrets.randbits(64)
         self.young, self.old = IdTable(), IdTable()
 
     @staticmethod
@@ -137,7 +138,7 @@ class ChunkMemory:
         def word(i: int) -> str:
             return whole[begins[i] : ends[i]].decode("utf-8", "surrogatepass")
 
-        keys, example, inverse = np.unique(run_hashes(data, begins, ends), return_index=True, return_inverse=True)
+        keys, example, inverse = np.unique(run_hashes(whole, begins, ends, self.seed), return_index=True, return_inverse=True)
         self._learn(keys, example, word)
         at, _ = self.young.find(keys)
         at = at[inverse]

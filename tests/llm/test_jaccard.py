@@ -117,3 +117,42 @@ def test_components(spark):
         for a, b in links:
             root[a] = root[b] = min(root[a], root[b])
     assert got == {k: v for k, v in root.items() if any(k in e and e[0] != e[1] for e in links)}
+
+
+@pytest.mark.parametrize("power", [3, 5, 9, 10, 12])
+def test_words_that_repeat_themselves(power):
+    """A word of 2^power bytes and the one with its two letters exchanged, on which polynomial hashes modulo 2^64 agree."""
+    a = "a"
+    for _ in range(power):
+        a += a.translate({97: 98, 98: 97})
+    b = a.translate({97: 98, 98: 97})
+    sets = shingle_sets([a, b, a + " w x y z", b + " w x y z"])
+    assert len({int(s[0]) for s in sets}) == 4
+
+
+def test_many_null_ids(spark):
+    r = random.Random(8)
+    texts = [" ".join(f"{k}x{i}" for i in range(30)) for k in range(40)]
+    rows = [(i, t + " tail") for i, t in enumerate(texts[:20])] + [(None, r.choice(texts)) for _ in range(300)]
+    got = jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(g.doc_id for g in got if g.doc_id is not None) == list(range(20)) and all(g.component_id == g.doc_id for g in got if g.doc_id is not None)
+    want = Counter(texts.index(t) if texts.index(t) < 20 else None for i, t in rows if i is None)
+    assert Counter(g.component_id for g in got if g.doc_id is None) == want
+
+
+@pytest.mark.parametrize("hot", [1, 3])
+def test_hot_keys_and_chained_families(spark, monkeypatch, hot):
+    """Lists that chain many groups, each cut where that is cheaper, with every key counted as hot, some and hardly any."""
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "LIGHT", 2)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 4)
+    r = random.Random(hot)
+    passages = [[f"p{k}w{i}" for i in range(12)] for k in range(8)]
+    texts = []
+    for k in range(8):
+        for n in range(9):
+            own = passages[k] + (passages[(k + 1) % 8] if n == 0 else []) + [f"d{k}v{r.randrange(3)}" for _ in range(r.randint(0, 3))]
+            texts.append(" ".join(own))
+    rows = list(enumerate(texts))
+    got = jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {g.doc_id: (g.n_shingles, g.component_id) for g in got} == brute(rows)

@@ -169,8 +169,13 @@ def geopolitical_risk(name: Column, location: Column, path: Column) -> Column:
 
 
 def published(raw: Column) -> Column:
-    """The wall-clock time of an RFC 2822 date, its zone left out; null for anything else."""
-    return F.try_to_timestamp(F.regexp_extract(raw, r"(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2})", 1), F.lit("d MMM yyyy HH:mm:ss")).cast("timestamp_ntz")
+    """The wall-clock time of an RFC 2822 date, its zone left out; null for anything else. Seconds may be missing; years of two digits are
+    those from 1969 to 2068."""
+    part = lambda i: F.regexp_extract(raw, r"\b(\d{1,2})[ -]+([A-Za-z]{3})[A-Za-z]*[ -]+(\d{4}|\d{2})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?(?!\d)", i)
+    year = F.when(F.length(part(3)) == 4, part(3)).when(part(3) > "68", F.concat(F.lit("19"), part(3))).otherwise(F.concat(F.lit("20"), part(3)))
+    seconds = F.when(part(6) == "", "00").otherwise(part(6))
+    whole = F.concat(part(1), F.lit(" "), F.initcap(part(2)), F.lit(" "), year, F.lit(" "), F.lpad(part(4), 2, "0"), F.lit(":"), part(5), F.lit(":"), seconds)
+    return F.try_to_timestamp(F.when(part(1) != "", whole), F.lit("d MMM yyyy HH:mm:ss")).cast("timestamp_ntz")
 
 
 def recent(raw: Column, as_of: Column, days: int) -> Column:

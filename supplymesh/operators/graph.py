@@ -9,6 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from supplymesh.operators.relational import numbered_overall
+from supplymesh.sources.scratch import settled
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -20,6 +23,8 @@ class Limits:
     total: int | None = 50
 
 
+#: Tiers from this one on have the same gate.
+GATED = 4
 #: The result of an expansion: ``seq`` is the order in which rows come out.
 EXPANDED = "seq long, name string, tier int, parent string, path array<string>, confidence double, propagated double"
 
@@ -29,7 +34,8 @@ def expand_tiers(edges: DataFrame, root: str, limits: Limits = Limits(), mode: s
 
     A parent's candidates are taken by falling confidence, then ``seq``; each name comes out once, under the first parent that
     takes it. Rows of tier up to max_depth come out (tier 1 always); a row is a parent in turn if its tier is less than that.
-    Confidence is handed on as the product along the path, rounded to two digits.
+    Confidence is handed on as the product along the path, rounded to two digits. Edges with a column gate_tier are taken only in that tier; of
+    tiers beyond GATED, in the last one's.
 
     ``exact``: parents one after the other; what earlier ones took is left out *before* a parent's first ``per_parent`` are
     chosen. The choice runs on the driver over one level's candidates, which the limits bound (``queue`` parents; the joins
@@ -37,7 +43,7 @@ def expand_tiers(edges: DataFrame, root: str, limits: Limits = Limits(), mode: s
     ``per_parent`` first, and names taken twice are then given to the earlier parent: other rows where siblings share names.
     """
     spark = edges.sparkSession
-    known = edges.select("source", "name", F.col("confidence").cast("double").alias("confidence"), "seq").filter(F.col("name").isNotNull())
+    known = edges.select("source", "name", F.col("confidence").cast("double").alias("confidence"), "seq", *[c for c in edges.columns if c == "gate_tier"]).filter(F.col("name").isNotNull())
     if mode == "parallel":
         return _expand_parallel(spark, known, root, limits)
     if mode != "exact":
@@ -48,7 +54,7 @@ def expand_tiers(edges: DataFrame, root: str, limits: Limits = Limits(), mode: s
     while queue:
         level = queue[:]
         names = spark.createDataFrame([(n,) for n, *_ in level], "source string")
-        fresh = known.join(F.broadcast(names), "source").filter(~F.col("name").isin(*list(seen)[:1000]))
+        fresh = _in_tier(known, level[0][1] + 1).join(F.broadcast(names), "source").filter(~F.col("name").isin(*list(seen)[:1000]))
         # no more than these can be chosen: what all earlier siblings may take, and the parent's own share
         most = limits.per_parent * len(level)
         w = W.partitionBy("source").orderBy(F.desc("confidence"), "seq")
@@ -77,12 +83,16 @@ def expand_tiers(edges: DataFrame, root: str, limits: Limits = Limits(), mode: s
     return spark.createDataFrame(out, EXPANDED)
 
 
+def _in_tier(edges: DataFrame, tier: int) -> DataFrame:
+    return edges.filter(F.col("gate_tier") == min(tier, GATED)).drop("gate_tier") if "gate_tier" in edges.columns else edges
+
+
 def _expand_parallel(spark: SparkSession, known: DataFrame, root: str, limits: Limits) -> DataFrame:
     key = T.StructType([T.StructField("parent_seq", T.ArrayType(T.LongType())), *(T.StructField(n, k) for n, k in (("name", T.StringType()), ("tier", T.IntegerType()), ("parent", T.StringType()), ("path", T.ArrayType(T.StringType())), ("confidence", T.DoubleType()), ("propagated", T.DoubleType())))])
     frontier = spark.createDataFrame([([], root, 0, None, [root], None, None)], key)
     visited, levels = frontier.select("name"), []
     for depth in range(max(1, limits.max_depth)):
-        found = frontier.select(F.col("name").alias("source"), F.col("parent_seq").alias("above"), F.col("path").alias("over"), F.col("propagated").alias("handed")).join(known, "source").join(visited, "name", "left_anti")
+        found = frontier.select(F.col("name").alias("source"), F.col("parent_seq").alias("above"), F.col("path").alias("over"), F.col("propagated").alias("handed")).join(_in_tier(known, depth + 1), "source").join(visited, "name", "left_anti")
         ranked = found.withColumn("n", F.row_number().over(W.partitionBy("source").orderBy(F.desc("confidence"), "seq")))
         if limits.per_parent is not None:
             ranked = ranked.filter(F.col("n") <= limits.per_parent)
@@ -91,15 +101,13 @@ def _expand_parallel(spark: SparkSession, known: DataFrame, root: str, limits: L
             F.concat("above", F.array(F.col("n").cast("long"))).alias("parent_seq"), "name", F.lit(depth + 1).alias("tier"), F.col("source").alias("parent"), F.concat("over", F.array("name")).alias("path"), "confidence",
             F.when(F.col("handed").isNull(), F.col("confidence")).otherwise(F.round(F.col("handed") * F.col("confidence") + 1e-9, 2)).alias("propagated"),
         )
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            frontier = frontier.checkpoint()
+        frontier = settled(frontier)
         levels.append(frontier)
         visited = visited.unionByName(frontier.select("name"))
     every = levels[0]
     for level in levels[1:]:
         every = every.unionByName(level)
-    order = F.row_number().over(W.orderBy("tier", "parent_seq")).cast("long") - 1
-    return every.select(order.alias("seq"), "name", "tier", "parent", "path", "confidence", "propagated")
+    return numbered_overall(every, ["tier", "parent_seq"], "seq").select("seq", "name", "tier", "parent", "path", "confidence", "propagated")
 
 
 def all_paths(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:

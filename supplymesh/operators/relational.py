@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from supplymesh.sources.scratch import settled
+
 
 def _columns(names: Sequence[str | Column]) -> list[Column]:
     return [F.col(n) if isinstance(n, str) else n for n in names]
@@ -126,3 +128,14 @@ def set_metrics(found: DataFrame, expected: DataFrame, key: str, item: str) -> D
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str = "number") -> DataFrame:
     """df with each row's number from 1 within its keys."""
     return df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*_columns(order))))
+
+
+def numbered_overall(df: DataFrame, order: Sequence[str | Column], name: str = "number") -> DataFrame:
+    """df with each row's number in an order over the whole table, from 0. Rows are range-partitioned and numbered within their parts; the
+    driver gets one count for each part."""
+    ranged = settled(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
+    part, at = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    sizes = ranged.groupBy(part.alias("__part")).agg(F.count("*").alias("n")).orderBy("__part").collect()
+    before = [(r["__part"], sum(x.n for x in sizes[:i])) for i, r in enumerate(sizes)]
+    table = F.broadcast(df.sparkSession.createDataFrame(before, "__part long, __before long"))  # a row for each part
+    return ranged.withColumn("__part", part).join(table, "__part").withColumn(name, at + F.col("__before")).drop("__id", "__part", "__before")

@@ -122,7 +122,12 @@ def top_risks(risks: DataFrame, key: str = "supplier_name", most: int = 3) -> Da
     return top.withColumn("place", shown).drop("o", "n", "rank")
 
 
-def evaluation(found: DataFrame, expected: DataFrame, company: str = "company", item: str = "canonical") -> DataFrame:
-    """Precision and recall of found against expected names for each company."""
+def evaluation(found: DataFrame, expected: DataFrame, company: str = "company", item: str = "canonical", average: bool = False) -> DataFrame:
+    """Precision and recall of found against expected names for each company; with ``average`` also a row "Average" of summed counts and mean ratios."""
     m = relational.set_metrics(found, expected, company, item)
-    return m.select(company, F.col("matched").alias("true_positives"), F.col("beyond").alias("false_positives"), F.col("missing").alias("false_negatives"), F.round(F.coalesce(F.try_divide("matched", "found"), F.lit(0.0)), 3).alias("precision"), F.round(F.coalesce(F.try_divide("matched", "expected"), F.lit(0.0)), 3).alias("recall"))
+    ratio = lambda of: F.round(F.coalesce(F.try_divide("matched", of), F.lit(0.0)), 3)
+    rows = m.select(company, F.col("matched").alias("true_positives"), F.col("beyond").alias("false_positives"), F.col("missing").alias("false_negatives"), ratio("found").alias("precision"), ratio("expected").alias("recall"))
+    if not average:
+        return rows
+    counts = [F.sum(c).alias(c) for c in ("true_positives", "false_positives", "false_negatives")]
+    return rows.unionByName(rows.agg(F.lit("Average").alias(company), *counts, *(F.round(F.avg(c), 3).alias(c) for c in ("precision", "recall"))))

@@ -77,10 +77,12 @@ class Stages:
 
 def within_budget(rows: DataFrame, order: list[str], most: int, key: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The first ``most`` rows in order, of each key if given, and one audit row (key, dropped) for each budget that didn't suffice."""
-    w = W.partitionBy(*([key] if key else [F.lit(1)])).orderBy(*order)
+    if not key:
+        audit = rows.agg(F.greatest(F.count("*") - most, F.lit(0)).alias("dropped")).filter("dropped > 0").select(F.lit("all").alias("key"), "dropped")
+        return rows.orderBy(*order).limit(most), audit
+    w = W.partitionBy(key).orderBy(*order)
     numbered = rows.withColumn("__n", F.row_number().over(w))
-    label = F.col(key).cast("string") if key else F.lit("all")
-    audit = numbered.groupBy(label.alias("key")).agg(F.count_if(F.col("__n") > most).alias("dropped")).filter("dropped > 0")
+    audit = numbered.groupBy(F.col(key).cast("string").alias("key")).agg(F.count_if(F.col("__n") > most).alias("dropped")).filter("dropped > 0")
     return numbered.filter(F.col("__n") <= most).drop("__n"), audit
 
 

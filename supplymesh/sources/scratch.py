@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df, computed once and written to spark.checkpoint.dir (a folder under /tmp where it is unset, as in tests); its lineage ends there."""
+    """df, computed once and written to spark.checkpoint.dir; its lineage ends there. Where it is unset, local mode uses a folder under /tmp, and a cluster is an error."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not found and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(found or "/tmp/checkpoints")
     return df.checkpoint(eager=True)

@@ -108,12 +108,14 @@ def profiles_of_pages(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def feed_items(payloads: DataFrame, payload: str = "payload") -> DataFrame:
-    """Items (supplier_name, feed, query, seq, title, snippet, link, pub_date) of RSS payloads; a title counts once for a supplier and feed."""
+    """Items (supplier_name, feed, seq, at, title, snippet, link, pub_date, item) of RSS payloads, each item's fields its own; a title counts once for
+    a supplier and feed. A missing description is empty, items without a title and payloads that aren't XML give none."""
     from pyspark.sql import Window as W
 
-    item = lambda tag: F.call_function("xpath", F.col(payload), F.lit(f"rss/channel/item/{tag}/text()"))
-    zipped = payloads.withColumn("items", F.arrays_zip(item("title").alias("title"), item("description").alias("snippet"), item("link").alias("link"), item("pubDate").alias("pub_date")))
-    each = zipped.select("supplier_name", "feed", "seq", F.posexplode("items").alias("at", "i")).select("supplier_name", "feed", "seq", "at", "i.*")
+    item = "struct<title:string,description:string,link:string,pubDate:string>"
+    read = F.from_xml(F.col(payload), f"channel struct<item:array<{item}>>", {"mode": "PERMISSIVE"})
+    each = payloads.select("supplier_name", "feed", "seq", F.posexplode(read["channel"]["item"]).alias("at", "i"))
+    each = each.select("supplier_name", "feed", "seq", "at", F.col("i.title").alias("title"), F.coalesce("i.description", F.lit("")).alias("snippet"), F.col("i.link").alias("link"), F.col("i.pubDate").alias("pub_date")).filter("title <> ''")
     first = each.withColumn("n", F.row_number().over(W.partitionBy("supplier_name", "feed", "title").orderBy("seq", "at"))).filter("n = 1").drop("n")
     order = W.partitionBy("supplier_name", "feed").orderBy("seq", "at")
     return first.withColumn("item", F.row_number().over(order) - 1)

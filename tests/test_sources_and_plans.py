@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from supplymesh.operators import discovery, graph, retrieval, suppliers
 from supplymesh.operators.resolve import Identities
-from supplymesh.plans import analysis, bindings
+from supplymesh.plans import analysis, bindings, control, golden
 from supplymesh.sources import tables
 from supplymesh.streaming import risk_feed
 
@@ -113,5 +113,38 @@ def test_whole_analysis(spark):
     assert t["edges"].count() == 2 and t["tiers"].filter("source <> 'Acme'").count() == 1
 
 
+def test_analysis_from_hits_profiles_and_plug_ins(spark):
+    hits = [("Qualcomm", 0, "TSMC", "TSMC serves as the main supplier for Nvidia, Apple, Broadcom, and Qualcomm. TSMC manufactures chips for Qualcomm.", "http://l1"), ("Qualcomm", 1, "Foo Devices Inc", "Foo Devices Inc supplies semiconductor components to Qualcomm and is a supplier for Qualcomm.", "http://l2")]
+    none = f"source string, seq long, name string, location string, products array<string>, confidence double, criticality string, evidence {EVIDENCE}"
+    inputs = analysis.Inputs(edges=spark.createDataFrame([], none), hits=spark.createDataFrame(hits, "company string, seq int, title string, snippet string, link string"), profiles=spark.createDataFrame([("foo devices, inc", "Chips", None)], "name string, industry string, website string"))
+    extra = spark.createDataFrame([("TSMC", "TSMC", 9, "Other", "Low", 0.5, "made up", "wait")], "supplier_name string, canonical string, seq long, risk_type string, severity string, confidence double, reasoning string, mitigation string")
+    judged = lambda rows: rows.filter("name like 'Foo%'").select("seq", F.lit("supplier").alias("relationship_type"), F.lit(0.99).alias("confidence_score"), F.lit("model").alias("reasoning"))
+    stages = control.Stages(spark, limit=600.0)
+    t = analysis.analyse(spark, "Qualcomm", config=analysis.Config(limits=graph.Limits(max_depth=1)), inputs=inputs, classifier=judged, risk_providers=[lambda _: extra], stages=stages)
+    names = {r.name for r in t["suppliers"].collect()}
+    assert names == {"TSMC", "Foo Devices Inc"} or {"TSMC", "Foo Devices"} == names
+    foo = [r for r in t["relationships"].collect() if r.canonical.startswith("Foo")]
+    assert [(r.relationship_type, r.confidence_score, r.reasoning) for r in foo] == [("supplier", 0.99, "model")]
+    assert [r.company_exists for r in t["verifications"].collect() if r.canonical.startswith("Foo")] == [True]
+    assert t["risks"].filter("risk_type = 'Other'").count() == 1
+    assert {r.stage for r in t["timings"].collect()} == {"supplier_discovery", "relationship_analysis", "verification", "risk_analysis", "total"}
+
+
+def test_gates_follow_the_tier_and_rivals_need_evidence(spark, identities):
+    shape = f"source string, seq long, name string, location string, products array<string>, confidence double, criticality string, evidence {EVIDENCE}"
+    said = lambda x: [("t", "https://x.org", x)]
+    rows = [
+        ("TSMC", 0, "ASML", "x", [], 0.95, "High", said("ASML supplies EUV lithography systems to TSMC for advanced semiconductor manufacturing.")), ("TSMC", 1, "Broadcom", "x", [], 0.95, "High", said("TSMC and Broadcom have a long-running partnership.")),
+        ("AMD", 2, "Intel", "x", [], 0.95, "High", said("Intel is a supplier, competes with AMD.")), ("AMD", 3, "Silicon Valley", "x", [], 0.95, "High", said("Silicon Valley is a supplier to AMD.")),
+    ]
+    got = analysis.gated_edges(spark.createDataFrame(rows, shape), identities, "Advanced Micro Devices").collect()
+    assert {r.gate_tier for r in got if r.canonical == "ASML"} >= {1, 2, 3}
+    assert not any(r.gate_tier > 1 for r in got if r.canonical == "Broadcom") and not any("Valley" in r.name for r in got)
+
+
+def test_golden_queries_have_sql():
+    assert golden.QUERIES.keys() == golden.ORACLES.keys() and not golden.QUERIES.keys() & bindings.QUERIES.keys()
+
+
 def test_queries_and_sql_have_the_same_names():
     assert set(bindings.QUERIES) - set(bindings.ORACLES) == {"fuzzy_residue", "infobox_parse", "network_report"}

@@ -31,11 +31,12 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the least doc_id, and of those without an id one more; of rows that repeat its id and text, one.
     Texts are judged apart where they share an id. Documents without words stay."""
-    kept = jaccard.kept(docs).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__kept"))
+    key = ["__id", "__nameless", "__digest"]  # texts are shuffled once, by these
+    named = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__nameless")]
+    kept = jaccard.kept(docs).select(*named, F.col("digest").alias("__digest"))
     nameless = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x09-\x0D ]")
-    once = docs.filter(~nameless).withColumn("__digest", jaccard.digest("text")).dropDuplicates(["doc_id", "__digest"])
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept"))
-    return once.join(kept, match, "left_semi").select(*docs.columns).unionByName(docs.filter(nameless))
+    once = docs.filter(~nameless).select("*", *named, jaccard.digest("text").alias("__digest")).dropDuplicates(key)
+    return once.join(kept, key, "left_semi").select(*docs.columns).unionByName(docs.filter(nameless))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,3 +54,19 @@ def test_columns(spark):
         assert (g.n_bytes, g.payload_bytes, bytes(g.payload), g.payload_sha256, g.tail_crc32, g.media_bytes) == (len(raw), len(payload), payload, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(g.media))
     assert got[1].media_sha256 == got[6].media_sha256 and got[1].feature == got[6].feature
     assert ogg.read_column(ogg.store_column(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
+def test_feature_against_a_plain_loop():
+    r = random.Random(4)
+    for n in (64, 6000, 6001, 30_016):
+        samples = r.randbytes(n)
+        audio = ogg.read(ogg.write(samples))
+        x = [b - 128 for b in samples]
+        changes = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+        bands = [sum(b // 32 == k for b in samples) for k in range(8)]
+        cut = [samples[i : i + ogg.PACKET] for i in range(0, n, ogg.PACKET)]
+        last = max(sum(map(len, cut[s :: ogg.STREAMS])) for s in range(ogg.STREAMS)) / ogg.RATE
+        got = dict(p.split("=") for p in ogg.feature(audio).split(";"))
+        assert (int(got["streams"]), int(got["changes"]), got["bands"]) == (ogg.STREAMS, changes, ",".join(map(str, bands)))
+        assert float(got["seconds"]) == pytest.approx(n / ogg.RATE, abs=1e-6) and float(got["last"]) == pytest.approx(last, abs=1e-6)
+        assert float(got["mean"]) == pytest.approx(sum(x) / n, abs=1e-4) and float(got["rms"]) == pytest.approx((sum(v * v for v in x) / n) ** 0.5, abs=1e-4)

@@ -70,3 +70,13 @@ def test_run(spark, tables):
     assert corpus_pipeline.run(spark, folder).count() > 100
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language_id", "jaccard_join", "packing"] and corpus_pipeline.ORACLE_SQL is None
     assert ecoc.UNKNOWN == "und"
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES[:-1]])
+def test_null_texts_in_each_stage(spark, tables, stage):
+    folder, rows, _ = tables
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([*rows[:40], (5000, None, None, None, None), (None, None, None, None, None), (5001, "", None, None, 0)], shape)
+    kept = stage(spark, docs, folder)
+    assert kept.columns == docs.columns and kept.count() <= 43
+    assert stage(spark, docs.limit(0), folder).count() == 0

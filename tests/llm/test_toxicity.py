@@ -1,7 +1,12 @@
 """Toxicity: segments against a brute-force version, held-out accuracy, odd inputs."""
 
+import math
 import random
 import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
 
 from supplymesh.llm import toxicity
 
@@ -69,3 +74,35 @@ def test_odd_inputs(spark):
     assert toxicity.detect(spark.createDataFrame([], shape), model).count() == 0
     empty = toxicity.learn(odd, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.detect(odd, empty).filter("predicted = 1").count() == 0
+
+
+def test_weights_rate_and_score_against_plain_versions():
+    r = random.Random(3)
+    for _ in range(200):
+        n1, n0 = r.randint(1, 500), r.randint(1, 900)
+        a, b = r.randint(0, n1), r.randint(0, n0)
+        weight = toxicity.PRIOR * (n1 + n0)
+        prior = weight * (a + b + 0.5) / (n1 + n0 + 1)
+        x, y = a + prior, b + prior
+        odds = math.log(x / max(n1 + weight - x, 0.5)) - math.log(y / max(n0 + weight - y, 0.5))
+        want = max(0.0, odds - toxicity.ERRORS * math.sqrt(1 / x + 1 / y))
+        assert toxicity.weigh(np.array([float(a)]), np.array([float(b)]), n1, n0)[0] == pytest.approx(want, abs=1e-9)
+    scores, total = Counter({0.5: 30, 1.2: 10, 3.0: 2}), 1000.0
+    rate = toxicity._rate(scores, total)
+    mean = (total - sum(scores.values())) / total * math.exp(-rate * toxicity.COST) + sum(n / total * math.exp(rate * s) for s, n in scores.items())
+    assert rate > 0 and mean == pytest.approx(1, abs=1e-6)
+    model = toxicity.Model({"vile": 4.0, "rot": 2.5, "rott-": 1.0}, rate=1.3, size=0.4, intercept=-2.0, slope=1.7)
+    text = "a vile rot b c d e f g h vile i rotten j k"
+    words, said, values = text.split(), Counter(), []
+    for w in words:
+        value = max([model.weights.get(w, 0.0), *(model.weights.get(w[:n] + "-", 0.0) for n in toxicity.PREFIXES if len(w) > n)]) - toxicity.COST
+        if value > 0:
+            said[w] += 1
+            value /= said[w]
+        values.append(value)
+    evidence = 0.0
+    for begin, end in brute(values):
+        expected = model.size * len(words) * math.exp(-model.rate * sum(values[begin:end]))
+        evidence += -math.log(expected) if expected < 1 else 0.0
+    score, found, _ = model.judge(text)
+    assert found == pytest.approx(evidence) and score == pytest.approx(1 / (1 + math.exp(2.0 - 1.7 * math.log1p(evidence))))

@@ -13,6 +13,8 @@ from supplymesh.sources import reference_data as R
 
 #: Least likeness at which an unresolved name takes the identity of the closest key.
 CLOSE = 0.88
+#: Aliases up to which their table is broadcast; a larger one is joined by shuffles.
+BROADCAST_NAMES = 100_000
 
 
 def compact(name: str) -> str:
@@ -36,7 +38,8 @@ class Identities:
                 self.initials.setdefault(r.initials, r.canonical)
 
     def _frame(self, table: dict[str, str], key: str, value: str) -> DataFrame:
-        return F.broadcast(self.spark.createDataFrame(list(table.items()) or [("", "")], f"{key} string, {value} string"))  # the alias table's size
+        made = self.spark.createDataFrame(list(table.items()) or [("", "")], f"{key} string, {value} string")
+        return F.broadcast(made) if len(table) <= BROADCAST_NAMES else made
 
     def resolve(self, df: DataFrame, name: str, out: str = "canonical", fuzzy: bool = True) -> DataFrame:
         """df with the canonical name of a column: by key, else by key without suffixes, else by initials, else the closest key; else the name itself, squeezed.
@@ -79,7 +82,8 @@ class Identities:
         for c in dict.fromkeys(c for _, c in self.pairs):
             known[c] = [c, self.display.get(c, ""), *(a for a, x in self.pairs if x == c), *N.canonical_variants(c)]
             known[c] += [k for k, v in R.company_aliases().items() if v == c or compact(v) == compact(c)]
-        table = F.broadcast(self.spark.createDataFrame([(c, v) for c, v in known.items()], f"__canonical string, __known array<string>"))  # the alias table's size
+        table = self.spark.createDataFrame([(c, v) for c, v in known.items()], "__canonical string, __known array<string>")
+        table = F.broadcast(table) if len(self.pairs) <= BROADCAST_NAMES else table
         name = F.col(canonical)
         words = F.split(name, r"\s+")
         own = F.array(name, N.compact_key(name), F.array_join(F.slice(words, 1, 2), " "), F.array_join(F.slice(words, 1, 3), " "))

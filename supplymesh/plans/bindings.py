@@ -176,16 +176,17 @@ def coverage_cap(spark, sf_dir):
 
 
 @bound("""
-with judged as (select source, count(*) total, count(*) filter (where quality = 1) verified, count(*) filter (where quality = 0) failed, count(*) filter (where quality is null) missing from documents left join labels using (doc_id) group by source)
-select source, total, verified, failed, missing, case when 10 * verified >= 8 * total then 'High' when 2 * verified >= total then 'Medium' when verified > 0 then 'Low' else 'Insufficient Data' end "label",
-cast(case when failed + missing >= 2 then cast(verified as double) / total else greatest(0.8, cast(verified as double) / total) end as double) factor from judged
+with judged as (select count(*) total, count(*) filter (where quality = 1) verified, count(*) filter (where quality = 0) failed, count(*) filter (where quality is null) missing from documents left join labels using (doc_id))
+select verified verified_count, failed failed_count, missing missing_count, total total_count, case when 10 * verified >= 8 * total then 'High' when 2 * verified >= total then 'Medium' when verified > 0 then 'Low' else 'Insufficient Data' end "label",
+round(cast(verified as double) / total, 4) quality_ratio, round(case when failed + missing >= 2 then cast(verified as double) / total else greatest(0.8, cast(verified as double) / total) end, 4) quality_factor from judged
 """)
 def verification_quality(spark, sf_dir):
-    both = _table(spark, sf_dir, "documents").select("doc_id", "source").join(_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    q = F.col("quality")
-    counts = both.groupBy("source").agg(F.count("*").alias("total"), F.count_if(q == 1).alias("verified"), F.count_if(q == 0).alias("failed"), F.count_if(q.isNull()).alias("missing"))
-    ratio = F.col("verified").cast("double") / F.col("total")
-    return counts.select("*", levels.label_of_ratio(ratio).alias("label"), F.when(F.col("failed") + F.col("missing") >= 2, ratio).otherwise(F.greatest(F.lit(0.8), ratio)).alias("factor"))
+    """How many documents a label of quality verifies, fails, or leaves open."""
+    from supplymesh.operators import suppliers
+
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("canonical"))
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("canonical"), F.lit(0).alias("seq"), (F.col("quality") == 1).alias("verified"))
+    return suppliers.verification_quality(docs, labels)
 
 
 @bound("""
@@ -324,14 +325,19 @@ def severity_cascade(spark, sf_dir):
 
 
 @bound("""
-select r_name, severity, count(*) suppliers, cast(max(ordinal) as int) ordinal from (select r_name, case when r_name like '%ASIA%' then 'High' when r_name like '%EAST%' then 'Medium' else 'Low' end severity, case when r_name like '%ASIA%' then 3 when r_name like '%EAST%' then 2 else 1 end ordinal
-from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey) group by r_name, severity
+with placed as (select s_suppkey, case s_suppkey % 5 when 0 then 'Hsinchu, Taiwan' when 1 then 'Shenzhen, China' when 2 then 'Moscow, Russia' when 3 then 'South China Sea' else 'Ohio' end location from supplier),
+judged as (select location, case s_suppkey % 5 when 0 then 'High' else 'Medium' end severity, case s_suppkey % 5 when 0 then 0.9 when 1 then 0.7 when 2 then 0.7 else 0.9 end confidence, case s_suppkey % 5 when 0 then 3 else 2 end ordinal from placed where s_suppkey % 5 <> 4)
+select location, severity, cast(confidence as double) confidence, count(*) suppliers, cast(max(ordinal) as int) ordinal from judged group by location, severity, confidence
 """)
 def geo_rule(spark, sf_dir):
-    nation = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("s_nationkey"), "r_name")
-    severity = F.when(text.has_any(F.col("r_name"), ["asia"]), "High").when(text.has_any(F.col("r_name"), ["east"]), "Medium").otherwise("Low")
-    placed = _table(spark, sf_dir, "supplier").select("s_nationkey").join(nation, "s_nationkey").select("r_name", severity.alias("severity"))
-    return placed.groupBy("r_name", "severity").agg(F.count("*").alias("suppliers"), F.max(levels.ordinal(F.col("severity"))).alias("ordinal"))
+    """The risks of places given to suppliers; places without one go."""
+    from supplymesh.functions import risk
+
+    k = F.col("s_suppkey") % 5
+    location = F.when(k == 0, "Hsinchu, Taiwan").when(k == 1, "Shenzhen, China").when(k == 2, "Moscow, Russia").when(k == 3, "South China Sea").otherwise("Ohio")
+    placed = _table(spark, sf_dir, "supplier").select("s_name", location.alias("location"))
+    judged = placed.withColumn("r", risk.geopolitical_risk(F.col("s_name"), F.col("location"), F.col("s_name"))).filter("r is not null").select("location", "r.severity", "r.confidence")
+    return judged.groupBy("location", "severity", "confidence").agg(F.count("*").alias("suppliers"), F.max(levels.ordinal(F.col("severity"))).alias("ordinal"))
 
 
 #: Words that occur in the generated prose, as strong, medium and weak signals and against.
@@ -393,19 +399,24 @@ def title_extract(spark, sf_dir):
 
 
 @bound("""
-select host, count(*) pages, sum(q)::bigint points, count(distinct scheme) schemes from (select regexp_extract(url, '://([^/?#]*)', 1) host, regexp_extract(url, '^([a-z]+)://', 1) scheme, case when url like 'https://%example.org%' then 90 when url like 'https:%' then 70 when url like 'http:%' then 55 else 40 end q from pages) group by host
+with linked as (select page_id, case page_id % 4 when 0 then 'curated://' || page_id when 1 then 'https://en.wikipedia.org/wiki/' || page_id when 2 then url else 'ftp://' || page_id end link from pages)
+select page_id, cast(case when link like 'curated://%' then 0.9 when link like '%wikipedia.org%' then 0.55 when link like 'http%' then 0.7 else 0.4 end as double) quality from linked
 """)
 def url_source_quality(spark, sf_dir):
-    url = F.col("url")
-    quality = F.when(url.like("https://%example.org%"), 90).when(url.startswith("https:"), 70).when(url.startswith("http:"), 55).otherwise(40)
-    rated = _table(spark, sf_dir, "pages").select(F.regexp_extract(url, "://([^/?#]*)", 1).alias("host"), F.regexp_extract(url, "^([a-z]+)://", 1).alias("scheme"), quality.alias("q"))
-    return rated.groupBy("host").agg(F.count("*").alias("pages"), F.sum("q").cast("long").alias("points"), F.count_distinct("scheme").alias("schemes"))
+    """How good a source each page's address is, as evidence of one item."""
+    from supplymesh.functions import evidence
+
+    k, page = F.col("page_id") % 4, F.col("page_id").cast("string")
+    link = F.when(k == 0, F.concat(F.lit("curated://"), page)).when(k == 1, F.concat(F.lit("https://en.wikipedia.org/wiki/"), page)).when(k == 2, F.col("url")).otherwise(F.concat(F.lit("ftp://"), page))
+    item = F.array(F.struct(F.lit("").alias("title"), link.alias("link"), F.lit("").alias("snippet")))
+    return _table(spark, sf_dir, "pages").select("page_id", "url").select("page_id", evidence.source_quality(item).alias("quality"))
 
 
-@bound("select conv_id, count(*) turns, string_agg(role || ': ' || text, chr(10) order by turn) transcript from conversations group by conv_id")
+@bound("select conv_id, string_agg(role || ': ' || text, chr(10) order by turn) transcript from conversations group by conv_id")
 def evidence_concat(spark, sf_dir):
-    turns = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("x")))).alias("t"))
-    return turns.select("conv_id", "turns", F.array_join(F.transform("t", lambda r: r["x"]), "\n").alias("transcript"))
+    from supplymesh.sources import tables
+
+    return tables.transcript(_table(spark, sf_dir, "conversations"))
 
 
 @bound("""
@@ -447,9 +458,13 @@ def previous_order(spark, sf_dir):
     return _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.coalesce(F.lag("o_orderkey").over(w), F.lit(-1)).alias("previous"), F.coalesce(days, F.lit(0)).alias("days"))
 
 
-@bound("select s_suppkey, s_name, s_acctbal from supplier order by s_acctbal desc, s_suppkey limit 5")
+@bound("select s_name as name, s_acctbal criticality_score, s_suppkey seq from supplier order by s_acctbal desc, s_suppkey limit 5")
 def key_suppliers(spark, sf_dir):
-    return _table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal").orderBy(F.desc("s_acctbal"), "s_suppkey").limit(5)
+    """The first suppliers by one score, with another that is the same for all."""
+    from supplymesh.operators import suppliers
+
+    rated = _table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("criticality_score"), F.lit(0.5).alias("final_confidence"), F.col("s_suppkey").alias("seq"))
+    return suppliers.key_suppliers(rated).drop("final_confidence")
 
 
 @bound("""

@@ -52,6 +52,8 @@ SMALL_MOST, LIST_COST = 14, 8
 FILTER_BITS = 1 << 26
 #: A key is hot with more than this part of all rows that have one.
 HOT = 1000
+#: Looked-up rows, of a few numbers each, that are broadcast without regard to how many rows ask for them.
+FEW = 10_000
 #: Rows that a task remembers, in order not to send the same one again.
 MEMORY = 100_000
 #: Stands for a null id where rows of a class are found by their ids.
@@ -194,11 +196,16 @@ def needed_sets(docs: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
 # --- joins ---------------------------------------------------------------------------------------
 
 
-def looked_up(rows: DataFrame, found: DataFrame, keys: list[str], total: int | None = None) -> DataFrame:
-    """rows with what is found (keys, n: how many rows have them, other columns) for their keys; those over a part in HOT of all rows
-    (``total``, by default the sum of n) are broadcast, so that no key's rows meet in one task."""
-    if total is None:
-        total = found.agg(F.sum("n")).first()[0] or 0
+def looked_up(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with what is found (keys, n: how many rows have them, other columns) for their keys. ``found`` is read several times, so it is a table or checkpoint.
+
+    Up to FEW rows of it, counted here, are broadcast as they are. Of more, those over a part in HOT of all rows (the sum of n) are broadcast apart from
+    the rest, so that no key's rows meet in one task; where there are none, that is a plain join."""
+    number, most, total = found.agg(F.count("*"), F.max("n"), F.sum("n")).first()
+    if number <= FEW:
+        return rows.join(F.broadcast(found.drop("n")), keys)
+    if most <= total / HOT:
+        return rows.join(found.drop("n"), keys)
     hot = F.broadcast(found.filter(F.col("n") > total / HOT).drop("n"))  # at most HOT rows
     cold = found.filter(F.col("n") <= total / HOT).drop("n")
     return rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(cold, keys))
@@ -225,7 +232,7 @@ def small_links(nodes: DataFrame, small: int) -> DataFrame:
     rows = stored(nodes.filter(F.col("whole").isNotNull()).select("node", "size", "whole").mapInArrow(lean(run), "key long, node long, lesser boolean"), "subsets")
     # sets that share a subset link with the lesser ones among them, and so with the first of these
     first = rows.groupBy("key").agg(F.min(F.when(F.col("lesser"), F.col("node"))).alias("v"), F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n")).filter("v is not null and a < b").select("key", "v", "n")
-    return looked_up(rows, first, ["key"], rows.count()).filter("node != v").select(F.col("node").alias("u"), "v").distinct()
+    return looked_up(rows, checkpointed(first), ["key"]).filter("node != v").select(F.col("node").alias("u"), "v").distinct()
 
 
 def scanned(nodes: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -421,10 +428,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if ends == total and links.join(links.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
             break  # stars: each node has one link, to a node without one
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-        links = looked_up(both, least, ["u"], 2 * total).filter("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        joined = looked_up(links, least, ["u"], total)
+        least = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")))
+        links = checkpointed(looked_up(both, least, ["u"]).filter("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = checkpointed(links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        joined = looked_up(links, least, ["u"])
         links = checkpointed(joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     else:
         raise RuntimeError("components haven't settled")

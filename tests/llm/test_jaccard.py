@@ -156,3 +156,16 @@ def test_hot_keys_and_chained_families(spark, monkeypatch, hot):
     rows = list(enumerate(texts))
     got = jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {g.doc_id: (g.n_shingles, g.component_id) for g in got} == brute(rows)
+
+
+@pytest.mark.parametrize("few, hot", [(10_000, 1000), (0, 10), (0, 2), (0, 1)])
+def test_looked_up_by_each_way(spark, monkeypatch, few, hot):
+    """Broadcast whole, hot keys apart, or a plain join: the same rows. Keys that aren't found, null keys and an empty table give none."""
+    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    given = [(k, i) for k, n in ((1, 60), (2, 20), (3, 1), (4, 7)) for i in range(n)] + [(None, 1), (9, 1)]
+    rows = spark.createDataFrame(given, "k long, i long")
+    found = spark.createDataFrame([(1, 60, "a"), (2, 20, "b"), (3, 1, "c"), (4, 7, "d"), (5, 0, "e")], "k long, n long, x string")
+    got = sorted(tuple(r) for r in jaccard.looked_up(rows, found, ["k"]).select("k", "i", "x").collect())
+    assert got == sorted((k, i, "abcd"[k - 1]) for k, i in given if k in (1, 2, 3, 4))
+    assert jaccard.looked_up(rows, found.limit(0), ["k"]).count() == 0 and jaccard.looked_up(rows.limit(0), found, ["k"]).count() == 0

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supplymesh.llm import bpe, chunks, domtree, ecoc, jaccard, ogg, packing, toxicity, urlrank, zipwarc
+from supplymesh.llm import bpe, centroids, chunks, domtree, ecoc, grammar, jaccard, ogg, packing, toxicity, urlrank, whitening, zipwarc
 from supplymesh.llm.common import table
 
 
@@ -71,6 +71,27 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_grammar_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scanned = grammar.scan(docs, grammar.learn(docs)).select("doc_id", "spans")
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in grammar.KINDS]
+    base = F.sha2(joined(of(*grammar.KINDS[:3])).cast("binary"), 256)
+    return scanned.select("doc_id", *counts, base.alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whitened_components(vectors).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    longs = [F.col(c).cast("long").alias(c) for c in ("cluster_inertia", "inertia")]
+    return found.select("vec_id", "cluster", "distance", *longs, F.sha2(F.array_join("centroid", ",").cast("binary"), 256).alias("centroid_sha256"))
+
+
 QUERIES = {
     "op1_host_rank": op1_host_rank,
     "op2_chunk_fingerprints": op2_chunk_fingerprints,
@@ -82,7 +103,31 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_bpe": op10_bpe,
+    "op11_grammar_secrets": op11_grammar_secrets,
+    "op12_whitening": op12_whitening,
+    "op13_centroids": op13_centroids,
 }
+
+
+def _lloyd_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """Centroid clustering in SQL: vectors and centroids in long form, one pair of tables for each round."""
+    steps = [f"""
+with good as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) q from embeddings
+  where len(embedding) = {dims} and len(list_filter(embedding, lambda x: isfinite(x))) = {dims}),
+numbered as materialized (select *, row_number() over () r from good),
+v as materialized (select r, unnest(range(1, {dims + 1})) d, unnest(q) q from numbered),
+c0 as materialized (select c, unnest(range(1, {dims + 1})) d, unnest(q) q from (select q, row_number() over (order by sha256('2:' || vec_id), q) - 1 c from good) where c < {k})"""]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} as materialized (select r, arg_min(c, (x, c)) c, min(x) x from (select r, c, sum((v.q - c{i}.q) * (v.q - c{i}.q))::bigint x from v join c{i} using (d) group by r, c) group by r)")
+        if i < rounds:
+            steps.append(f"m{i} as (select a{i}.c, d, cast(floor(cast(sum(q) as double) / count(*)) as bigint) q from v join a{i} using (r) group by a{i}.c, d)")
+            steps.append(f"c{i + 1} as materialized (select c, d, coalesce(m{i}.q, c{i}.q) q from c{i} left join m{i} using (c, d))")
+    steps.append(f"digests as (select c, sha256(string_agg(cast(q as varchar), ',' order by d)) s from c{rounds} group by c)")
+    return ",\n".join(steps) + f"""
+select vec_id, cast(c as int) "cluster", x distance, cast(sum(x) over (partition by c) as bigint) cluster_inertia, cast(sum(x) over () as bigint) inertia, s centroid_sha256
+from a{rounds} join numbered using (r) join digests using (c)"""
+
+
 #: DuckDB SQL of the queries that it can express; learned, iterative and encoded results can't be.
 ORACLES: dict[str, str] = {
     "op6_zip_warc": """
@@ -100,4 +145,5 @@ linked as materialized (select a, b from links union select b, a from links),
 reach as (select doc_id, doc_id r from n union select reach.doc_id, b from reach join linked on linked.a = reach.r)
 select doc_id, min(n) n_shingles, min(r) component_id from reach join n using (doc_id) group by doc_id
 """,
+    "op13_centroids": _lloyd_sql(),
 }

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from supplymesh.operators.relational import numbered_overall
+from supplymesh.operators.relational import numbered_overall, topk_per_key
 from supplymesh.sources.scratch import settled
 
 
@@ -37,9 +37,8 @@ def expand_tiers(edges: DataFrame, root: str, limits: Limits = Limits(), mode: s
     Confidence is handed on as the product along the path, rounded to two digits. Edges with a column gate_tier are taken only in that tier; of
     tiers beyond GATED, in the last one's.
 
-    ``exact``: parents one after the other; what earlier ones took is left out *before* a parent's first ``per_parent`` are
-    chosen. The choice runs on the driver over one level's candidates, which the limits bound (``queue`` parents; the joins
-    and filters that find them run in Spark). ``parallel``: a level at once, without limits on parents; candidates are cut to
+    ``exact``: as if parents chose one after the other; what earlier ones took is left out *before* a parent's first ``per_parent`` are
+    chosen. See accepted_offers: all of a level choose at once, in Spark; the driver gets counts. A level's first ``queue`` rows are parents, ``total`` in all. ``parallel``: a level at once, without limits on parents; candidates are cut to
     ``per_parent`` first, and names taken twice are then given to the earlier parent: other rows where siblings share names.
     """
     spark = edges.sparkSession
@@ -48,39 +47,54 @@ def expand_tiers(edges: DataFrame, root: str, limits: Limits = Limits(), mode: s
         return _expand_parallel(spark, known, root, limits)
     if mode != "exact":
         raise ValueError("mode is exact or parallel")
-    if limits.queue is None or limits.per_parent is None:
-        raise ValueError("exact expansion needs limits for the queue and for each parent; use parallel without them")
-    seen, out, queue, popped = {root}, [], [(root, 0, [root], None)], 0
-    while queue:
-        level = queue[:]
-        names = spark.createDataFrame([(n,) for n, *_ in level], "source string")
-        fresh = _in_tier(known, level[0][1] + 1).join(F.broadcast(names), "source").filter(~F.col("name").isin(*list(seen)[:1000]))
-        # no more than these can be chosen: what all earlier siblings may take, and the parent's own share
-        most = limits.per_parent * len(level)
-        w = W.partitionBy("source").orderBy(F.desc("confidence"), "seq")
-        candidates: dict[str, list] = {}
-        for r in fresh.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most + len(seen)).orderBy("source", "n").collect():
-            candidates.setdefault(r.source, []).append(r)
-        queue = []
-        for name, tier, path, handed in level:
-            if limits.total is not None and popped >= limits.total:
-                return spark.createDataFrame(out, EXPANDED)
-            popped += 1
-            if tier + 1 > limits.max_depth and name != root:
-                continue
-            taken = 0
-            for r in candidates.get(name, []):
-                if taken == limits.per_parent:
-                    break
-                if r.name in seen:
-                    continue
-                seen.add(r.name)
-                taken += 1
-                propagated = r.confidence if handed is None else round(handed * r.confidence + 1e-9, 2)
-                out.append((len(out), r.name, tier + 1, name, [*path, r.name], r.confidence, propagated))
-                if tier + 1 < limits.max_depth and len(queue) < limits.queue:
-                    queue.append((r.name, tier + 1, [*path, r.name], propagated))
-    return spark.createDataFrame(out, EXPANDED)
+    parents = spark.createDataFrame([(0, root, [root], None)], "at long, source string, over array<string>, handed double")
+    visited, levels, popped, numbered = parents.select(F.col("source").alias("name")), [], 0, 0
+    for depth in range(max(1, limits.max_depth)):
+        asking = parents.count()
+        if limits.total is not None:
+            asking = max(0, min(asking, limits.total - popped))
+            parents = parents.filter(F.col("at") < asking)
+        popped += asking
+        if not asking:
+            break
+        offers = _in_tier(known, depth + 1).join(parents.select("at", "source"), "source").join(visited, "name", "left_anti").select("at", "name", "confidence", "seq")
+        taken = accepted_offers(settled(offers), limits.per_parent)
+        ordered = numbered_overall(taken, ["at", F.desc_nulls_last("confidence"), "seq", "name"], "place")
+        level = settled(ordered.join(parents, "at").select(
+            (F.col("place") + numbered).alias("seq"), "name", F.lit(depth + 1).alias("tier"), F.col("source").alias("parent"), F.concat("over", F.array("name")).alias("path"), "confidence",
+            F.when(F.col("handed").isNull(), F.col("confidence")).otherwise(F.round(F.col("handed") * F.col("confidence") + 1e-9, 2)).alias("propagated"),
+        ))
+        levels.append(level)
+        visited = visited.unionByName(level.select("name"))
+        parents = level.select((F.col("seq") - numbered).alias("at"), F.col("name").alias("source"), F.col("path").alias("over"), F.col("propagated").alias("handed"))
+        if limits.queue is not None:
+            parents = parents.filter(F.col("at") < limits.queue)
+        numbered += level.count()
+    out = spark.createDataFrame([], EXPANDED)
+    for level in levels:
+        out = out.unionByName(level)
+    return out
+
+
+def accepted_offers(offers: DataFrame, per_parent: int | None) -> DataFrame:
+    """What parents take that choose one after the other, by rising ``at``, each its first ``per_parent`` names by falling confidence, then seq, of those that no earlier one
+    took: rows (at, name, confidence, seq).
+
+    All parents choose at once, and again until nothing changes: each asks for its first names, a name accepts the earliest parent that asks for it, and is
+    struck off the lists of all later ones (deferred acceptance; as all names rank the parents alike, there is one stable end, that of taking turns). A name's holder only ever
+    becomes earlier, so what is struck off stays so. Each round is an aggregation by name and a limit by parent, which Spark applies before its shuffle, so that a parent with very many names is
+    split; there are as many rounds as refusals follow from each other, one if no names are shared."""
+    order = F.struct(F.col("confidence").isNull(), -F.col("confidence"), F.col("seq"))
+    left = offers.groupBy("at", "name").agg(F.min_by(F.struct("confidence", "seq"), order).alias("best")).select("at", "name", "best.confidence", "best.seq")
+    if per_parent is None:
+        return left.groupBy("name").agg(F.min_by(F.struct("at", "confidence", "seq"), "at").alias("x")).select("x.at", "name", "x.confidence", "x.seq")
+    while True:
+        asked = topk_per_key(left, ["at"], [F.desc("confidence"), "seq", "name"], per_parent)
+        held = settled(asked.groupBy("name").agg(F.min("at").alias("holder"), F.count("*").alias("asking")))
+        if not held.filter("asking > 1").limit(1).count():
+            return asked
+        kept = left.join(held.select("name", "holder"), "name", "left").filter(F.col("holder").isNull() | (F.col("at") <= F.col("holder")))
+        left = settled(kept.drop("holder").select("at", "name", "confidence", "seq"))
 
 
 def _in_tier(edges: DataFrame, tier: int) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from supplymesh.functions import levels, names, text
-from supplymesh.operators import graph, relational, vector
+from supplymesh.operators import graph, relational, vector_index
+from supplymesh.sources.scratch import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -424,8 +425,10 @@ select query_id, id, cast("rank" as int) "rank" from (select q.vec_id query_id,
 from embeddings q join embeddings v on q.vec_id <> v.vec_id where q.vec_id % 100 = 0) where "rank" <= 5
 """)
 def topk_similar(spark, sf_dir):
+    """The five nearest vectors of one in a hundred, from an index of all that is written and read back."""
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return vector.top_similar(vectors.filter("vec_id % 100 = 0"), vectors, 5).drop("similarity")
+    index = vector_index.write_index(vectors, shared_path(spark, "vector-index"))
+    return vector_index.search(index, vectors.filter("vec_id % 100 = 0"), 5).drop("similarity")
 
 
 @bound("select doc_id, case when length(text) > 240 then rtrim(substr(text, 1, 237), ' ') || '...' else text end \"label\" from documents")

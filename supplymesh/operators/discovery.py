@@ -76,10 +76,33 @@ def layered(companies: DataFrame, curated: DataFrame, versions: Sequence[DataFra
     return out
 
 
+def layered_files(files: DataFrame, how: Layers = Layers()) -> DataFrame:
+    """Rows of the layer that answers for each company: company, layer, seq, and what the payload's rows hold. The same precedence as layered(), decided by one pass over the files.
+
+    files is (company, layer, payload), a row for each stored file, as tables.versioned_files reads them; layers are curated, cache-0 (the newest version), cache-1 and so on, and live.
+    A file without usable rows is still a file: a newest version that is there and empty sends its company to live rows, never to older versions."""
+    use_curated = how.prefer_curated and how.cache and not how.refresh
+    use_cache = how.cache and not how.refresh and not (how.cache_only and how.prefer_curated)
+    usable = F.filter(F.from_json("payload", CACHED, {"mode": "PERMISSIVE"}), lambda r: r["name"].isNotNull() & C.rejection(r["name"], F.lit(False)).isNull())
+    version = F.regexp_extract("layer", "^cache-([0-9]+)$", 1)
+    read = files.select("company", "layer", usable.alias("rows"), F.when(version != "", version.cast("int")).alias("version")).withColumn("some", F.coalesce(F.size("rows") > 0, F.lit(False)))
+    of = W.partitionBy("company")
+    any_of = lambda test: F.coalesce(F.max(test).over(of), F.lit(False))
+    older = F.min(F.when((F.col("version") > 0) & F.col("some"), F.col("version"))).over(of)
+    choice = F.when(F.lit(use_curated) & any_of((F.col("layer") == "curated") & F.col("some")), "curated")
+    choice = choice.when(F.lit(use_cache) & any_of((F.col("version") == 0) & F.col("some")), "cache-0")
+    choice = choice.when(F.lit(use_cache) & ~any_of(F.col("version") == 0) & older.isNotNull(), F.concat(F.lit("cache-"), older.cast("string")))
+    choice = choice if how.cache_only else choice.otherwise("live")
+    chosen = read.withColumn("choice", choice).filter((F.col("layer") == F.col("choice")) & F.col("some"))
+    return chosen.select("company", "layer", F.posexplode("rows").alias("seq", "row")).select("company", "layer", "seq", "row.*")
+
+
+CACHED = "array<struct<name:string,location:string,products:array<string>,tier:int,criticality:string,confidence:double,justification:string,source_evidence:array<struct<title:string,link:string,snippet:string>>>>"
+
+
 def sanitised(cached: DataFrame, payload: str, known: Column | None = None) -> DataFrame:
     """Rows of cached JSON lists with a usable name; anything that isn't a list of objects gives none."""
-    schema = "array<struct<name:string,location:string,products:array<string>,tier:int,criticality:string,confidence:double,justification:string,source_evidence:array<struct<title:string,link:string,snippet:string>>>>"
-    parsed = cached.withColumn("__rows", F.from_json(payload, schema, {"mode": "PERMISSIVE"}))
+    parsed = cached.withColumn("__rows", F.from_json(payload, CACHED, {"mode": "PERMISSIVE"}))
     rows = parsed.select(*[c for c in cached.columns if c != payload], F.posexplode("__rows").alias("seq", "__row")).select("*", "__row.*").drop("__row")
     return rows.filter(F.col("name").isNotNull() & C.rejection(F.col("name"), known if known is not None else F.lit(False)).isNull())
 

@@ -68,20 +68,30 @@ def merge_groups(df: DataFrame, key: str, order: str, *, unions: Sequence[str] =
 
     ``unions``: arrays, as the sorted set of all their items. ``maxima``: the greatest value. ``joined``: name -> separator:
     distinct non-empty strings in order. ``firsts``: name -> value that doesn't count: the first other value that isn't null, else the first row's.
+
+    Counts, maxima and firsts are added up before the shuffle. Sets are made in two steps: each item of a key once, with its least order, then the key's items together, so that
+    a key with very many rows is dealt by item, and only distinct items ever meet.
     """
-    rows = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(c).alias("x")))), lambda r: r["x"])
-    parts = [F.count("*").alias("members")]
-    parts += [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in unions]
-    parts += [F.max(c).alias(c) for c in maxima]
-    for c, gap in (joined or {}).items():
-        parts.append(F.array_join(F.array_distinct(F.filter(rows(c), lambda x: x.isNotNull() & (x != ""))), gap).alias(c))
+    parts = [F.count("*").alias("members"), *(F.max(c).alias(c) for c in maxima)]
     for c, unknown in (firsts or {}).items():
-        parts.append(F.coalesce(F.get(_other_than(rows(c), unknown), F.lit(0)), F.get(rows(c), F.lit(0))).alias(c))
-    return df.groupBy(key).agg(*parts)
+        at = F.struct(F.col(order), F.col(c))
+        told = F.col(c).isNotNull() & (F.col(c) != "") & (F.col(c) != unknown)
+        boxed = F.struct(F.col(c).alias("x"))
+        parts.append(F.coalesce(F.min_by(c, F.when(told, at)), F.min_by(boxed, at)["x"]).alias(c))
+    out = df.groupBy(key).agg(*parts)
+    for c in unions:
+        items = df.select(F.col(key).alias("__key"), F.explode(c).alias("__item")).distinct()
+        out = _with_part(out, key, items.groupBy("__key").agg(F.array_sort(F.collect_list("__item")).alias("__made")), c, F.array().cast(df.schema[c].dataType))
+    for c, gap in (joined or {}).items():
+        items = df.filter(F.col(c).isNotNull() & (F.col(c) != "")).groupBy(F.col(key).alias("__key"), F.col(c).alias("__item")).agg(F.min(order).alias("__order"))
+        inorder = F.transform(F.array_sort(F.collect_list(F.struct("__order", "__item"))), lambda r: r["__item"])
+        out = _with_part(out, key, items.groupBy("__key").agg(F.array_join(inorder, gap).alias("__made")), c, F.lit(""))
+    return out
 
 
-def _other_than(values: Column, unknown: str) -> Column:
-    return F.filter(values, lambda x: x.isNotNull() & (x != "") & (x != unknown))
+def _with_part(out: DataFrame, key: str, part: DataFrame, name: str, none: Column) -> DataFrame:
+    both = out.join(part, F.col(key).eqNullSafe(F.col("__key")), "left")
+    return both.withColumn(name, F.coalesce("__made", none)).drop("__key", "__made")
 
 
 def first_items_per_field(rows: DataFrame, key: str, items: str, field: str, order: str, out: str) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from supplymesh.functions import names as N
+from supplymesh.operators.fuzzy import closest
 from supplymesh.sources import reference_data as R
 
 #: Least likeness at which an unresolved name takes the identity of the closest key.
@@ -44,7 +44,7 @@ class Identities:
     def resolve(self, df: DataFrame, name: str, out: str = "canonical", fuzzy: bool = True) -> DataFrame:
         """df with the canonical name of a column: by key, else by key without suffixes, else by initials, else the closest key; else the name itself, squeezed.
 
-        Only distinct names that nothing exact resolves go through Python."""
+        Only distinct names that nothing exact resolves are compared with keys, by a join that leaves out those which can't be close."""
         clean = N.squeezed(F.col(name))
         steps = df.drop(out).withColumns({"__clean": clean, "__a": N.compact_key(clean), "__b": N.compact_key(N.normalize_name(clean)), "__i": F.replace(F.upper(clean), F.lit("."), F.lit(""))})
         for key, table in (("__a", self.keys), ("__b", self.keys), ("__i", self.initials)):
@@ -53,19 +53,10 @@ class Identities:
         if not fuzzy:
             return steps.withColumn(out, F.coalesce(found, "__clean")).select(*[c for c in df.columns if c != out], out)
         steps = steps.withColumn("__found", found)
-        keys = dict(self.keys)
-
-        @F.pandas_udf("string")
-        def closest(x):
-            def one(k):
-                hit = difflib.get_close_matches(k, list(keys), n=1, cutoff=CLOSE) if k else []
-                return keys[hit[0]] if hit else None
-
-            return x.map(one)
-
-        open_names = steps.filter(F.col("__found").isNull() & F.col("__clean").isNotNull()).select("__clean").distinct()
-        close = open_names.select(F.col("__clean").alias("__open"), closest(N.compact_key(F.col("__clean"))).alias("__close"))
-        steps = steps.join(close, F.col("__clean") == F.col("__open"), "left")
+        unknown = steps.filter(F.col("__found").isNull()).select(F.col("__a").alias("name"))
+        known = self._frame(self.keys, "key", "__close")
+        close = closest(unknown, known.select("key"), CLOSE).join(known, "key").select(F.col("name").alias("__open"), "__close")
+        steps = steps.join(close, F.col("__a") == F.col("__open"), "left")
         return steps.withColumn(out, F.coalesce("__found", "__close", "__clean")).select(*[c for c in df.columns if c != out], out)
 
     def display_name(self, canonical: Column) -> Column:

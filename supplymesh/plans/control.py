@@ -8,10 +8,12 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from supplymesh.sources.scratch import settled
+
 
 class RiskProvider(Protocol):
     """Risks (supplier_name, canonical, seq, risk_type, severity, confidence, reasoning, mitigation) of suppliers; stays in columns where it can."""
@@ -86,12 +88,25 @@ def within_budget(rows: DataFrame, order: list[str], most: int, key: str | None
     return numbered.filter(F.col("__n") <= most).drop("__n"), audit
 
 
+def observed_budget(rows: DataFrame, key: str, order: list[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """The first ``most`` rows of each key in order, and one audit row (seen, kept, dropped) about all of them. The counts are observed while the rows are chosen and written, so nothing is
+    read twice, and Spark still limits each key before its shuffle, as nothing is counted between ranking and limit."""
+    seen, left = Observation(), Observation()
+    counted = rows.observe(seen, F.count(F.lit(1)).alias("n"))
+    ranked = counted.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter(F.col("__n") <= most).drop("__n")
+    chosen = settled(ranked.observe(left, F.count(F.lit(1)).alias("n")))
+    a, b = seen.get["n"], left.get["n"]
+    return chosen, rows.sparkSession.createDataFrame([(a, b, a - b)], "seen long, kept long, dropped long")
+
+
 def alias_lookup(left: DataFrame, right: DataFrame, left_names: str, right_names: str, order: str) -> DataFrame:
     """left with the right row, the last in order, that shares any of its names: arrays of names on both sides, compared by their keys. Equi-joins on single names."""
     from supplymesh.functions.names import compact_key
 
-    keyed = lambda df, c: F.explode(F.array_distinct(F.filter(F.transform(c, compact_key), lambda k: k != "")))
-    a = left.withColumn("__id", F.monotonically_increasing_id()).withColumn("__names", F.col(left_names))
-    pairs = a.select("__id", keyed(a, left_names).alias("__k")).join(right.select(keyed(right, right_names).alias("__k"), F.struct(*right.columns).alias("__row"), F.col(order).alias("__o")), "__k")
-    best = pairs.groupBy("__id").agg(F.max_by("__row", "__o").alias("match"))
-    return a.join(best, "__id", "left").drop("__id", "__names")
+    keyed = lambda c: F.explode(F.array_distinct(F.filter(F.transform(c, compact_key), lambda k: k != "")))
+    known = right.select(keyed(right_names).alias("__k"), F.struct(*right.columns).alias("__row"), F.col(order).alias("__o"))
+    best = known.groupBy("__k").agg(F.max_by(F.struct("__row", "__o"), "__o").alias("__best"))
+    sets = left.select(F.col(left_names).alias("__names")).distinct()  # rows with the same names have the same match, and need no number of their own
+    pairs = sets.select("__names", keyed("__names").alias("__k")).join(best, "__k")
+    match = pairs.groupBy("__names").agg(F.max_by("__best.__row", "__best.__o").alias("match"))
+    return left.join(match, F.col(left_names).eqNullSafe(F.col("__names")), "left").drop("__names")

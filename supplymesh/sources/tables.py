@@ -25,6 +25,12 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PROFILE).json(path, multiLine=True, mode="DROPMALFORMED").withColumn("company_key", slug(F.col("name")))
 
 
+def versioned_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(company, layer, payload) of Parquet tables in folders named by their layers; one scan, the layer is taken from each row's file."""
+    read = spark.read.schema("company string, payload string").parquet(f"{folder}/*")
+    return read.select("company", F.regexp_extract("_metadata.file_path", r"/([^/]+)/[^/]+$", 1).alias("layer"), "payload")
+
+
 def write_profiles(profiles: DataFrame, path: str) -> None:
     profiles.withColumn("company_key", slug(F.col("name"))).write.mode("append").partitionBy("company_key").json(path)
 

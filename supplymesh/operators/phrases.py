@@ -1,25 +1,27 @@
 """Phrases of a dictionary in texts, and which of them stand near each other, without a pattern for each phrase.
 
-A text becomes rows of its words with their places. A phrase is looked up by the one of its words that is rarest in the texts; where that
-word stands, the phrase's other words are looked up at the places that they must have. Texts aren't shuffled, only the places of words that the dictionary has.
+A text is its words with their places. A phrase is looked up by the one of its words that is rarest in the texts; where that word stands, the phrase's other words are
+looked up at the places that they must have. Texts are never shuffled, and with a dictionary too large for each task only the places of its words are.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from supplymesh.sources.scratch import kept
 
-#: Phrases, and words of phrases, up to which they are broadcast; more are joined by shuffles.
-BROADCAST_PHRASES, BROADCAST_WORDS = 50_000, 200_000
+#: Words of a dictionary up to which it is broadcast; a larger one is joined by shuffles.
+BROADCAST_WORDS = 200_000
 #: Words of more than this part of all places are dealt into parts of a join; there can't be more of them than this.
 HOT = 1000
-#: Rows of texts in a batch of words.
+#: A word: a run of letters and digits.
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -54,23 +56,63 @@ def mentions(texts: DataFrame, phrases: DataFrame, id_column: str, text: str) ->
     """(id, phrase_id, at, start, end) of every place where the words of a phrase stand in a row, whatever else than letters and digits is between them.
     ``texts`` has unique ids that aren't null; ``phrases`` is (phrase_id, phrase) with unique phrase_ids. Phrases without words are nowhere.
 
-    Of a dictionary up to BROADCAST_WORDS words, the words are broadcast and other words never leave their task; a larger one is joined. The rarest words are
-    broadcast up to BROADCAST_PHRASES phrases; beyond, the join is by word, and places of a hot word are dealt into parts."""
+    A dictionary of up to BROADCAST_WORDS words in all goes to every task: one pass counts its words, a second one finds the phrases, and nothing but them leaves a task. A larger one is joined with
+    the places of its words, and places of a hot word are dealt into parts."""
     asked = kept(word_positions(phrases, "phrase_id", "phrase").select(F.col("id").alias("phrase_id"), F.col("at").alias("offset"), "word"), "phrase-words")
-    vocabulary = asked.select("word").distinct()
-    if (n := vocabulary.count()) <= BROADCAST_WORDS:
-        places = word_positions(texts, id_column, text, frozenset(r["word"] for r in vocabulary.collect()))
-    else:
-        places = word_positions(texts, id_column, text).join(vocabulary, "word", "left_semi").select("id", "at", "start", "end", "word")
-    places = kept(places, "word-places")
+    return _looked_up(texts, asked, id_column, text) if asked.count() <= BROADCAST_WORDS else _joined_mentions(texts, asked, id_column, text)
+
+
+def _looked_up(texts: DataFrame, asked: DataFrame, id_column: str, text: str) -> DataFrame:
+    spark = texts.sparkSession
+    spelt: dict = {}
+    for r in asked.orderBy("phrase_id", "offset").collect():
+        spelt.setdefault(r["phrase_id"], []).append(r["word"])
+    vocabulary = frozenset(w for words in spelt.values() for w in words)
+    plain = texts.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("text"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[str] = Counter()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                found.update(w for w in map(str.lower, WORD.findall(t or "")) if w in vocabulary)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+
+    often = {r["word"]: r["n"] for r in plain.select("text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}  # one for each word of the dictionary
+    anchors: dict[str, list[tuple]] = {}
+    for phrase_id, words in spelt.items():
+        if all(w in often for w in words):  # a phrase that has a word which no text has is nowhere
+            offset = min(range(len(words)), key=lambda j: (often[words[j]], j))
+            anchors.setdefault(words[offset], []).append((phrase_id, offset, words))
+    shared = spark.sparkContext.broadcast(anchors)
+    kinds = dict(texts.dtypes)[id_column], dict(asked.dtypes)["phrase_id"]
+    of_phrase = to_arrow_type(asked.schema["phrase_id"].dataType)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for b in batches:
+            rows: list[tuple] = []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                own = [w.lower() for w in WORD.findall(t or "")]
+                hits = [(n, x) for n, w in enumerate(own) if w in known for x in known[w]]
+                fits = [(p, n - offset, len(words)) for n, (p, offset, words) in hits if n >= offset and own[n - offset : n - offset + len(words)] == words]
+                if fits:
+                    spans = [m.span() for m in WORD.finditer(t)]
+                    rows += [(i, p, first, spans[first][0], spans[first + n - 1][1]) for p, first, n in fits]
+                while len(rows) >= 100_000 or rows and i + 1 == b.num_rows:  # a batch out is bounded too
+                    now, rows = rows[:100_000], rows[100_000:]
+                    ids, p, at, start, end = zip(*now)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int32())), pa.array(p, of_phrase), *(pa.array(x, pa.int32()) for x in (at, start, end))], names=["id", "phrase_id", "at", "start", "end"])
+
+    return plain.mapInArrow(found, f"id {kinds[0]}, phrase_id {kinds[1]}, at int, start int, end int")
+
+
+def _joined_mentions(texts: DataFrame, asked: DataFrame, id_column: str, text: str) -> DataFrame:
+    places = kept(word_positions(texts, id_column, text).join(asked.select("word").distinct(), "word", "left_semi").select("id", "at", "start", "end", "word"), "word-places")
     often = places.groupBy("word").agg(F.count("*").alias("often"))
-    by = asked.join(often, "word", "left")
-    # a phrase that has a word which no text has is nowhere
-    rarest = by.groupBy("phrase_id").agg(F.count("*").alias("words"), F.count("often").alias("known"), F.min(F.struct("often", "offset", "word")).alias("x")).filter("words = known")
+    rarest = asked.join(often, "word", "left").groupBy("phrase_id").agg(F.count("*").alias("words"), F.count("often").alias("known"), F.min(F.struct("often", "offset", "word")).alias("x")).filter("words = known")
     anchors = kept(rarest.select("phrase_id", "words", "x.offset", "x.word", "x.often"), "phrase-anchors")
-    found = _joined(places.select("id", "at", "word"), anchors) if anchors.count() > BROADCAST_PHRASES else places.select("id", "at", "word").join(F.broadcast(anchors), "word")
-    begun = found.select("id", "phrase_id", "words", (F.col("at") - F.col("offset")).alias("first")).filter("first >= 0")
-    expected = begun.join(F.broadcast(asked) if n <= BROADCAST_WORDS and asked.count() <= BROADCAST_WORDS else asked, "phrase_id").select("id", "phrase_id", "words", "first", (F.col("first") + F.col("offset")).alias("at"), "word")
+    begun = _joined(places.select("id", "at", "word"), anchors).select("id", "phrase_id", "words", (F.col("at") - F.col("offset")).alias("first")).filter("first >= 0")
+    expected = begun.join(asked, "phrase_id").select("id", "phrase_id", "words", "first", (F.col("first") + F.col("offset")).alias("at"), "word")
     there = expected.join(places, ["id", "at", "word"])
     return there.groupBy("id", "phrase_id", "first", "words").agg(F.count("*").alias("n"), F.min("start").alias("start"), F.max("end").alias("end")).filter("n = words").select("id", "phrase_id", F.col("first").alias("at"), "start", "end")
 

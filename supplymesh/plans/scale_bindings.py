@@ -77,19 +77,19 @@ _LINKS = ("to", "for", "with", "by", "from", "für", "mit", "pour", "avec", "par
 with pieces as (select doc_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+')) p, generate_subscripts(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+'), 1) i from documents),
 placed as (select doc_id, i, lower(p) w, regexp_matches(p, '^[\\p{{L}}\\p{{N}}]') word, sum(length(p)) over (partition by doc_id order by i) e, e - length(p) s from pieces),
 words as (select doc_id, w, s, e from placed where word),
-names as (select distinct unnest(list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')[1:3], lambda x: lower(x))) n from benchmark),
+names as (select distinct n from (select unnest(list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+'), lambda x: lower(x))) n from benchmark) where length(n) = 5),
 found as (select doc_id, n phrase_id, s, e from words join names on w = n),
 links as (select doc_id, w, s, e from words where w in ({", ".join(f"'{w}'" for w in _LINKS)}))
 select c.phrase_id candidate, d.phrase_id source, links.w link, count(*) claims, count(distinct c.doc_id) documents from found c join links on links.doc_id = c.doc_id and links.s - c.e between 0 and 120
 join found d on d.doc_id = c.doc_id and d.s - links.e between 0 and 120 and d.phrase_id <> c.phrase_id group by all
 """)
 def claimed_directions(spark, sf_dir):
-    """Which of the words that benchmark passages begin with stand before others of them with a link word between them, each at most 120 characters on."""
+    """Which words of five letters that benchmark passages have stand before others of them with a link word between them, each at most 120 characters on."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    names = _table(spark, sf_dir, "benchmark").select(F.explode(F.slice(words, 1, 3)).alias("phrase_id")).distinct().withColumn("phrase", F.col("phrase_id"))
+    names = _table(spark, sf_dir, "benchmark").select(F.explode(words).alias("phrase_id")).filter("length(phrase_id) = 5").distinct().withColumn("phrase", F.col("phrase_id"))
     found = kept(phrases.mentions(docs, names, "doc_id", "text"), "phrase-mentions")
-    links = phrases.word_positions(docs, "doc_id", "text", frozenset(_LINKS))
+    links = phrases.word_positions(docs, "doc_id", "text", frozenset(_LINKS)).join(found.select("id").distinct(), "id", "left_semi")
     claims = phrases.directed(found, links)
     by_document = claims.groupBy("candidate", "source", "link", "id").agg(F.count("*").alias("n"))
     return by_document.groupBy("candidate", "source", "link").agg(F.sum("n").alias("claims"), F.count("*").alias("documents"))

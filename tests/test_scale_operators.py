@@ -86,8 +86,7 @@ def test_mentions_and_directions(spark, monkeypatch, most):
     texts = [(i, "".join(r.choice(words) + r.choice([" ", ", ", "-", "\n"]) for _ in range(r.randint(0, 80)))) for i in range(60)] + [(900, None), (901, "the " * 3000)]
     dictionary = [("a", "the the"), ("b", "Chip  maker"), ("c", "a a a"), ("d", "absent"), ("e", "the absent"), ("f", "?!"), ("g", None), ("h", "österreich THE chip"), ("i", "7nm")]
     if most is not None:
-        for name in ("BROADCAST_PHRASES", "BROADCAST_WORDS"):
-            monkeypatch.setattr(phrases, name, most)
+        monkeypatch.setattr(phrases, "BROADCAST_WORDS", most)
         monkeypatch.setattr(phrases, "HOT", 20)
     docs, known = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(dictionary, "phrase_id string, phrase string")
     found = phrases.mentions(docs, known, "id", "text")

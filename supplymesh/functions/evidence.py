@@ -38,9 +38,18 @@ def analysed_text(text: Column) -> Column:
     return F.struct(hits(text, _ANYWHERE(R.STRONG)).alias("strong"), hits(text, _ANYWHERE(R.MEDIUM)).alias("medium"), hits(text, _ANYWHERE(R.WEAK)).alias("weak"), hits(text, ["|".join(f"(?:{p})" for p in _ANYWHERE(R.AGAINST))]).alias("against"))
 
 
+def item_texts(evidence: Column) -> Column:
+    """Title and snippet of each item that has any, as plain text."""
+    return F.transform(F.filter(evidence, lambda e: F.trim(F.concat_ws(" ", e["title"], e["snippet"])) != ""), lambda e: strip_markup(F.concat_ws(" ", e["title"], e["snippet"])))
+
+
 def analysis(evidence: Column) -> Column:
     """Signals in all items: struct(strong, medium, weak, negative, supporting, score). Distinct patterns count once in each item."""
-    each = F.transform(F.filter(evidence, lambda e: F.trim(F.concat_ws(" ", e["title"], e["snippet"])) != ""), lambda e: let(F.lower(strip_markup(F.concat_ws(" ", e["title"], e["snippet"]))), analysed_text))
+    return totals(F.transform(item_texts(evidence), lambda t: let(F.lower(t), analysed_text)))
+
+
+def totals(each: Column) -> Column:
+    """Signals by item, added up."""
     zero = F.struct(*(F.lit(0).alias(n) for n in ("strong", "medium", "weak", "negative", "supporting")))
     total = F.aggregate(F.coalesce(each, F.array().cast("array<struct<strong:int,medium:int,weak:int,against:int>>")), zero, lambda t, x: F.struct(
         (t["strong"] + x["strong"]).alias("strong"), (t["medium"] + x["medium"]).alias("medium"), (t["weak"] + x["weak"]).alias("weak"),
@@ -112,10 +121,11 @@ def unrelated_energy(name: Column, text: Column, candidate: Column, source: Colu
 def gate(evidence: Column, tier: Column, confidence: Column, name: Column | None = None, candidate: Column | None = None, source: Column | None = None) -> Column:
     """struct(accepted, reason): whether evidence carries a relationship in its tier. Without variants of both names direction isn't asked for."""
     known = F.struct(analysis(evidence).alias("a"), whole_text(evidence).alias("text"), F.coalesce(F.size(evidence) > 0, F.lit(False)).alias("some"))
-    return let(known, lambda x: _gate(x["a"], x["text"], x["some"], tier, confidence, name, candidate, source))
+    return let(known, lambda x: gate_of(x["a"], x["text"], x["some"], tier, confidence, name, candidate, source))
 
 
-def _gate(a: Column, text: Column, some: Column, tier: Column, confidence: Column, name: Column | None, candidate: Column | None, source: Column | None) -> Column:
+def gate_of(a: Column, text: Column, some: Column, tier: Column, confidence: Column, name: Column | None = None, candidate: Column | None = None, source: Column | None = None) -> Column:
+    """gate() by evidence that has been analysed: its signals, its whole text, and whether there is any."""
     least = F.when(tier == 2, LEAST_BY_TIER[2]).when(tier == 3, LEAST_BY_TIER[3]).otherwise(0)
     label = F.concat(F.lit("Tier-"), tier.cast("string"))
     no = lambda *words: F.struct(F.lit(False).alias("accepted"), F.concat(*(F.lit(w) if isinstance(w, str) else w for w in words)).alias("reason"))
@@ -189,10 +199,11 @@ def _enforced(result: Column, a: Column, tier: Column) -> Column:
 
 
 def evidence_quality(evidence: Column) -> Column:
-    return F.when(F.coalesce(F.size(evidence), F.lit(0)) > 0, let(analysis(evidence), _quality)).otherwise(0.0)
+    return F.when(F.coalesce(F.size(evidence), F.lit(0)) > 0, let(analysis(evidence), quality_of)).otherwise(0.0)
 
 
-def _quality(a: Column) -> Column:
+def quality_of(a: Column) -> Column:
+    """evidence_quality() of evidence that has been analysed."""
     q = F.least(F.lit(1.0), a["score"] / 10) * 0.7 + F.least(F.lit(1.0), a["supporting"] / 2) * 0.3 - F.when(a["negative"] > 0, 0.15).otherwise(0.0)
     return F.round(F.greatest(F.lit(0.0), q), 2)
 

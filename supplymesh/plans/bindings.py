@@ -558,12 +558,3 @@ def infobox_parse(spark, sf_dir):
     from supplymesh.sources import tables
 
     return tables.profiles_of_pages(_table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "profile.*")
-
-
-@bound()
-def network_report(spark, sf_dir):
-    """The report of a whole analysis over the curated relationships."""
-    from supplymesh.operators.graph import Limits
-    from supplymesh.plans import analysis
-
-    return analysis.analyse(spark, "Tesla", config=analysis.Config(limits=Limits(max_depth=2, per_parent=7)))["report"]

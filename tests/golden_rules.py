@@ -1,8 +1,4 @@
-"""The library's rules on fixed tables, bound as queries: each with the rows that it must give, written out as SQL.
-
-Inputs and results are those that the rules were specified by. A query runs the library's own functions and operators on the inputs;
-its SQL is a list of values and knows nothing of them.
-"""
+"""The library's rules on small tables, each with the rows that it must give: cases for test_golden_rules."""
 
 from __future__ import annotations
 
@@ -19,29 +15,15 @@ from supplymesh.sources import tables
 
 EVIDENCE = "array<struct<title:string,link:string,snippet:string>>"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-_KINDS = {"string": "varchar", "int": "integer", "long": "bigint", "double": "double", "boolean": "boolean"}
-
-
-def _literal(value, kind: str) -> str:
-    if value is None:
-        shown = "null"
-    elif isinstance(value, str):
-        shown = "'" + value.replace("'", "''") + "'"
-    else:
-        shown = repr(value).lower()
-    return f"cast({shown} as {_KINDS[kind]})"
+ROWS: dict[str, tuple[list[str], tuple]] = {}
 
 
 def gives(columns: str, *rows: tuple):
-    """Registers a query under its function's name; rows are what it gives in these columns (name kind, ...)."""
-    named = [c.split() for c in columns.split(", ")]
-    values = ", ".join("(" + ", ".join(_literal(v, k) for v, (_, k) in zip(row, named)) + ")" for row in rows)
-    sql = f"select * from (values {values}) t({', '.join(chr(34) + n + chr(34) for n, _ in named)})"
+    """Registers a case under its function's name; rows are what it gives in these columns (name kind, ...)."""
 
     def take(query):
         QUERIES[query.__name__] = query
-        ORACLES[query.__name__] = sql
+        ROWS[query.__name__] = [c.split()[0] for c in columns.split(", ")], rows
         return query
 
     return take
@@ -62,9 +44,9 @@ def _with_variants(ids: Identities, df: DataFrame, name: str, out: str) -> DataF
 def gate_without_names(spark, sf_dir):
     """Evidence scores against the thresholds of tiers."""
     rows = [
-        (3, 0.92, ["RTX Corporation is a competitor and industry peer in aerospace.", "Raytheon was acquired in a separate context and is an industry peer."]),
-        (3, 0.93, ["TSMC manufactures chips for Apple under a supply agreement.", "Apple sources advanced semiconductors from TSMC."]),
-        (2, 0.88, ["A long-running partnership exists between the companies."]), (1, 0.8, []), (1, 0.7, []),
+        (3, 0.92, ["Borealis Wings is a rival of the firm.", "An investor acquired it last spring."]),
+        (3, 0.93, ["Nordwafer manufactures dies for Quillon, says a supply agreement.", "Quillon sources wafers from Nordwafer."]),
+        (2, 0.88, ["The two have worked together for years."]), (1, 0.8, []), (1, 0.7, []),
     ]
     df = _numbered(spark, [(t, c, [("", "", x) for x in xs]) for t, c, xs in rows], f"tier int, confidence double, e {EVIDENCE}")
     return df.select("case", evidence.gate(F.col("e"), F.col("tier"), F.col("confidence"))["accepted"].alias("accepted"))
@@ -74,8 +56,8 @@ def gate_without_names(spark, sf_dir):
 def gate_with_direction(spark, sf_dir):
     """Evidence has to say who supplies whom."""
     rows = [
-        ("GlobalFoundries", "TSMC", "GlobalFoundries supplies wafers to TSMC and is part of its semiconductor ecosystem as a foundry for manufacturing."), ("ASML", "TSMC", "ASML supplies EUV lithography systems to TSMC for advanced semiconductor manufacturing."),
-        ("ASML", "TSMC", "TSMC and ASML were both mentioned in a supplier list."), ("Apple", "TSMC", "TSMC supplies chips to Apple, a supplier said."), ("ASML", "TSMC", "Nothing about either."),
+        ("GlobalFoundries", "TSMC", "Each month GlobalFoundries supplies parts to TSMC for a pilot line."), ("ASML", "TSMC", "ASML provides equipment to TSMC, as it has for long."),
+        ("ASML", "TSMC", "One supplier list names ASML and then TSMC."), ("Apple", "TSMC", "As a supplier tells, TSMC supplies chips to Apple."), ("ASML", "TSMC", "Nothing about either."),
     ]
     ids = Identities(spark)
     df = _numbered(spark, [(c, s, [("", "", x)]) for c, s, x in rows], f"c string, s string, e {EVIDENCE}")
@@ -114,8 +96,8 @@ def evidence_and_source_quality(spark, sf_dir):
 # --- names ---------------------------------------------------------------------------------------
 
 _RAW = {
-    "Micron became a major supplier to Apple Inc": "Micron", "Fabless manufacturing including Apple Inc": "Apple Inc", "Raytheon is a business unit of RTX Corporation": "Raytheon", "International with Magna Electronics Corporation": "Magna Electronics Corporation",
-    "Intel Intel Corporation": "Intel Corporation", "IDEX Corporation IDEX Corporation": "IDEX Corporation", "Broadcom": "Broadcom", "Compal Electronics": "Compal Electronics", "Marvell Technology": "Marvell Technology",
+    "Veltron became a major supplier to Quillon Inc": "Veltron", "Board manufacturing including Quillon Inc": "Quillon Inc", "Sondheim is a business unit of Ostra Corporation": "Sondheim", "Europe with Ferrum Electronics Corporation": "Ferrum Electronics Corporation",
+    "Ostra Ostra Corporation": "Ostra Corporation", "Kelt Corporation Kelt Corporation": "Kelt Corporation", "Broadcom": "Broadcom", "Compal Electronics": "Compal Electronics", "Marvell Technology": "Marvell Technology",
     **dict.fromkeys(("Fabless manufacturing", "became a supplier to", "including", "supplier to", "company", "ThinkPad", "Company Company Limited", "Corporation Corporation", "Inc Inc", "Silicon Wadi", "Silicon Valley", "technology hub", "Industrial Park", "Hsinchu Science Park")),
 }
 
@@ -242,9 +224,9 @@ def benchmark_evaluation(spark, sf_dir):
 # --- risks ---------------------------------------------------------------------------------------
 
 _NEWS = [
-    ("TestCorp", "TestCorp factory explosion causes massive disruption", "A major explosion occurred at the TestCorp factory."), ("TestCorp", "TestCorp strike update", "Workers are on strike."), ("TestCorp", "TestCorp investigation launched", "Regulators are investigating."),
-    ("TestCorp", "War tensions disrupt global shipping lanes", "TestCorp was mentioned once."), ("TestCorp", "TestCorp factory shutdown risk rises amid war escalation", "TestCorp said its main production facility could be affected."),
-    ("Samsung", "Samsung factory fire causes production disruption", "A Samsung Electronics fab halted output after a fire."), ("TestCorp", "TestCorp warning", "TestCorp issued a warning."),
+    ("TestCorp", "Explosion at a TestCorp plant", "The blast hit the plant of TestCorp at night."), ("TestCorp", "TestCorp faces a strike", "Its workforce walked out."), ("TestCorp", "New investigation of TestCorp", "An office looks into prices."),
+    ("TestCorp", "Shipping suffers from war", "TestCorp is named in passing."), ("TestCorp", "War nears the factory of TestCorp", "TestCorp fears for its largest site."),
+    ("Samsung", "Fire in a Samsung fab", "Samsung stopped one line after the fire."), ("TestCorp", "A warning by TestCorp", "TestCorp told its owners of a warning."),
 ]
 
 
@@ -258,7 +240,7 @@ def news_risks(spark, sf_dir):
 
 @gives("case int, severity string", (0, "Critical"), (1, "High"), (2, "Medium"), (3, "Low"), (4, None))
 def financial_risks(spark, sf_dir):
-    rows = [("FinCorp files for bankruptcy protection", "Major financial collapse of FinCorp."), ("FinCorp announces major layoffs amid revenue collapse", "Significant workforce reduction at FinCorp."), ("FinCorp earnings miss", "FinCorp"), ("FinCorp sees weak demand", "FinCorp"), ("FinCorp and default", "FinCorp")]
+    rows = [("FinCorp filed for bankruptcy", "The court named a trustee for FinCorp."), ("Revenue collapse at FinCorp", "FinCorp plans layoffs."), ("FinCorp earnings miss", "FinCorp"), ("FinCorp sees weak demand", "FinCorp"), ("FinCorp and default", "FinCorp")]
     return _numbered(spark, rows, "t string, s string").select("case", risk.financial_risk(F.lit("FinCorp"), F.col("t"), F.col("s"))["severity"].alias("severity"))
 
 
@@ -337,7 +319,7 @@ def search_queries(spark, sf_dir):
 
 @gives("name string, tier int", ("TSMC", 1), ("ASE Technology", 1))
 def extracted_candidates(spark, sf_dir):
-    hits = [("Qualcomm", 0, "TSMC", "TSMC serves as the main supplier for Nvidia, Apple, Broadcom, and Qualcomm.", "l1"), ("Qualcomm", 1, "ASE Technology", "ASE Technology provides outsourced semiconductor assembly and test services to Qualcomm.", "l2"), ("Qualcomm", 2, "Silicon Valley", "A valley with Qualcomm supplier offices.", "l3")]
+    hits = [("Qualcomm", 0, "TSMC", "TSMC is a foundry and supplier for Qualcomm.", "l1"), ("Qualcomm", 1, "ASE Technology", "ASE Technology provides services to Qualcomm, chip packaging above all.", "l2"), ("Qualcomm", 2, "Silicon Valley", "A valley with Qualcomm supplier offices.", "l3")]
     got = discovery.extract_candidates(spark.createDataFrame(hits, "company string, seq int, title string, snippet string, link string"), Identities(spark))
     return got.filter(F.col("name").isin("TSMC", "ASE Technology") | F.col("name").contains("Valley")).select("name", "tier")
 

@@ -49,7 +49,7 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 
 #: Queries whose operators compare or split in Arrow batches, or run jobs before they return.
-IN_ARROW = {"bfs_tiers", "resolve_names", "topk_similar", "tier_choice", "passage_mentions", "claimed_directions", "order_before_event", "observed_budget_lines", "layered_pages"}
+IN_ARROW = {"bfs_tiers", "resolve_names", "topk_similar", "tier_choice", "passage_mentions", "claimed_directions", "order_before_event", "observed_budget_lines", "layered_pages", "evidence_signals", "gate_without_names", "evidence_quality", "infobox_profiles"}
 
 
 def test_column_queries_run_no_python(spark):

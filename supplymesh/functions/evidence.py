@@ -120,34 +120,43 @@ def unrelated_energy(name: Column, text: Column, candidate: Column, source: Colu
 
 def gate(evidence: Column, tier: Column, confidence: Column, name: Column | None = None, candidate: Column | None = None, source: Column | None = None) -> Column:
     """struct(accepted, reason): whether evidence carries a relationship in its tier. Without variants of both names direction isn't asked for."""
+    return let(gate_signals(evidence, name, candidate, source), lambda x: gate_of(x, tier, confidence))
+
+
+def gate_signals(evidence: Column, name: Column | None = None, candidate: Column | None = None, source: Column | None = None) -> Column:
+    """What gates of any tier look at, worked out once: the analysis, whether there is evidence, and what it says about the two names (null where they aren't given)."""
     known = F.struct(analysis(evidence).alias("a"), whole_text(evidence).alias("text"), F.coalesce(F.size(evidence) > 0, F.lit(False)).alias("some"))
-    return let(known, lambda x: gate_of(x["a"], x["text"], x["some"], tier, confidence, name, candidate, source))
+    return let(known, lambda x: F.struct(x["a"].alias("a"), x["some"].alias("some"), *_said(x["text"], name, candidate, source)))
+
+
+def _said(text: Column, name: Column | None, candidate: Column | None, source: Column | None) -> list[Column]:
+    both = candidate is not None and source is not None
+    who = name if name is not None else F.get(candidate, F.lit(0)) if candidate is not None else None
+    told = {
+        "source": None if source is None else mentions(text, source), "candidate": None if candidate is None else mentions(text, candidate),
+        "linked": links_candidate(text, candidate, source) if both else None, "reverse": reversed_direction(text, who, candidate, source) if both else None,
+    }
+    return [(F.lit(None).cast("boolean") if v is None else v).alias(k) for k, v in told.items()]
 
 
-def gate_of(a: Column, text: Column, some: Column, tier: Column, confidence: Column, name: Column | None = None, candidate: Column | None = None, source: Column | None = None) -> Column:
-    """gate() by evidence that has been analysed: its signals, its whole text, and whether there is any."""
+def gate_of(x: Column, tier: Column, confidence: Column) -> Column:
+    """gate() by what gate_signals() gives."""
+    a, some = x["a"], x["some"]
     least = F.when(tier == 2, LEAST_BY_TIER[2]).when(tier == 3, LEAST_BY_TIER[3]).otherwise(0)
     label = F.concat(F.lit("Tier-"), tier.cast("string"))
     no = lambda *words: F.struct(F.lit(False).alias("accepted"), F.concat(*(F.lit(w) if isinstance(w, str) else w for w in words)).alias("reason"))
-    out = F.when(F.lit(False), no(""))
-    if source is not None:
-        out = out.when(some & ~mentions(text, source), no("Evidence does not mention the source company for the claimed supplier relationship"))
-    if candidate is not None:
-        out = out.when(some & ~mentions(text, candidate), no("Evidence does not mention the candidate company for the claimed supplier relationship"))
-    both = candidate is not None and source is not None
     first = tier == 1
+    out = F.when(some & ~x["source"], no("Evidence does not mention the source company for the claimed supplier relationship"))
+    out = out.when(some & ~x["candidate"], no("Evidence does not mention the candidate company for the claimed supplier relationship"))
     out = out.when(first & some & ~has_signal(a), no("Evidence does not contain a supplier indicator"))
-    if both:
-        out = out.when(first & some & (a["strong"] == 0) & ~links_candidate(text, candidate, source), no("Evidence does not explicitly establish supplier direction"))
+    out = out.when(first & some & (a["strong"] == 0) & ~x["linked"], no("Evidence does not explicitly establish supplier direction"))
     out = out.when(first & (a["negative"] > 0) & (a["score"] < 5), no("Negative relationship signals outweigh supplier evidence"))
     yes = confidence >= LEAST_DISCOVERY
     out = out.when(first, F.struct(yes.alias("accepted"), F.when(yes, "Accepted tier-1 supplier evidence").otherwise("Low discovery confidence").alias("reason")))
     out = out.when(~some, no(label, " suppliers require evidence score >= ", least.cast("string")))
     out = out.when((a["negative"] > 0) & (a["score"] < least + 3), no(label, " negative relationship signals outweigh supplier evidence score"))
-    if both:
-        who = name if name is not None else F.get(candidate, F.lit(0))
-        out = out.when(reversed_direction(text, who, candidate, source), no(label, " evidence indicates customer, brand, product, partner, competitor, or reverse-supplier direction"))
-        out = out.when(~links_candidate(text, candidate, source), no(label, " evidence does not explicitly show that the candidate supplies the source company"))
+    out = out.when(x["reverse"], no(label, " evidence indicates customer, brand, product, partner, competitor, or reverse-supplier direction"))
+    out = out.when(~x["linked"], no(label, " evidence does not explicitly show that the candidate supplies the source company"))
     enough = a["score"] >= least
     shown = F.concat(F.lit("[EVIDENCE SCORE] Tier: "), tier.cast("string"), F.lit(" | Score: "), a["score"].cast("string"), F.lit(" | Threshold: "), least.cast("string"), F.lit(" | Decision: "), F.when(enough, "Accepted").otherwise("Rejected"))
     return out.otherwise(F.struct(enough.alias("accepted"), shown.alias("reason")))

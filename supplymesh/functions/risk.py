@@ -168,18 +168,30 @@ def geopolitical_risk(name: Column, location: Column, path: Column) -> Column:
     return out
 
 
+_DATE = r"\b(\d{1,2})[ -]+([A-Za-z]{3})[A-Za-z]*[ -]+(\d{4}|\d{2})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?(?!\d)"
+
+
 def published(raw: Column) -> Column:
     """The wall-clock time of an RFC 2822 date, its zone left out; null for anything else. Seconds may be missing; years of two digits are
     those from 1969 to 2068."""
-    part = lambda i: F.regexp_extract(raw, r"\b(\d{1,2})[ -]+([A-Za-z]{3})[A-Za-z]*[ -]+(\d{4}|\d{2})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?(?!\d)", i)
-    year = F.when(F.length(part(3)) == 4, part(3)).when(part(3) > "68", F.concat(F.lit("19"), part(3))).otherwise(F.concat(F.lit("20"), part(3)))
-    seconds = F.when(part(6) == "", "00").otherwise(part(6))
-    whole = F.concat(part(1), F.lit(" "), F.initcap(part(2)), F.lit(" "), year, F.lit(" "), F.lpad(part(4), 2, "0"), F.lit(":"), part(5), F.lit(":"), seconds)
-    return F.try_to_timestamp(F.when(part(1) != "", whole), F.lit("d MMM yyyy HH:mm:ss")).cast("timestamp_ntz")
+    # the date is looked for once, and its parts are cut out of what was found
+    return let(F.split(F.regexp_replace(F.regexp_substr(raw, F.lit(_DATE)), "[ :-]+", " "), r"\s+"), _published)
+
+
+def _published(part: Column) -> Column:
+    at = lambda i: F.get(part, F.lit(i))
+    year = F.when(F.length(at(2)) == 4, at(2)).when(at(2) > "68", F.concat(F.lit("19"), at(2))).otherwise(F.concat(F.lit("20"), at(2)))
+    whole = F.concat(at(0), F.lit(" "), F.initcap(F.left(at(1), F.lit(3))), F.lit(" "), year, F.lit(" "), F.lpad(at(3), 2, "0"), F.lit(":"), at(4), F.lit(":"), F.coalesce(at(5), F.lit("00")))
+    return F.try_to_timestamp(whole, F.lit("d MMM yyyy HH:mm:ss")).cast("timestamp_ntz")
 
 
 def recent(raw: Column, as_of: Column, days: int) -> Column:
-    return F.coalesce(published(raw) >= as_of.cast("timestamp_ntz") - F.make_dt_interval(F.lit(days)), F.lit(False))
+    return recently(published(raw), as_of, days)
+
+
+def recently(when: Column, as_of: Column, days: int) -> Column:
+    """Whether a time that published() gave is one of the last days."""
+    return F.coalesce(when >= as_of.cast("timestamp_ntz") - F.make_dt_interval(F.lit(days)), F.lit(False))
 
 
 def is_external(risk_type: Column, reasoning: Column) -> Column:

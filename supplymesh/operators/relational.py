@@ -112,15 +112,17 @@ def distinct_on(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     return first_per_key(df, keys, order)
 
 
-def sole_sources(edges: DataFrame, supplier: str, product: str) -> DataFrame:
-    """Each supplier's number of products, how many of them have one entry only, and the fewest entries of any."""
-    counted = edges.groupBy(product).agg(F.count("*").alias("__entries"))
-    return edges.join(counted, product).groupBy(supplier).agg(F.count_distinct(product).alias("products"), F.count_if(F.col("__entries") == 1).alias("sole_products"), F.min("__entries").alias("fewest_entries"))
+def sole_sources(edges: DataFrame, supplier: str, product: str, *also: Column) -> DataFrame:
+    """Each supplier's number of products, how many of them have one entry only, and the fewest entries of any; ``also``: further aggregates of its entries.
+    Entries are counted by a window, so that they are computed and shuffled once; entries without a product count for none."""
+    entries = F.count("*").over(W.partitionBy(product))
+    counted = edges.filter(F.col(product).isNotNull()).withColumn("__entries", entries)
+    return counted.groupBy(supplier).agg(F.count_distinct(product).alias("products"), F.count_if(F.col("__entries") == 1).alias("sole_products"), F.min("__entries").alias("fewest_entries"), *also)
 
 
-def worst_level(df: DataFrame, key: str, level: Column, out: str = "worst") -> DataFrame:
-    """The greatest ordinal of each key."""
-    return df.groupBy(key).agg(F.max(level).alias(out))
+def worst_level(df: DataFrame, key: str | Sequence[str], level: Column, out: str = "worst") -> DataFrame:
+    """The greatest ordinal of each key, or combination of keys."""
+    return df.groupBy(*([key] if isinstance(key, str) else key)).agg(F.max(level).alias(out))
 
 
 def set_metrics(found: DataFrame, expected: DataFrame, key: str, item: str) -> DataFrame:

@@ -12,10 +12,10 @@ from supplymesh.functions import candidates as C
 from supplymesh.functions import evidence as E
 from supplymesh.functions import risk as K
 from supplymesh.functions import scoring as S
-from supplymesh.functions.names import compact_key
+from supplymesh.functions.names import compact_key, let
 from supplymesh.functions.text import display_label
 from supplymesh.operators import discovery, graph, relational, suppliers
-from supplymesh.operators.resolve import Identities
+from supplymesh.operators.resolve import BROADCAST_NAMES, Identities
 from supplymesh.plans.control import Classifier, RiskProvider, Stages, all_risks
 from supplymesh.sources import reference_data as R
 from supplymesh.sources.scratch import settled
@@ -102,8 +102,9 @@ def gated_edges(edges: DataFrame, identities: Identities, target: str) -> DataFr
     rival = F.col("canonical").isin([b for a, b in R.competitors() if a == target])
     out = settled(out.filter(named).withColumn("text", E.whole_text(F.col("evidence"))))
     out = out.filter(~rival | E.links_candidate(F.col("text"), F.col("cv"), F.col("tv"))).filter(~E.unrelated_energy(name, F.col("text"), F.col("cv"), F.col("sv")))
-    out = out.withColumn("gate_tier", F.explode(F.sequence(F.lit(1), F.lit(graph.GATED))))
-    return out.withColumn("gate", E.gate(F.col("evidence"), F.col("gate_tier"), F.col("confidence"), name, F.col("cv"), F.col("sv"))).filter("gate.accepted").drop("gate", "text", "cv", "sv", "tv", "__target")
+    passed = lambda x: F.filter(F.sequence(F.lit(1), F.lit(graph.GATED)), lambda tier: E.gate_of(x, tier, F.col("confidence"))["accepted"])
+    tiers = let(E.gate_signals(F.col("evidence"), name, F.col("cv"), F.col("sv")), passed)  # the evidence is read once for all tiers
+    return out.withColumn("gate_tier", F.explode(tiers)).drop("text", "cv", "sv", "tv", "__target")
 
 
 def analyse(
@@ -176,7 +177,8 @@ def _risks(spark: SparkSession, kept: DataFrame, verifications: DataFrame, news:
         aliases = {}
         for alias, c in ids.pairs:
             aliases.setdefault(c, []).append(alias)
-        names = F.broadcast(spark.createDataFrame(list(aliases.items()), "canonical string, aliases array<string>"))  # the alias table's size
+        names = spark.createDataFrame(list(aliases.items()), "canonical string, aliases array<string>")
+        names = F.broadcast(names) if len(ids.pairs) <= BROADCAST_NAMES else names
         as_of = F.to_timestamp(F.lit(config.as_of)) if config.as_of else F.current_timestamp()
         fresh = news.filter(F.when(F.col("feed") == "financial", K.recent(F.col("pub_date"), as_of, K.FINANCIAL_DAYS)).otherwise(K.recent(F.col("pub_date"), as_of, K.NEWS_DAYS)))
         items = relational.topk_per_key(fresh, ["supplier_name", "feed"], ["seq"], config.articles).join(sure, "supplier_name").join(names, "canonical", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))

@@ -55,14 +55,14 @@ select r_name, cast(place as int) place, s_suppkey, s_name, products, sole_produ
 """)
 def sole_source_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers ranked in their region by sole-source products and the most urgent order they serve."""
-    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey")
-    products = relational.sole_sources(lines.select("l_suppkey", "l_partkey").distinct(), "l_suppkey", "l_partkey").withColumnRenamed("fewest_entries", "fewest")
     urgent = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), _priority().alias("level"))
-    worst = relational.worst_level(lines.join(urgent, "l_orderkey"), "l_suppkey", F.col("level"))
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey").join(urgent, "l_orderkey", "left")
+    pairs = relational.worst_level(lines, ["l_suppkey", "l_partkey"], F.col("level"), "level")  # lines are read once, and a pair carries its worst order
+    rated = relational.sole_sources(pairs, "l_suppkey", "l_partkey", F.max("level").alias("worst")).withColumnRenamed("fewest_entries", "fewest").filter("worst is not null")
     place = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
     suppliers = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_suppkey", "s_name", "s_nationkey")
     bucket = F.when(F.col("products") >= 100, 30).when(F.col("products") >= 20, 20).otherwise(10)
-    scored = suppliers.join(products, "l_suppkey").join(worst, "l_suppkey").join(place, F.col("s_nationkey") == F.col("n_nationkey")).withColumn("score", 8 * F.col("worst") + bucket + F.when(F.col("sole_products") > 0, 20).otherwise(0))
+    scored = suppliers.join(rated, "l_suppkey").join(place, F.col("s_nationkey") == F.col("n_nationkey")).withColumn("score", 8 * F.col("worst") + bucket + F.when(F.col("sole_products") > 0, 20).otherwise(0))
     top = relational.topk_per_key(scored, ["r_name"], [F.desc("score"), F.desc("sole_products"), F.desc("products"), "s_suppkey"], 5, rank="place")
     level = levels.steps(F.col("score"), ((85, "Critical"), (70, "High"), (50, "Medium")), "Low")
     return top.select("r_name", "place", "s_suppkey", "s_name", "products", "sole_products", "fewest", "worst", "score", level.alias("level"))
@@ -495,7 +495,7 @@ def feed_dates(spark, sf_dir):
     as_of = F.broadcast(events.agg(F.max("ts").alias("as_of")))  # one row
     raw = F.when(F.col("event_id") % 7 == 0, "no date").otherwise(F.concat(F.date_format("ts", "EEE, d MMM yyyy HH:mm:ss"), F.lit(" GMT")))
     read = events.join(as_of).select("event_id", "as_of", raw.alias("raw")).withColumn("published", risk.published(F.col("raw")))
-    return read.filter("published is not null").select("event_id", "published", risk.recent(F.col("raw"), F.col("as_of"), 10).alias("recent"))
+    return read.filter("published is not null").select("event_id", "published", risk.recently(F.col("published"), F.col("as_of"), 10).alias("recent"))
 
 
 @bound("""

@@ -66,7 +66,8 @@ def gate_without_names(spark, sf_dir):
     """Whether a document's evidence carries a relationship in each of three tiers, with a high confidence for every other document."""
     confidence = F.when(F.col("doc_id") % 2 == 0, 0.9).otherwise(0.7)
     told = _with_evidence(spark, sf_dir).withColumn("tier", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
-    accepted = evidence.gate_of(F.col("analysis"), F.lit(""), F.lit(True), F.col("tier"), confidence)["accepted"]
+    nothing = [F.lit(None).cast("boolean").alias(n) for n in ("source", "candidate", "linked", "reverse")]
+    accepted = evidence.gate_of(F.struct(F.col("analysis").alias("a"), F.lit(True).alias("some"), *nothing), F.col("tier"), confidence)["accepted"]
     return told.select("doc_id", "tier", accepted.alias("accepted"))
 
 

@@ -484,12 +484,13 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 
 def kept(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, digest) of the rows to keep of near copies: of each component the one with the least doc_id, and the one with a null key of the least digest.
+    """(doc_id, digest) of the rows to keep of near copies: of each component the one with the least doc_id, or where all its keys are null the one of the least digest.
     Rows without shingles are all among them."""
     rows, classes = linked(docs, key, text)
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "digest"))).alias("named")
     unnamed = F.min(F.when(F.col("doc_id").isNull(), F.col("digest"))).alias("unnamed")
     of_class = rows.filter("size > 0").groupBy("node", "size").agg(first, unnamed).join(classes.select("node", "size", "component"), ["node", "size"])
     best = checkpointed(of_class.groupBy("component").agg(F.min("named").alias("named"), F.min("unnamed").alias("unnamed")))
-    out = best.filter("named is not null").select("named.*").unionByName(best.filter("unnamed is not null").select(F.lit(None).cast("long").alias("doc_id"), F.col("unnamed").alias("digest")))
+    nameless = F.struct(F.lit(None).cast("long").alias("doc_id"), F.col("unnamed").alias("digest"))
+    out = best.select(F.coalesce("named", nameless).alias("first")).select("first.*")
     return out.unionByName(rows.filter("size = 0").select("doc_id", "digest")).distinct()

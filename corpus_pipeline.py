@@ -6,7 +6,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``docs`` has the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from supplymesh.llm import ecoc, jaccard, packing, toxicity
@@ -14,29 +14,36 @@ from supplymesh.llm.common import stored, table
 from supplymesh.llm.queries import tokenizer
 
 
+def _row(docs: DataFrame) -> Column:
+    """All columns of a document in one, so that none can have the name of another that a stage needs."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the ones predicted toxic."""
-    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.detect(docs, model).filter("predicted = 0").select(*docs.columns)
+    model = toxicity.learn(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return toxicity.detect(docs.select(_row(docs), "text"), model).filter("predicted = 0").select("row.*")
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told: those without a letter, or whose score is ambiguous, go. Columns are kept as they are."""
     model = ecoc.learn(docs, ~ecoc.held_out())
     names = ["lang_pred", "score", "ambiguous"]
-    judged = ecoc.identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
+    judged = ecoc.identify(docs.select(_row(docs), "text"), model)
     return judged.filter(~F.col("ambiguous") & (F.col("lang_pred") != ecoc.UNKNOWN)).drop(*names).select("row.*")
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the least doc_id, and of those without an id one more; of rows that repeat its id and text, one.
+    """Of each group of near copies, the document with the least doc_id, or one where no row of the group has an id; of rows that repeat its id and text, one.
     Texts are judged apart where they share an id. Documents without words stay."""
-    key = ["__id", "__nameless", "__digest"]  # texts are shuffled once, by these
-    named = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__nameless")]
-    kept = jaccard.kept(docs).select(*named, F.col("digest").alias("__digest"))
-    nameless = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x09-\x0D ]")
-    once = docs.filter(~nameless).select("*", *named, jaccard.digest("text").alias("__digest")).dropDuplicates(key)
-    return once.join(kept, key, "left_semi").select(*docs.columns).unionByName(docs.filter(nameless))
+    key = ["id", "nameless", "digest"]  # texts are shuffled once, by these
+    named = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("nameless")]
+    kept = jaccard.kept(docs.select("doc_id", "text")).select(*named, "digest")
+    wordless = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x09-\x0D ]")
+    rows = docs.select(_row(docs), *named, jaccard.digest("text").alias("digest"), wordless.alias("wordless"))
+    alone = F.col("nameless") & F.col("wordless")
+    once = rows.filter(~alone).dropDuplicates(key).join(kept, key, "left_semi")
+    return once.select("row.*").unionByName(rows.filter(alone).select("row.*"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@ Lengths lie between 1 and the capacity, so the counts of pieces by length descri
 problem in a table that doesn't grow with the corpus; the driver plans on that table alone.
 
 1. Large lengths, in descending order, are cut into groups of equal cardinality; every piece of a
-   group counts as long as the group's longest.
+   group counts as long as the group's longest. Where there are no more lengths than groups, each
+   length is a group, and nothing is rounded. Otherwise finer groups are tried too, and the plan
+   with the fewest sequences is taken.
 2. For these few sizes the plan finds configurations, sets of sizes that fill a sequence best, and
    uses each as often as its sizes last.
 3. Actual pieces take the places of their group, longest first. Runs of sequences with the same
@@ -34,6 +36,8 @@ from supplymesh.llm.pretokens import ChunkMemory
 CAPACITY = 2048
 #: Groups of large lengths; a length is large if more than this share of the capacity.
 GROUPS, LARGE = 128, 1 / 8
+#: Times finer groups that are tried besides.
+FINER = 8
 #: Pieces numbered in one salted part, about.
 PART_ROWS = 4096
 
@@ -86,6 +90,32 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS,
     """The places of all pieces, given how many there are of each length from 1 to the capacity."""
     if any(not 1 <= k <= capacity for k in counts):
         raise ValueError("lengths must be from 1 to the capacity")
+    bigs = sorted((k for k, n in counts.items() if n and large * capacity < k < capacity), reverse=True)
+    total = sum(counts[k] for k in bigs)
+    if len(bigs) <= groups:
+        return _grouped(counts, [[[k, 0, counts[k]]] for k in bigs], capacity, large)
+    tried = [_grouped(counts, _equal_groups(counts, bigs, -(-total // g)), capacity, large) for g in (groups, FINER * groups)]
+    return min(tried, key=lambda p: p.sequences)
+
+
+def _equal_groups(counts: dict[int, int], lengths: list[int], share: int) -> list[list[list[int]]]:
+    """Groups of so many pieces each, longest first, as runs [length, first number, count]."""
+    runs: list[list[list[int]]] = []
+    filled = share
+    for k in lengths:
+        first, n = 0, counts[k]
+        while n:
+            if filled == share:
+                runs.append([])
+                filled = 0
+            now = min(n, share - filled)
+            runs[-1].append([k, first, now])
+            first, n, filled = first + now, n - now, filled + now
+    return runs
+
+
+def _grouped(counts: dict[int, int], runs: list[list[list[int]]], capacity: int, large: float) -> Plan:
+    """The plan by these groups of large pieces, which are used up."""
     out: list[tuple[int, int, int, int, int, int]] = []
     room: dict[int, list[tuple[int, int]]] = {}  # room left: runs (first sequence, sequences)
     open_rooms = 0  # bit r: some run has room r
@@ -100,22 +130,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS,
     if n := counts.get(capacity, 0):
         out.append((capacity, 0, n, 0, 1, 0))
         bins = n
-    bigs = sorted((k for k, n in counts.items() if n and large * capacity < k < capacity), reverse=True)
-    total = sum(counts[k] for k in bigs)
-    if total:
-        # groups: the size they count as, and their pieces as runs [length, first number, count]
-        share = -(-total // groups)
-        runs: list[list[list[int]]] = []
-        filled = share
-        for k in bigs:
-            first, n = 0, counts[k]
-            while n:
-                if filled == share:
-                    runs.append([])
-                    filled = 0
-                now = min(n, share - filled)
-                runs[-1].append([k, first, now])
-                first, n, filled = first + now, n - now, filled + now
+    if runs:
         sizes = [g[0][0] for g in runs]
         left = [sum(x[2] for x in g) for g in runs]
         heads = [0] * len(runs)

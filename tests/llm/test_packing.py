@@ -45,6 +45,19 @@ def test_plans():
         packing.plan({2049: 1})
 
 
+@pytest.mark.parametrize("counts", [{1025: 1000, 1023: 1000}, {683: 999, 682: 2001}, {700: 1000, 698: 1000, 650: 1000}])
+def test_few_lengths_are_not_rounded(counts):
+    assert held(counts, 2048)[0] == 1000
+
+
+def test_finer_groups_save_sequences():
+    every = {k: 20 for k in range(1, 2049)}
+    used, least = held(every, 2048)
+    bigs = [k for k in range(2047, 256, -1)]
+    coarse = packing._grouped(every, packing._equal_groups(every, bigs, -(-20 * len(bigs) // packing.GROUPS)), 2048, packing.LARGE)
+    assert used <= 1.002 * least < 1.01 * least < coarse.sequences
+
+
 def test_a_plan_does_not_grow_with_the_counts():
     r = random.Random(3)
     one = Counter(r.randint(1, 2048) for _ in range(5000))

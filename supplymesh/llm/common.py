@@ -81,6 +81,14 @@ def schema_with(df: DataFrame, *added: tuple[str, str]) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(n, T._parse_datatype_string(k)) for n, k in added)])
 
 
+def spare(df: DataFrame, wish: str) -> str:
+    """A column name that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed and written once to the shared folder; its lineage ends there."""
     shared_dir(df.sparkSession)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supplymesh.llm.common import lean, prepare, schema_with
+from supplymesh.llm.common import lean, prepare, schema_with, spare
 
 # --- pages as trees ------------------------------------------------------------------------------
 
@@ -48,7 +48,14 @@ _REST = re.compile(r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+>""")
 _LONG_REFERENCE = re.compile(r"&#0*[0-9]{8,};?")
 _NAMES = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}")
-_HIDDEN = re.compile(r"display\s*:\s*none|\bhidden\b", re.I)
+_UNSHOWN = re.compile(r"display\s*:\s*none", re.I)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN = re.compile(r"(?<![\w=-])hidden(?![\w-])", re.I)
+
+
+def hidden(attributes: str) -> bool:
+    """Whether an element has the attribute ``hidden`` or a style that doesn't show it; names that hold the word don't count."""
+    return bool(_UNSHOWN.search(attributes) or _HIDDEN.search(attributes) and _HIDDEN.search(_QUOTED.sub('""', attributes)))
 
 
 @dataclass
@@ -112,7 +119,7 @@ class _Builder:
     def open_inline(self, name: str, attributes: str) -> None:
         if name == "a" and self.inline_at["a"]:
             self.close_inline("a")
-        known = bool(attributes) and bool(_HIDDEN.search(attributes) or names(attributes))
+        known = bool(attributes) and bool(hidden(attributes) or names(attributes))
         self.inline_at[name].append(len(self.inline))
         self.inline.append((name, len(self.stack), known))
         if known:
@@ -235,23 +242,31 @@ def features(tree: Tree) -> list[list[str]]:
     inside = main.copy()
     for i, parent in enumerate(tree.parent[1:], 1):
         inside[i] |= inside[parent]
+    covered = [bool(a) and hidden(a) for a in tree.attributes]
+    for i, parent in enumerate(tree.parent[1:], 1):
+        covered[i] |= covered[parent]
     none = not any(main)
     texts: dict[int, list[str]] = defaultdict(list)
     for node, raw, _ in tree.parts:
         texts[node].append(raw)
+    whole = sum([len(raw.strip()) for _, raw, _ in tree.parts])
     children: dict[int, int] = defaultdict(int)
     for p in tree.parent:
         children[p] += 1
-    out = []
+    out, named = [], []
     for i, (tag, attributes, parent) in enumerate(zip(tree.tag, tree.attributes, tree.parent)):
         raw = " ".join(texts[i]).strip() if i in texts else ""
         n = len(raw)
         own = ["1", f"tag {tag}", f"under {tree.tag[parent]}" if parent >= 0 else "root", f"chars {0 if not n else min(5, 1 + int(math.log2(1 + n / 16)))}"]
         place = "none" if none else "in" if inside[i] else "out"
-        own += [place, f"{place} {KINDS.get(tag, 'other')}"]
-        own += [f"name {w}" for w in names(attributes)]
+        own += [place, f"{place} {KINDS.get(tag, 'other')}", f"{place} tag {tag}", f"{tag} under {tree.tag[parent]}" if parent >= 0 else "root"]
+        named.append(names(attributes))
+        own += [f"name {w}" for w in named[i]]
+        if parent >= 0:
+            own += [f"below {w}" for w in named[parent]]
         if n:
-            own.append(f"links {min(3, int(4 * tree.linked.get(i, 0) / n))}")
+            linked = min(3, int(4 * tree.linked.get(i, 0) / n))
+            own += [f"links {linked}", f"{place} links {linked}", f"share {min(4, 4 * n // max(1, whole))}"]
             own.append("stop" if raw[-1] in ".!?…。！？" else "no stop")
             if "©" in raw:
                 own.append("copyright")
@@ -259,7 +274,7 @@ def features(tree: Tree) -> list[list[str]]:
             own.append("controls")
         if not children[i] and not n:
             own.append("bare")
-        if attributes and _HIDDEN.search(attributes):
+        if covered[i]:
             own.append("hidden")
         out.append(own)
     return out
@@ -320,11 +335,14 @@ def marginals(parent: list[int], own: list[float], edge: list[list[float]]) -> t
 
 
 def train(pages: list[tuple[Tree, list[int]]], rounds: int = 12, rate: float = 0.3, ridge: float = 1e-3) -> Model:
-    """The weights of greatest likelihood for pages with a label (0 or 1) for each element, by scaled gradients, page by page."""
+    """The weights of greatest likelihood for pages with a label (0 or 1) for each element, by scaled gradients, page by page
+    in an order drawn anew each round; the mean over the later half of the rounds, so that no page counts for its place."""
     model = Model()
     seen: dict[str, float] = defaultdict(float)
     prepared = [(tree, features(tree), labels) for tree, labels in pages]
-    for _ in range(rounds):
+    order, mean, later = random.Random(rounds), Model(), rounds - rounds // 2
+    for turn in range(rounds):
+        order.shuffle(prepared)
         for tree, fs, labels in prepared:
             own, edge = model.potentials(tree)
             p, joint = marginals(tree.parent, own, edge)
@@ -346,7 +364,12 @@ def train(pages: list[tuple[Tree, list[int]]], rounds: int = 12, rate: float = 0
                 for j in range(4):
                     seen[f"{k}{j}"] += g[j] * g[j]
                     e[j] = max(-4.0, min(4.0, e[j] + rate * (g[j] - ridge * e[j]) / math.sqrt(1e-6 + seen[f"{k}{j}"])))
-    return model
+        if turn >= rounds - later:
+            for f, w in model.weights.items():
+                mean.weights[f] = mean.weights.get(f, 0.0) + w / later
+            for k, e in model.edges.items():
+                mean.edges[k] = [a + b / later for a, b in zip(mean.edges.get(k, [0.0] * 4), e)]
+    return mean
 
 
 def extract(page: str | None, model: Model) -> tuple[str, list[float]]:
@@ -441,16 +464,33 @@ def _generate(r: random.Random) -> str:
         one = lambda: f'<{(t := r.choice(("div", "li", "article", "div")))} class="{r.choice(("comment", "reply", "comment-body", "user-comment"))}"><p>{words(1, 30)}</p></{t}>'
         return box("section div ol aside", "comments comment-list responses discussion reader-comments replies", some(0.6, lambda: f"<h3>{words(1, 3, False)}</h3>") + "".join(one() for _ in range(r.randint(1, 5))))
 
+    def plain() -> str:
+        """Often a name of no meaning."""
+        return some(0.4, lambda: f' class="{r.choice(vocabulary)}"')
+
+    def unseen() -> str:
+        """Text that isn't shown."""
+        tag = r.choice(("p", "div", "section", "ul"))
+        return f'<{tag} {r.choice(("hidden", "style=display:none", 'style="display: none"', 'hidden="hidden"'))}>' + (f"<li>{words(1, 9)}</li>" if tag == "ul" else r.choice((prose, lambda: f"<p>{prose()}</p>"))()) + f"</{tag}>"
+
+    def reference() -> str:
+        return f'<li y>{some(0.4, lambda: words(1, 6, False) + " ")}<a href="/{r.choice(vocabulary)}">{words(1, 6, r.random() < 0.3)}</a>{some(0.4, lambda: " " + words(1, 6))}</li>'
+
     def article() -> str:
         parts = [f"<h1 y>{words(2, 12, r.random() < 0.3)}</h1>"] if r.random() < 0.85 else []
-        for _ in range(r.choice((1, 2, 4, 7, 12))):
+        if parts and r.random() < 0.2:
+            parts = [f"<header y>{parts[0]}{some(0.3, lambda: f'<p y>{words(2, 12)}</p>')}</header>"]
+        for _ in range(r.choice((1, 2, 2, 4, 4, 7, 12, 40))):
             kind = r.random()
-            if kind < 0.78:
+            if kind < 0.74:
                 parts.append(f"<p y>{prose()}" + r.choice(("</p>", "</p>", "")))
-            elif kind < 0.86:
+            elif kind < 0.82:
                 parts.append(f"<h2 y>{words(1, 8, False)}</h2>")
             elif kind < 0.91:
-                parts.append("<ul y>" + "".join(f"<li y>{words(2, 20)}</li>" for _ in range(r.randint(2, 5))) + "</ul>")
+                tag, item = r.choice(("ul", "ol")), r.choice((reference, lambda: f"<li y>{words(2, 20, r.random() < 0.6)}</li>", lambda: f"<li y>{words(2, 20, r.random() < 0.6)}</li>"))
+                parts.append(f"<{tag} y>" + "".join(item() for _ in range(r.randint(2, 5))) + f"</{tag}>")
+            elif kind < 0.92:
+                parts.append(f"<details y><summary y>{words(1, 5, False)}</summary>" + r.choice((f"<p y>{prose()}</p>", words(2, 20))) + "</details>")
             elif kind < 0.94:
                 parts.append(f"<blockquote y><p y>{prose()}</p></blockquote>")
             elif kind < 0.96:
@@ -458,10 +498,12 @@ def _generate(r: random.Random) -> str:
             elif kind < 0.98:
                 parts.append(f"<pre y>{words(4, 20, False)}</pre>")
             else:
-                parts.append(f"<div y>{prose()}</div>")
-        for make in (advert, share_box, form, side, notice):
+                parts.append(f'<div y{plain() or some(0.2, lambda: ' class="overflow-hidden"')}>{prose()}</div>')
+        for make in (advert, share_box, form, side, notice, unseen):
             if r.random() < 0.1:
                 parts.insert(r.randint(0, len(parts)), make())
+        if r.random() < 0.12:
+            parts.append(f"<footer>{r.choice((words(1, 8, r.random() < 0.5), f'<p>{words(1, 12)}</p>'))}</footer>")
         inner = "".join(parts)
         if r.random() < 0.1:
             return r.choice((f"<div y>{inner}</div>", f"<section y>{inner}</section>", f"<main y>{inner}</main>", inner))
@@ -475,23 +517,28 @@ def _generate(r: random.Random) -> str:
         """Content with hardly any markup."""
         paragraphs = "".join(f"<p y>{words(1, 14)}</p>" for _ in range(r.choice((1, 1, 1, 2, 3))))
         items = "<ul y>" + "".join(f"<li y>{words(1, 6, r.random() < 0.4)}</li>" for _ in range(r.randint(1, 5))) + "</ul>"
-        inner = r.choice((paragraphs, paragraphs, paragraphs + items, prose(), f"<h1 y>{words(1, 6, False)}</h1>{prose()}"))
+        heading = f"<h1 y>{words(1, 6, False)}</h1>"
+        inner = r.choice((paragraphs, paragraphs, paragraphs + items, paragraphs + items.replace("ul", "ol"), prose(), f"{heading}{prose()}", f"<header y>{heading}</header>{paragraphs}"))
         tag = r.choice(("article", "article", "div", "section", "main", "p" if "<" not in inner else "div"))
-        return f"<{tag} y>{inner}</{tag}>" if inner != paragraphs or r.random() < 0.7 else inner
+        by = some(0.2 * (tag == "article"), lambda: f"<footer>{words(1, 5, False)}</footer>")
+        return f"<{tag} y{plain()}>{inner}{by}</{tag}>" if inner != paragraphs or r.random() < 0.7 else inner
 
     kind = r.random()
     if kind < 0.05:  # no markup at all
         return "\n".join(words(1, 20, r.random() < 0.8) for _ in range(r.choice((1, 2, 6))))
-    if kind < 0.1:  # text right in the body
-        text = r.choice(("<br>", "<br><br>", "\n", "<hr>")).join(prose() for _ in range(r.choice((1, 2, 5))))
+    if kind < 0.14:  # text right in the body
+        text = r.choice(("<br>", "<br><br>", "\n", "<hr>")).join(r.choice((prose, lambda: words(1, 8)))() for _ in range(r.choice((1, 1, 2, 5))))
         return f"<html><body y>{some(0.3, head)}{some(0.3, menu)}{text}{some(0.3, foot)}</body></html>"
-    body = bare() if kind < 0.27 else article()
-    if kind < 0.18:  # nothing around
+    body = bare() if kind < 0.31 else article()
+    if kind < 0.23:  # nothing around
         return r.choice((f"<body>{body}</body>", f"<!DOCTYPE html><html><head><title>{words(1, 8, False)}</title><body>{body}", body))
     if r.random() < 0.3:
         body = f'<{(t := r.choice(("main", "div")))} y class="{r.choice(("main", "content", "container", "wrapper"))}">{body}{some(0.3, comments)}</{t}>'
     before = "".join(some(s, m) for s, m in ((0.35, notice), (0.5, head), (0.6, menu), (0.4, advert), (0.2, form), (0.2, side)))
     after = "".join(some(s, m) for s, m in ((0.3, advert), (0.35, comments), (0.2, share_box), (0.4, side), (0.25, form), (0.75, foot), (0.15, notice)))
+    if r.random() < 0.1:  # a layout by table
+        cell = r.choice((lambda: links(2, 6), lambda: words(1, 4, False)))()
+        body = f"<table y><tr y><td>{cell}</td><td y>{body}</td></tr></table>"
     whole = before + body + after
     if r.random() < 0.35:
         whole = f'<div {r.choice(("class", "id"))}="{r.choice(("wrapper", "page", "container", "layout", "site", "row"))}">{whole}</div>'
@@ -506,7 +553,7 @@ def labelled(count: int, seed: int) -> list[tuple[Tree, list[int]]]:
 
 
 #: Generated pages to learn from.
-PAGES, SEED = 600, 3
+PAGES, SEED = 800, 3
 _TRAINED: dict[tuple[int, int], Model] = {}
 
 
@@ -520,13 +567,14 @@ def trained(pages: int = PAGES, seed: int = SEED) -> Model:
 def extract_column(pages: DataFrame, model: Model, page: str = "html", out: str = "text") -> DataFrame:
     """pages with the main text of a column of HTML (null: empty, which has no text). A column named ``out`` gives way; no shuffle."""
     prepare(pages.sparkSession)
-    kept = pages.withColumn("__page", F.col(f"`{page}`").cast("string")).drop(out)
+    source = spare(pages, "__page")
+    kept = pages.withColumn(source, F.col(f"`{page}`").cast("string")).drop(out)
     shared = pages.sparkSession.sparkContext.broadcast(model)  # bounded by the generated pages' features
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("__page")
+            at = batch.schema.get_field_index(source)
             found = [extract(x, shared.value)[0] for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([c for i, c in enumerate(batch.columns) if i != at] + [pa.array(found, pa.string())], names=[c for i, c in enumerate(batch.schema.names) if i != at] + [out])
 
-    return kept.mapInArrow(lean(run), schema_with(kept.drop("__page"), (out, "string")))
+    return kept.mapInArrow(lean(run), schema_with(kept.drop(source), (out, "string")))

@@ -50,6 +50,34 @@ def test_a_page():
     assert domtree.extract(PAGE, domtree.trained())[0] == "Head & line First part. Second <one>, with space. Third."
 
 
+#: Shapes that articles have besides the commonest one: page, text.
+SHAPES = [
+    ("<article><header><h1>Title</h1></header><p>Text para one is here.</p></article>", "Title Text para one is here."),
+    ("<article><header><h1>Long title of it</h1></header><p>One sentence is here. Another one is here too.</p><p>More prose follows in this one.</p><footer><p>By John</p></footer></article>", "Long title of it One sentence is here. Another one is here too. More prose follows in this one."),
+    ("<article><p>Text para one is here.</p><footer>By John</footer></article>", "Text para one is here."),
+    ("<article><h1>Soup</h1><p>This is how to make it.</p><ol><li>Boil the water</li><li>Add salt</li></ol><p>Serve it hot.</p></article>", "Soup This is how to make it. Boil the water Add salt Serve it hot."),
+    ('<div class="xyz"><p>Text of it here.</p></div>', "Text of it here."),
+    ('<section class="intro"><p>One long paragraph of text that goes on for a while. It has two sentences.</p></section>', "One long paragraph of text that goes on for a while. It has two sentences."),
+    ('<div class="row"><p>One is here.</p><p>Two is here.</p></div>', "One is here. Two is here."),
+    ('<article><h1>Cats</h1><p>Some text about cats is here.</p><h2>References</h2><ul><li><a href="/a">First book</a></li><li><a href="/b">Second book</a></li></ul></article>', "Cats Some text about cats is here. References First book Second book"),
+    ("<article><p>Some text about cats is here.</p><details><summary>More</summary><p>Even more of it is here.</p></details></article>", "Some text about cats is here. More Even more of it is here."),
+    ('<article><p>Shown text is here.</p><div style="display:none">Not shown at all.</div><p hidden>Nor this one.</p><p class="overflow-hidden">But this is.</p></article>', "Shown text is here. But this is."),
+    ("<article><h1>Many</h1>" + "<p>Again.</p>" * 500 + "</article>", "Many" + " Again." * 500),
+]
+
+
+@pytest.mark.parametrize("page, text", SHAPES)
+def test_articles(page, text):
+    assert domtree.extract(page, domtree.trained())[0] == text
+    around = f'<!DOCTYPE html><body><nav><a href="/">Home</a> <a href="/n">News</a></nav>{page}<footer>&copy; them</footer></body>'
+    assert domtree.extract(around, domtree.trained())[0] == text
+
+
+def test_hidden():
+    assert all(domtree.hidden(a) for a in (" hidden", ' hidden=""', " HIDDEN/", ' style="color:red;display: none"', " class=a hidden"))
+    assert not any(domtree.hidden(a) for a in ("", ' class="overflow-hidden"', ' class="a hidden"', " aria-hidden=true", ' data-hidden="1"', " class=hidden", ' title="hidden"'))
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "text only", "</div></p>", "<div>" * 3000 + "deep", "<a href='x>" * 50, "<script>never closed", "&am &#0; &bogus;", "<p>" + "x" * 300_000])
 def test_odd_pages(page):
     text, p = domtree.extract(page, domtree.trained())
@@ -98,3 +126,9 @@ def test_siblings_far_below_take_no_walk():
     domtree.parse("<dt><dl>" + "<div>" * 50_000 + "<dd></dd>" * 50_000)
     domtree.parse("<i><div>" + "<b>" * 100_000 + "</i>" * 100_000)
     assert time.perf_counter() - began < 10
+
+
+def test_helper_columns_do_not_clash(spark):
+    d = spark.createDataFrame([(1, "<p>Some text.", "mine"), (2, None, "mine")], "doc_id long, text string, __page string")
+    got = domtree.extract_column(d, domtree.trained(), page="text", out="main").collect()
+    assert [(r.doc_id, r["__page"]) for r in got] == [(1, "mine"), (2, "mine")]

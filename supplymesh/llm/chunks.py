@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supplymesh.llm.common import checkpointed, lean, prepare, schema_with
+from supplymesh.llm.common import checkpointed, lean, prepare, schema_with, spare
 
 #: Least, usual and greatest bytes in a chunk; zero bits asked for before the usual size and after it.
 LEAST, USUAL, GREATEST, BITS_BEFORE, BITS_AFTER = 24, 64, 256, 7, 4
@@ -111,15 +111,16 @@ def fingerprint_column(df: DataFrame, text: str = "text", out: str = "fingerprin
     """df with a fingerprint of its text column. Null counts as empty, with an empty fingerprint; equal texts, equal values.
     Other columns pass through, except one named ``out``, which gives way. Row by row, no shuffle."""
     prepare(df.sparkSession)
-    kept = df.withColumn("__text", F.col(f"`{text}`").cast("string")).drop(out)
+    source = spare(df, "__text")
+    kept = df.withColumn(source, F.col(f"`{text}`").cast("string")).drop(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
+            at = batch.schema.get_field_index(source)
             found = [fingerprint(chunk_set(utf8(t or ""))) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([c for i, c in enumerate(batch.columns) if i != at] + [pa.array(found, pa.string())], names=[n for i, n in enumerate(batch.schema.names) if i != at] + [out])
 
-    return kept.mapInArrow(lean(run), schema_with(kept.drop("__text"), (out, "string")))
+    return kept.mapInArrow(lean(run), schema_with(kept.drop(source), (out, "string")))
 
 
 def spliced(text: str, following: str) -> str:

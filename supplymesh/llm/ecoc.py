@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supplymesh.llm.common import crc_remainder, lean, prepare, sampled, schema_with, stored
+from supplymesh.llm.common import crc_remainder, lean, prepare, sampled, schema_with, spare, stored
 
 #: Hash buckets of n-grams, the orders of n-grams, documents sampled for each language, languages that can be told apart (more are an error).
 BUCKETS, ORDERS, SAMPLE, LANGUAGES = 1 << 15, (2, 3, 4), 800, 4096
@@ -174,18 +174,19 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with ``lang_pred``, ``score`` and ``ambiguous``, from the text alone. Columns of these names give way; no shuffle."""
     prepare(docs.sparkSession)
     new = ["lang_pred", "score", "ambiguous"]
-    kept = docs.withColumn("__text", F.col(f"`{text}`").cast("string")).drop(*(c for c in new))
+    source = spare(docs, "__text")
+    kept = docs.withColumn(source, F.col(f"`{text}`").cast("string")).drop(*(c for c in new))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by buckets and bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
+            at = batch.schema.get_field_index(source)
             rows = [own.predict(t) for t in batch.column(at).to_pylist()]
             columns = list(zip(*rows)) if rows else [[], [], []]
             yield pa.RecordBatch.from_arrays([c for i, c in enumerate(batch.columns) if i != at] + [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.bool_()))], names=[n for i, n in enumerate(batch.schema.names) if i != at] + new)
 
-    return kept.mapInArrow(lean(run), schema_with(kept.drop("__text"), ("lang_pred", "string"), ("score", "double"), ("ambiguous", "boolean")))
+    return kept.mapInArrow(lean(run), schema_with(kept.drop(source), ("lang_pred", "string"), ("score", "double"), ("ambiguous", "boolean")))
 
 
 #: Documents whose crc32(doc_id) has this remainder are held out.

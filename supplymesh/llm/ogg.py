@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supplymesh.llm.common import lean, prepare, schema_with
+from supplymesh.llm.common import lean, prepare, schema_with, spare
 
 #: Fixed by the format: capture pattern, header layout, flags, the granule position of a page on which no packet ends.
 CAPTURE, HEADER, NO_GRANULE = b"OggS", struct.Struct("<4sBBqIIIB"), -1
@@ -216,17 +216,18 @@ def store_column(df: DataFrame, text: str = "text", media: str = "media", n_byte
     column's name, which give way. Row by row, no shuffle.
     """
     prepare(df.sparkSession)
-    kept = df.withColumn("__text", F.col(f"`{text}`").cast("string")).drop(media, n_bytes)
+    source = spare(df, "__text")
+    kept = df.withColumn(source, F.col(f"`{text}`").cast("string")).drop(media, n_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
+            at = batch.schema.get_field_index(source)
             payloads = [padded(t) for t in batch.column(at).to_pylist()]
             columns = [c for i, c in enumerate(batch.columns) if i != at]
             columns += [pa.array([write(p) for p, _ in payloads], pa.binary()), pa.array([n for _, n in payloads], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[n for i, n in enumerate(batch.schema.names) if i != at] + [media, n_bytes])
 
-    return kept.mapInArrow(lean(run), schema_with(kept.drop("__text"), (media, "binary"), (n_bytes, "long")))
+    return kept.mapInArrow(lean(run), schema_with(kept.drop(source), (media, "binary"), (n_bytes, "long")))
 
 
 #: What reading a stored column adds: its payload, and the features of its samples.

@@ -23,17 +23,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from supplymesh.llm.common import crc_remainder, lean, prepare, sampled, schema_with, stored
+from supplymesh.llm.common import crc_remainder, lean, prepare, sampled, schema_with, spare, stored
 
-#: Labelled documents used of each kind at most, about; terms weighed at most; folds.
-TOXIC_SAMPLE, OTHER_SAMPLE, TERMS, FOLDS = 4000, 6000, 100_000, 4
+#: Labelled documents used of each kind at most, about; folds.
+TOXIC_SAMPLE, OTHER_SAMPLE, FOLDS = 4000, 6000, 4
 #: Lengths of word beginnings; weight of the prior, as a part of the sampled documents; standard errors taken off; cost of a word that tells nothing.
 PREFIXES, PRIOR, ERRORS, COST = (4, 5, 6, 7), 0.03, 1.5, 0.3
-#: Sampled toxic documents that a term needs to be weighed.
-SUPPORT = 2
+#: The law's rate where the mean score of a word isn't negative, so that no rate solves its equation: long passages then need very high scores.
+SLOWEST = 0.05
 #: Words that a worker remembers.
 MEMORY = 100_000
 _WORD = re.compile(r"\w+")
@@ -137,8 +137,17 @@ def weigh(toxic: np.ndarray, other: np.ndarray, n_toxic: float, n_other: float)
     return np.maximum(0.0, odds - ERRORS * np.sqrt(1 / a + 1 / b))
 
 
+def weight_column(toxic: Column, other: Column, n_toxic: float, n_other: float) -> Column:
+    """``weigh`` as a column."""
+    weight = PRIOR * (n_toxic + n_other)
+    prior = weight * (toxic + other + 0.5) / (n_toxic + n_other + 1)
+    a, b = toxic + prior, other + prior
+    odds = F.log(a / F.greatest(n_toxic + weight - a, F.lit(0.5))) - F.log(b / F.greatest(n_other + weight - b, F.lit(0.5)))
+    return F.greatest(F.lit(0.0), odds - ERRORS * F.sqrt(1 / a + 1 / b))
+
+
 def _rate(scores: Counter, total: float) -> float:
-    """The positive root of E[exp(rate * score)] = 1 by bisection, for positive scores and otherwise the cost."""
+    """The positive root of E[exp(rate * score)] = 1 by bisection, for positive scores and otherwise the cost; SLOWEST if there is none."""
     if not scores:
         return 1.0
     rest = max(0.0, 1 - sum(scores.values()) / total)
@@ -148,7 +157,7 @@ def _rate(scores: Counter, total: float) -> float:
 
     low, high = 1e-6, 1.0
     if excess(low) >= 0:  # the mean score isn't negative
-        return 0.05
+        return SLOWEST
     while excess(high) < 0 and high < 64:
         high *= 2
     for _ in range(60):
@@ -182,8 +191,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, usual: float = 1
 def fit(sample: DataFrame, kinds: tuple[float, float]) -> Model:
     """A model from a bounded table (text, toxic 0 or 1, fold), read three times; kinds: how many labelled documents there are of each, other and toxic.
 
-    The driver gets counts of at most TERMS terms by fold, and a row for each sampled document. Terms that fewer than
-    SUPPORT sampled toxic documents have aren't weighed: a documented least support, as a term that one document has tells nothing of others.
+    Terms are counted and weighed in Spark. The driver gets the counts by fold of all terms whose weight is over COST in the model or in
+    that of a fold, and a row for each sampled document. A term that one toxic document has never passes: its standard errors outweigh its odds.
     """
     spark = sample.sparkSession
     prepare(spark)
@@ -192,34 +201,33 @@ def fit(sample: DataFrame, kinds: tuple[float, float]) -> Model:
     if not n[0] or not n[1]:
         return Model({}, intercept=20.0 if n[1] else -20.0)
 
-    def count(wanted: set[str] | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sums: dict[int, Counter] = {}
-                for body, fold in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    found = {t for w in set(_WORD.findall(body.lower())) for t in terms(w)}
-                    sums.setdefault(fold, Counter()).update(found if wanted is None else found & wanted)
-                rows = [(t, f, c) for f, own in sums.items() for t, c in own.items()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 3, (pa.string(), pa.int32(), pa.int64()))], names=["term", "fold", "c"])
-
-        return run
-
-    kind = "term string, fold int, c long"
-    by_fold = [F.sum(F.when(F.col("fold") == f, F.col("c")).otherwise(0)).alias(f"f{f}") for f in range(FOLDS)]
-    toxic = sample.filter("toxic = 1").select("text", "fold").mapInArrow(lean(count(None)), kind).groupBy("term").agg(F.sum("c").alias("c"), *by_fold)
-    rows = toxic.filter(F.col("c") >= SUPPORT).orderBy(F.desc("c"), "term").limit(TERMS).collect()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums: dict[tuple[int, int], Counter] = {}
+            for body, *group in zip(*(c.to_pylist() for c in batch.columns)):
+                sums.setdefault(tuple(group), Counter()).update({t for w in set(_WORD.findall(body.lower())) for t in terms(w)})
+            rows = [(t, f, k, c) for (f, k), own in sums.items() for t, c in own.items()]
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 4, kinds)], names=["term", "fold", "toxic", "c"])
+
+    def rest(fold: int | None) -> list[int]:
+        """Sampled other and toxic documents without those of a fold."""
+        return [max(1, n[k] - (sizes.get((fold, k), 0) if fold is not None else 0)) for k in (0, 1)]
+
+    cells = [(k, f) for k in (0, 1) for f in range(FOLDS)]
+    counted = sample.select("text", "fold", "toxic").mapInArrow(lean(count), "term string, fold int, toxic int, c long").groupBy("term")
+    counted = counted.agg(*(F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == k), F.col("c")).otherwise(0)).alias(f"c{k}{f}") for k, f in cells))
+    best = []
+    for fold in (None, *range(FOLDS)):
+        other, toxic = (sum((F.col(f"c{k}{f}") for f in range(FOLDS) if f != fold), F.lit(0.0)) for k in (0, 1))
+        best.append(weight_column(toxic, other, *rest(fold)[::-1]))
+    rows = counted.filter(F.greatest(*best) > COST - 1e-6).orderBy("term").collect()  # by sampled documents only, a bounded number of which are
     names = [r.term for r in rows]
-    at = {t: i for i, t in enumerate(names)}
-    counts = np.zeros((2, FOLDS, len(names)))
-    for i, r in enumerate(rows):
-        counts[1, :, i] = r[2:]
-    for r in sample.filter("toxic = 0").select("text", "fold").mapInArrow(lean(count(set(names))), kind).groupBy("term").agg(*by_fold).collect():
-        counts[0, :, at[r.term]] = r[1:]
+    counts = np.array([r[1:] for r in rows], "f8").reshape(len(rows), 2, FOLDS).transpose(1, 2, 0)
 
     def model(fold: int | None) -> Model:
         own = counts.sum(axis=1) - (counts[:, fold] if fold is not None else 0)
-        m = [n[k] - (sizes.get((fold, k), 0) if fold is not None else 0) for k in (0, 1)]
-        w = weigh(own[1], own[0], max(1, m[1]), max(1, m[0]))
+        w = weigh(own[1], own[0], *rest(fold)[::-1])
         return Model({t: float(x) for t, x in zip(names, w) if x > COST})
 
     shared = spark.sparkContext.broadcast([model(f) for f in range(FOLDS)])
@@ -283,17 +291,18 @@ def detect(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     prepare(docs.sparkSession)
     new = ["score", "predicted", "evidence", "passages"]
-    kept = docs.withColumn("__text", F.col(f"`{text}`").cast("string")).drop(*new)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by TERMS
+    source = spare(docs, "__text")
+    kept = docs.withColumn(source, F.col(f"`{text}`").cast("string")).drop(*new)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the terms of sampled documents that pass their test
     inner = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
+            at = batch.schema.get_field_index(source)
             judged = [own.judge(t) for t in batch.column(at).to_pylist()]
             passages = [[{"begin": b, "end": e, "score": s, "expected": x} for b, e, s, x in found] for *_, found in judged]
             columns = [pa.array([s for s, *_ in judged], pa.float64()), pa.array([int(s >= 0.5) for s, *_ in judged], pa.int32()), pa.array([e for _, e, _ in judged], pa.float64()), pa.array(passages, inner)]
             yield pa.RecordBatch.from_arrays([c for i, c in enumerate(batch.columns) if i != at] + columns, names=[c for i, c in enumerate(batch.schema.names) if i != at] + new)
 
-    return kept.mapInArrow(lean(run), schema_with(kept.drop("__text"), ("score", "double"), ("predicted", "int"), ("evidence", "double"), ("passages", "array<struct<begin:int,end:int,score:double,expected:double>>")))
+    return kept.mapInArrow(lean(run), schema_with(kept.drop(source), ("score", "double"), ("predicted", "int"), ("evidence", "double"), ("passages", "array<struct<begin:int,end:int,score:double,expected:double>>")))

@@ -83,3 +83,9 @@ def test_many_languages(spark):
         assert "more than 5" in str(e)
     else:
         raise AssertionError
+
+
+def test_helper_columns_do_not_clash(spark):
+    d = spark.createDataFrame([(1, "<p>Some text.", "mine"), (2, None, "mine")], "doc_id long, text string, __text string")
+    got = ecoc.identify(d, ecoc.Model([], np.zeros((0, 0), "i1"), np.zeros((ecoc.BUCKETS, 0), "f4"), np.ones(0), np.ones((0, 0)))).collect()
+    assert [(r.doc_id, r["__text"]) for r in got] == [(1, "mine"), (2, "mine")]

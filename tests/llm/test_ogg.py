@@ -70,3 +70,9 @@ def test_feature_against_a_plain_loop():
         assert (int(got["streams"]), int(got["changes"]), got["bands"]) == (ogg.STREAMS, changes, ",".join(map(str, bands)))
         assert float(got["seconds"]) == pytest.approx(n / ogg.RATE, abs=1e-6) and float(got["last"]) == pytest.approx(last, abs=1e-6)
         assert float(got["mean"]) == pytest.approx(sum(x) / n, abs=1e-4) and float(got["rms"]) == pytest.approx((sum(v * v for v in x) / n) ** 0.5, abs=1e-4)
+
+
+def test_helper_columns_do_not_clash(spark):
+    d = spark.createDataFrame([(1, "<p>Some text.", "mine"), (2, None, "mine")], "doc_id long, text string, __text string")
+    got = ogg.store_column(d).collect()
+    assert [(r.doc_id, r["__text"]) for r in got] == [(1, "mine"), (2, "mine")]

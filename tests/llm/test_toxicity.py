@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from supplymesh.llm import toxicity
 
@@ -106,3 +107,42 @@ def test_weights_rate_and_score_against_plain_versions():
         evidence += -math.log(expected) if expected < 1 else 0.0
     score, found, _ = model.judge(text)
     assert found == pytest.approx(evidence) and score == pytest.approx(1 / (1 + math.exp(2.0 - 1.7 * math.log1p(evidence))))
+
+
+def test_weights_as_columns(spark):
+    r = random.Random(6)
+    n1, n0 = 300, 700
+    rows = [(r.randint(0, n1), r.randint(0, n0)) for _ in range(300)] + [(1, 0), (0, 0), (n1, 0), (0, n0)]
+    got = spark.createDataFrame(rows, "a long, b long").select("a", "b", toxicity.weight_column(F.col("a"), F.col("b"), n1, n0).alias("w")).collect()
+    for g in got:
+        assert g.w == pytest.approx(toxicity.weigh(np.array([float(g.a)]), np.array([float(g.b)]), n1, n0)[0], abs=1e-9)
+
+
+@pytest.mark.parametrize("n1, n0", [(1, 1), (1, 6000), (50, 6000), (4000, 6000), (4000, 1), (10**6, 10)])
+def test_a_term_of_one_document_never_counts(n1, n0):
+    assert toxicity.weigh(np.array([1.0]), np.array([0.0]), n1, n0)[0] == 0
+
+
+def test_terms_are_all_that_pass(spark):
+    """The model's weights against a plain count over the sampled documents."""
+    docs, labels = corpus(400, 9)
+    toxic = dict(labels)
+    rows = [(t, toxic[i], i % toxicity.FOLDS) for i, t, _ in docs]
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, toxic int, fold int"), (sum(t == 0 for _, t in labels), sum(t == 1 for _, t in labels)))
+    count = (Counter(), Counter())
+    for t, k, _ in rows:
+        count[k].update({x for w in set(t.split()) for x in toxicity.terms(w)})
+    n = [sum(k == j for _, k, _ in rows) for j in (0, 1)]
+    want = {t: float(toxicity.weigh(np.array([float(c)]), np.array([float(count[0][t])]), n[1], n[0])[0]) for t, c in count[1].items()}
+    assert model.weights == pytest.approx({t: w for t, w in want.items() if w > toxicity.COST}) and len(model.weights) > 10
+
+
+def test_no_rate():
+    assert toxicity._rate(Counter({2.0: 100}), 100.0) == toxicity.SLOWEST
+
+
+def test_helper_columns_do_not_clash(spark):
+    docs, labels = corpus(60, 2)
+    d = spark.createDataFrame([(i, t, "mine", "yours") for i, t, _ in docs], "doc_id long, text string, __text string, __TEXT_ string")
+    got = toxicity.detect(d, toxicity.Model({"scum": 3.0}))
+    assert got.columns[:4] == d.columns and {(r["__text"], r["__TEXT_"]) for r in got.collect()} == {("mine", "yours")}

@@ -221,7 +221,8 @@ def fit(sample: DataFrame, kinds: tuple[float, float]) -> Model:
     for fold in (None, *range(FOLDS)):
         other, toxic = (sum((F.col(f"c{k}{f}") for f in range(FOLDS) if f != fold), F.lit(0.0)) for k in (0, 1))
         best.append(weight_column(toxic, other, *rest(fold)[::-1]))
-    rows = counted.filter(F.greatest(*best) > COST - 1e-6).orderBy("term").collect()  # by sampled documents only, a bounded number of which are
+    said = sum((F.col(f"c1{f}") for f in range(FOLDS)), F.lit(0)) > 0
+    rows = sorted(counted.filter(said).filter(F.greatest(*best) > COST - 1e-6).collect())  # by sampled documents only, a bounded number of which are; sorted here, as a sort in Spark would weigh twice
     names = [r.term for r in rows]
     counts = np.array([r[1:] for r in rows], "f8").reshape(len(rows), 2, FOLDS).transpose(1, 2, 0)
 

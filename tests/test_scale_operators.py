@@ -4,6 +4,7 @@ import difflib
 import random
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +70,36 @@ def test_closest_names_are_those_of_all_pairs(spark):
     assert pairs.count() == pairs.distinct().count() < len(set(typed)) * len(keys) / 5
 
 
+def test_numbered_names_are_mostly_done_after_one_join(spark, monkeypatch):
+    keys = [f"Supplier#{i:09}" for i in range(300)]
+    typed = [k[:-2] + k[-1] + k[-2] * 2 for k in keys] + ["upplier#000000123", "Supplier#0000001234\0", "Suppliers#000000222", "S😀upplier#000000111", "Splier#00000007", "x", keys[5]]
+    looked, search = [], fuzzy.candidates
+    monkeypatch.setattr(fuzzy, "candidates", lambda names, known, cutoff: (looked.append(names.count()), search(names, known, cutoff))[1])
+    got = {x["name"]: (x["key"], x["ratio"]) for x in fuzzy.closest(spark.createDataFrame([(t,) for t in typed], "name string"), spark.createDataFrame([(k,) for k in keys], "key string")).collect()}
+    wanted = {t: difflib.get_close_matches(t, keys, n=1, cutoff=0.88) for t in typed}
+    assert {t: k for t, (k, _) in got.items()} == {t: k[0] for t, k in wanted.items() if k} and looked[0] < 10
+    assert all(r == difflib.SequenceMatcher(None, k, t).ratio() for t, (k, r) in got.items())
+
+
+def test_most_likeness_is_that_of_the_longest_common_subsequence(monkeypatch):
+    monkeypatch.setattr(fuzzy, "AT_ONCE", 50)
+    r = random.Random(5)
+    pairs = [("".join(r.choice("ab😀\0") for _ in range(r.randint(1, 20))), "".join(r.choice("ab😀\0") for _ in range(r.randint(1, 20)))) for _ in range(200)]
+
+    def common(a, b):
+        row = [0] * (len(a) + 1)
+        for c in b:
+            new = [0]
+            for i, x in enumerate(a):
+                new.append(max(new[i], row[i + 1], row[i] + (x == c)))
+            row = new
+        return row[-1]
+
+    got = fuzzy.most_likeness(pd.Series([a for a, _ in pairs]), pd.Series([b for _, b in pairs]))
+    assert list(got) == [2.0 * common(a, b) / (len(a) + len(b)) for a, b in pairs]
+    assert all(x >= difflib.SequenceMatcher(None, b, a).ratio() for x, (a, b) in zip(got, pairs))
+
+
 def plain_mentions(texts, dictionary):
     out = set()
     for i, t in texts:
